@@ -37,7 +37,7 @@ def training_sample(rows: DataFrame, most: int = SAMPLE_BYTES) -> dict[str, list
     if not sizes:
         return {}
     #: Below that hash lies about twice the sample; where it is too little, all is taken.
-    cut = {k: int(min(1.0, 2 * most / max(1, b)) * (2**64 - 1)) - 2**63 for k, b in sizes.items()}
+    cut = {k: min(2**63 - 1, int(min(1.0, 2 * most / max(1, b)) * 2**64) - 2**63) for k, b in sizes.items()}
     limit = F.create_map(*[F.lit(x) for k, v in cut.items() for x in (k, v)])
     out: dict[str, list[str]] = {}
     left = dict.fromkeys(cut, most)
