@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: query -> module of this package, or of the repository's top for the pipeline.
-_QUERIES = {"op1_tokens": "tokens", "op4_pii": "pii", "op6_quality": "quality", "op7_langid": "langid", "op10_lmscore": "lmscore"}
+_QUERIES = {"op1_tokens": "tokens", "op2_toxicity": "toxicity", "op4_pii": "pii", "op6_quality": "quality", "op7_langid": "langid", "op10_lmscore": "lmscore"}
 
 
 def queries() -> dict:
