@@ -131,7 +131,7 @@ class Examples:
         at, cosine = self.nearest(f, v) if len(f) else ((), ())
         if not len(at):
             return self.prior, []
-        vote = self.weight[at] / (1.05 - cosine)
+        vote = self.weight[at] * cosine**2  # far neighbours hardly outweigh the one vote of the prior
         least = float(self.weight.min())
         return float(((vote * self.label[at]).sum() + least * self.prior) / (vote.sum() + least)), self.ids[at].tolist()
 
