@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: query -> module of this package, or of the repository's top for the pipeline.
-_QUERIES = {"op1_tokens": "tokens", "op2_toxicity": "toxicity", "op3_decontam": "decontam", "op4_pii": "pii", "op5_packing": "packing", "op6_quality": "quality", "op7_langid": "langid", "op9_sharding": "sharding", "op10_lmscore": "lmscore"}
+_QUERIES = {"op1_tokens": "tokens", "op2_toxicity": "toxicity", "op3_decontam": "decontam", "op4_pii": "pii", "op5_packing": "packing", "op6_quality": "quality", "op7_langid": "langid", "op8_jaccard": "jaccard", "op9_sharding": "sharding", "op10_lmscore": "lmscore"}
 
 
 def queries() -> dict:
