@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: query -> module of this package, or of the repository's top for the pipeline.
-_QUERIES = {"op1_tokens": "tokens", "op2_toxicity": "toxicity", "op3_decontam": "decontam", "op4_pii": "pii", "op5_packing": "packing", "op6_quality": "quality", "op7_langid": "langid", "op8_jaccard": "jaccard", "op9_sharding": "sharding", "op10_lmscore": "lmscore"}
+#: query -> module of this package
+_QUERIES = {
+    "op1_tokens": "tokens", "op2_toxicity": "toxicity", "op3_decontam": "decontam", "op4_pii": "pii", "op5_packing": "packing",
+    "op6_quality": "quality", "op7_langid": "langid", "op8_jaccard": "jaccard", "op9_sharding": "sharding", "op10_lmscore": "lmscore",
+}
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"ridgeline.llm.{module}"), name) for name, module in _QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: getattr(import_module(f"ridgeline.llm.{module}"), name) for name, module in _QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
-    for name, module in _QUERIES.items():
-        if sql := getattr(import_module(f"ridgeline.llm.{module}"), "ORACLE_SQL", None):
-            out[name] = sql
-    return out
+    found = {name: getattr(import_module(f"ridgeline.llm.{module}"), "ORACLE_SQL", None) for name, module in _QUERIES.items()}
+    return {name: sql for name, sql in found.items() if sql}

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import documents, mix, slices
+from ridgeline.llm.blocks import documents, keep_where, mix, slices
 
 EDITS = 0.1
 Q = 8
@@ -224,12 +224,8 @@ class Step:
         return out
 
 
-def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text", most: int = ITEM_BYTES) -> DataFrame:
-    """id, item_id, distance, start, end (bytes of the lower-case text) for each contaminated pair. No shuffle.
-
-    items: item_id, text. Rounds of at most ``most`` bytes of items, each one pass over df."""
-    spark = df.sparkSession
-    schema = "id long, item_id long, distance int, start long, end long"
+def in_rounds(items: DataFrame, most: int = ITEM_BYTES) -> list[list[tuple[int, str]]]:
+    """The items (item_id, text), in lists of at most ``most`` bytes."""
     rounds, held = [], 0
     for row in items.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
         size = len(row["text"].encode("utf-8", "surrogatepass"))
@@ -238,8 +234,30 @@ def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, id_col: str = "
             held = 0
         rounds[-1].append((row["item_id"], row["text"]))
         held += size
+    return rounds
+
+
+def without_leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text_col: str = "text", most: int = ITEM_BYTES) -> DataFrame:
+    """The rows of df that no item contaminates; no shuffle."""
+    for chosen in in_rounds(items, most):
+        sent = df.sparkSession.sparkContext.broadcast(Benchmark(chosen, edits))
+
+        def clean(texts, sent=sent):
+            hit = {d for d, *_ in sent.value.find([normal(t) for t in texts])}
+            return [i not in hit for i in range(len(texts))]
+
+        df = keep_where(df, clean, text_col)
+    return df
+
+
+def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text", most: int = ITEM_BYTES) -> DataFrame:
+    """id, item_id, distance, start, end (bytes of the lower-case text) for each contaminated pair. No shuffle.
+
+    items: item_id, text. Rounds of at most ``most`` bytes of items, each one pass over df."""
+    spark = df.sparkSession
+    schema = "id long, item_id long, distance int, start long, end long"
     out = spark.createDataFrame([], schema)
-    for number, chosen in enumerate(rounds):
+    for number, chosen in enumerate(in_rounds(items, most)):
         sent = spark.sparkContext.broadcast(Benchmark(chosen, edits))
 
         def run(batches, sent=sent):

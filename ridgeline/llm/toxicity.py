@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import crc_mod, documents, map_rows
+from ridgeline.llm.blocks import crc_mod, documents, keep_where, map_rows
 
 #: The bounds of the sample and of the index: examples of each label, features, neighbours, examples in a block.
 EXAMPLES, FEATURES, NEIGHBOURS, BLOCK = 4096, 1024, 15, 64
@@ -159,9 +159,19 @@ def toxicity(df: DataFrame, model: Examples, id_col: str = "doc_id", text_col: s
     return map_rows(df, run, "id long, score double, evidence array<long>", id_col, text_col)
 
 
+def without_toxic(df: DataFrame, model: Examples, text_col: str = "text") -> DataFrame:
+    """The rows of df that score under 0.5."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return keep_where(df, lambda texts: [sent.value.score(t)[0] < 0.5 for t in texts], text_col)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod("doc_id", 5) != 0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod("doc_id", 5) != 0)
-    return toxicity(docs, examples(docs, labels)).select(
+    return toxicity(docs, examples(docs, labelled(spark, sf_dir))).select(
         F.col("id").alias("doc_id"), (crc_mod("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )
