@@ -1,9 +1,12 @@
 """Contract queries over the driver's tables, each with the SQL it must equal."""
 
+from ridgeline.contract import aggregates, intervals, joins, kernels, projections, scalars, statistics, windows  # noqa: F401
+from ridgeline.contract.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
