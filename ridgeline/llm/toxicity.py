@@ -2,7 +2,7 @@
 
 A bounded sample of labelled rows is the example set. Its features are words and word
 beginnings that are several times as frequent among toxic examples as among others; their
-TF-IDF vectors lie in an inverted index whose postings are cut into blocks of examples, with
+TF-IDF vectors, with one component for all words, lie in an inverted index whose postings are cut into blocks of examples, with
 the largest weight of each feature in each block. A query visits blocks by falling upper
 bound and stops where no block can reach its k-th best cosine any more, so the neighbours
 are exact. Their votes, weighted by distance and by how many labelled rows each example
@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 from ridgeline.llm.blocks import crc_mod, documents, keep_where, map_rows
 
 #: The bounds of the sample and of the index: examples of each label, features, neighbours, examples in a block.
-EXAMPLES, FEATURES, NEIGHBOURS, BLOCK = 4096, 1024, 15, 64
+EXAMPLES, FEATURES, NEIGHBOURS, BLOCK = 2048, 1024, 15, 64
 #: A feature is so many times as frequent among toxic examples, and so far from chance (chi-square, one degree of freedom).
 RATIO, CHI_SQUARE = 4.0, 30.0
 BEGINNINGS = (3, 4, 5)
+#: Weight of one word of any kind in the vectors' last component, which makes a cosine tell how dense the features are.
+OTHER = 0.03
+#: The vote of the prior, as that of so many neighbours at cosine 1.
+PRIOR_VOTE = 0.1
 CACHE_WORDS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -43,59 +47,82 @@ def features(token: str) -> list[str]:
     return out
 
 
+def _features_of(text: str):
+    return (f for token in text.lower().split() for f in features(token))
+
+
+def _chance(c1: int, c0: int, n1: int, n0: int) -> float:
+    """Chi-square of a feature that c1 of n1 toxic and c0 of n0 other examples have."""
+    both = (c1 + c0) / (n1 + n0)
+    return (c1 / n1 - c0 / max(1, n0)) ** 2 / max(1e-12, both * (1 - both) * (1 / n1 + 1 / max(1, n0)))
+
+
 class Examples:
     """The block-max inverted index over labelled examples."""
 
     def __init__(self, rows: list[tuple[int, int, str]], stands_for: tuple[float, float], k: int = NEIGHBOURS):
         """rows: (id, label, text); stands_for: labelled rows behind each example, by label."""
         self.k = k
-        bags = [Counter(f for token in text.lower().split() for f in features(token)) for _, _, text in rows]
         label = np.array([y for _, y, _ in rows], np.int64)
         n1, n0 = int(label.sum()), int((1 - label).sum())
-        seen1, seen0 = Counter(), Counter()
-        for bag, y in zip(bags, label, strict=True):
-            (seen1 if y else seen0).update(bag.keys())
+        #: Only what many toxic examples have can become a feature; the rest is not counted any further.
+        seen1: Counter = Counter()
+        for _, y, text in rows:
+            if y:
+                seen1.update(set(_features_of(text)))
+        seen1 = Counter({f: c for f, c in seen1.items() if _chance(c, 0, n1, n0) >= CHI_SQUARE})
+        seen0: Counter = Counter()
+        for _, y, text in rows:
+            if not y:
+                seen0.update(f for f in set(_features_of(text)) if f in seen1)
         rated = []
         for f, c1 in seen1.items():
             p1, p0 = (c1 + 0.5) / (n1 + 1), (seen0[f] + 0.5) / (n0 + 1)
-            both = (c1 + seen0[f]) / (n1 + n0)
-            chance = (c1 / n1 - seen0[f] / max(1, n0)) ** 2 / max(1e-12, both * (1 - both) * (1 / n1 + 1 / max(1, n0)))
+            chance = _chance(c1, seen0[f], n1, n0)
             if p1 >= RATIO * p0 and chance >= CHI_SQUARE:
                 rated.append((-chance, f))
         chosen = [f for _, f in sorted(rated)[:FEATURES]]
         self.number = {f: i for i, f in enumerate(chosen)}
         n = len(rows)
         self.idf = np.array([math.log((n + 1) / (seen1[f] + seen0[f] + 1)) + 1 for f in chosen])
-        vectors = [self.vector({self.number[f]: c for f, c in bag.items() if f in self.number}) for bag in bags]
+        vectors = [self.vector(Counter(self.number[f] for f in _features_of(text) if f in self.number), len(text.split())) for _, _, text in rows]
         weight = np.array(stands_for)[label]
-        empty = np.array([not len(v[0]) for v in vectors], bool)
-        #: What a text without features gets; also what votes are smoothed with, as one vote.
+        empty = np.array([len(v[0]) < 2 for v in vectors], bool)
+        #: What a text without features gets: they all are equally near to each other.
         self.prior = float((weight * label)[empty].sum() + 0.5 * stands_for[0] * bool(n)) / max(1e-9, float(weight[empty].sum()) + stands_for[0] + stands_for[1]) if n else 0.0
         # examples with the same strongest feature stand together, so that few blocks have high bounds
-        order = sorted(np.flatnonzero(~empty), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), rows[i][0]))
-        self.ids = np.array([rows[i][0] for i in order], np.int64)
-        self.label, self.weight = label[order], weight[order]
+        order = sorted(np.flatnonzero(~empty), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1][:-1])]), rows[i][0]))
+        # examples without features have one vector: k of them stand for all, with the mean of their labels
+        alike = np.flatnonzero(empty)[:k].tolist()
+        for i in alike:
+            vectors[i] = (np.array([len(chosen)]), np.ones(1))
+        self.ids = np.array([rows[i][0] for i in order + alike], np.int64)
+        self.label = np.concatenate([label[order], np.full(len(alike), self.prior)])
+        self.weight = np.concatenate([weight[order], np.full(len(alike), float(weight[empty].mean()) if alike else 0.0)])
+        order += alike
         self.blocks = max(1, math.ceil(len(order) / BLOCK))
-        posts: list[list[tuple[int, float]]] = [[] for _ in chosen]
+        posts: list[list[tuple[int, float]]] = [[] for _ in range(len(chosen) + 1)]
         for at, i in enumerate(order):
             for f, v in zip(*vectors[i], strict=True):
                 posts[f].append((at, v))
         self.doc = [np.array([d for d, _ in p], np.int64) for p in posts]
         self.value = [np.array([v for _, v in p]) for p in posts]
         self.start = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK) for d in self.doc]
-        self.most = np.zeros((len(chosen), self.blocks))
+        self.most = np.zeros((len(posts), self.blocks))
         for f, d in enumerate(self.doc):
             np.maximum.at(self.most[f], d // BLOCK, self.value[f])
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        f = np.array(sorted(counts), np.int64)
-        v = (1 + np.log(np.array([counts[i] for i in f], float))) * self.idf[f] if len(f) else np.zeros(0)
-        return f, v / (np.sqrt((v * v).sum()) if len(f) else 1.0)
+    def vector(self, counts: dict[int, int], words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(components in order, unit vector); the last component stands for all words."""
+        f = np.array([*sorted(counts), len(self.idf)], np.int64)
+        v = np.array([*(counts[i] * self.idf[i] for i in f[:-1]), OTHER * max(1, words)])
+        return f, v / np.sqrt((v * v).sum())
 
     def query(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         cache, counts = self.cache, {}
-        for token in text.lower().split():
+        tokens = text.lower().split()
+        for token in tokens:
             found = cache.get(token)
             if found is None:
                 found = tuple(self.number[f] for f in features(token) if f in self.number)
@@ -105,7 +132,7 @@ class Examples:
                     cache[token] = found
             for f in found:
                 counts[f] = counts.get(f, 0) + 1
-        return self.vector(counts)
+        return self.vector(counts, len(tokens))
 
     def nearest(self, f: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, exactly; equal cosines by place."""
@@ -128,11 +155,11 @@ class Examples:
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Score between 0 and 1, and the ids of the neighbours that voted."""
         f, v = self.query(text or "")
-        at, cosine = self.nearest(f, v) if len(f) else ((), ())
+        at, cosine = self.nearest(f, v) if len(f) > 1 else ((), ())
         if not len(at):
             return self.prior, []
         vote = self.weight[at] * cosine**2  # far neighbours hardly outweigh the one vote of the prior
-        least = float(self.weight.min())
+        least = PRIOR_VOTE * float(self.weight.min())
         return float(((vote * self.label[at]).sum() + least * self.prior) / (vote.sum() + least)), self.ids[at].tolist()
 
 
