@@ -80,9 +80,17 @@ def islands(df: DataFrame, on: list[str], start: str, end: str, touching: bool =
     return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach", "_new")
 
 
-def merged(df: DataFrame, on: list[str], start: str, end: str, touching: bool = False) -> DataFrame:
-    """on, start, end, n: the union of each chain of intervals. Nested intervals keep the larger end."""
-    return islands(df, on, start, end, touching).groupBy(*on, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("island")
+def merged(df: DataFrame, on: list[str], start: str, end: str, touching: bool = False, width: int | None = None) -> DataFrame:
+    """on, start, end, n: the union of each chain of intervals. Nested intervals keep the larger end.
+
+    width: merge inside bins of starts first. Where ``on`` has few values (chromosomes), that spreads the
+    work over tasks, and only the unions of the bins meet in the task of their key."""
+    rows = df.select(*on, start, end).withColumn("n", F.lit(1).cast("long"))
+    for keys in [[*on, "_bin"], on] if width else [on]:
+        if "_bin" in keys:
+            rows = rows.withColumn("_bin", F.floor(F.col(start) / F.lit(width)))
+        rows = islands(rows, keys, start, end, touching).groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("island", "_bin")
+    return rows
 
 
 def atomic_segments(df: DataFrame, on: list[str], start: str, end: str) -> DataFrame:
@@ -103,7 +111,7 @@ def tss_windows(exons: DataFrame, gene: list[str], transcript: str, start: str,
     site = exons.groupBy(*gene, strand, transcript).agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
     at = F.when(F.col(strand) == "+", F.col("_lo")).otherwise(F.col("_hi"))
     windows = site.select(*gene, strand, F.greatest(at - span, F.lit(1)).alias("start"), (at + span).alias("end"))
-    return merged(windows, [*gene, strand], "start", "end")
+    return merged(windows, [*gene, strand], "start", "end", width=100_000)
 
 
 def clipped(start: Column, end: Column, lo: Column, hi: Column) -> tuple[Column, Column]:

@@ -20,6 +20,14 @@ def test_merge_strict_touching_nested(spark):
     assert got(True) == [("x", 0, 25, 4), ("x", 40, 41, 1), ("y", 0, 10, 2)]
 
 
+def test_merge_in_bins_gives_the_same(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), s := rng.randrange(3000), s + rng.randrange(1, 60)) for _ in range(300)]
+    for touching in (False, True):
+        got = [sorted(map(tuple, iv.merged(frame(spark, rows), ["k"], "s", "e", touching, w).collect())) for w in (None, 50, 700)]
+        assert got[0] == got[1] == got[2]
+
+
 def test_merge_is_idempotent(spark):
     once = iv.merged(frame(spark, INTERVALS), ["k"], "s", "e").drop("n")
     assert sorted(map(tuple, iv.merged(once, ["k"], "s", "e").drop("n").collect())) == sorted(map(tuple, once.collect()))
