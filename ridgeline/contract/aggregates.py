@@ -116,8 +116,8 @@ def unpivot_long(t: Tables):
 
 @query("SELECT event_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6) AS pct FROM events GROUP BY event_type")
 def freq_pct(t: Tables):
-    n = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("event_type", "n", rounded(100.0 * F.col("n") / F.col("total")).alias("pct"))
+    total = t.events.agg(F.count(F.lit(1))).scalar()
+    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", "n", rounded(100.0 * F.col("n") / total).alias("pct"))
 
 
 @query("WITH s AS (SELECT o_custkey, count(*) AS n_sites FROM orders GROUP BY 1) SELECT n_sites, count(*) AS n FROM s GROUP BY n_sites")

@@ -64,7 +64,7 @@ def translate_reverse(t: Tables):
 
 @query("WITH a AS (SELECT DISTINCT upper(lang) AS g FROM documents), b AS (SELECT DISTINCT upper(substr(n_name, 1, 2)) AS g FROM nation) SELECT g, CASE WHEN ends_with(g, 'N') THEN 'n' ELSE 'other' END AS label FROM a WHERE g IN (SELECT g FROM b UNION ALL SELECT 'EN')")
 def upper_intersect(t: Tables):
-    known = t.nation.select(F.upper(F.substring("n_name", 1, 2)).alias("g")).unionByName(t.nation.limit(1).select(F.lit("EN").alias("g")))
+    known = t.nation.select(F.upper(F.substring("n_name", 1, 2)).alias("g")).unionByName(t.spark.range(1).select(F.lit("EN").alias("g")))
     return t.documents.select(F.upper("lang").alias("g")).distinct().join(known, "g", "left_semi").select("g", F.when(F.col("g").endswith("N"), "n").otherwise("other").alias("label"))
 
 
