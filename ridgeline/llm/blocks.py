@@ -32,6 +32,16 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(at, rows)
 
 
+_CLAIMS: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str, clear: Callable[[], object]) -> None:
+    """Inside a worker: from now on only ``owner`` keeps a cache there; those of other operators are cleared."""
+    for other in [k for k in _CLAIMS if k != owner]:
+        _CLAIMS.pop(other)()
+    _CLAIMS[owner] = clear
+
+
 def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str, *cols: str) -> DataFrame:
     """``fn(column lists...) -> {name: values}`` on slices of each partition, Arrow both ways."""
     from pyspark.sql.pandas.types import to_arrow_schema

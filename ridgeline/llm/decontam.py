@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import documents, keep_where, mix, slices
+from ridgeline.llm.blocks import claim, documents, keep_where, mix, slices
 
 EDITS = 0.1
 Q = 8
@@ -243,6 +243,7 @@ def without_leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text_co
         sent = df.sparkSession.sparkContext.broadcast(Benchmark(chosen, edits))
 
         def clean(texts, sent=sent):
+            claim("decontam", lambda: None)
             hit = {d for d, *_ in sent.value.find([normal(t) for t in texts])}
             return [i not in hit for i in range(len(texts))]
 
@@ -263,6 +264,7 @@ def leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, id_col: str = "
         def run(batches, sent=sent):
             import pyarrow as pa
 
+            claim("decontam", lambda: None)
             for batch in batches:
                 for part in slices(batch, 4 << 20):
                     ids, bench = part.column(0).to_pylist(), sent.value

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import documents, drop, kept, mix, slices, text_bytes
+from ridgeline.llm.blocks import claim, documents, drop, kept, mix, slices, text_bytes
 from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -47,7 +47,7 @@ BLOCK_BYTES, SQUARE, LOCAL = 16 << 20, 1024, 64
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -102,6 +102,7 @@ def _asked(blocks: DataFrame, words: int, key_bits: int, range_bits: int) -> Dat
     """block, range, keys, counts: each block's distinct token keys and how many of its distinct sets have them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard", _HASH.clear)
         held: dict[int, list] = {}
         seen: set = set()
         for batch in batches:

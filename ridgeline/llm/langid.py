@@ -58,9 +58,11 @@ class ContextTrees:
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.langs, self.order = sorted(texts), order
+        if not texts:
+            return
         n = len(self.langs)
         raw = [np.frombuffer(b"".join(b"\n" * order + _bytes(t) for t in texts[k]) or b"\n", np.uint8) for k in self.langs]
-        seen = np.unique(np.concatenate(raw)) if raw else np.zeros(0, np.uint8)
+        seen = np.unique(np.concatenate(raw))
         self.symbol = np.zeros(256, np.int32)  # 0: a byte that no sample has
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = a = len(seen) + 1

@@ -21,10 +21,10 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm.blocks import documents, map_rows
+from ridgeline.llm.blocks import claim, documents, map_rows
 
 #: Words whose count changes are kept by each worker; older half goes first.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 LONGEST_CACHED = 64
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -191,6 +191,7 @@ def token_counts(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", ledger: bo
     def run(ids, texts):
         import zstandard
 
+        claim("tokens", _COUNTERS.clear)
         count, pack = counter(path(tokenizer)), zstandard.ZstdCompressor(level=1)
         found = [count.changes(t or "") for t in texts]
         out = {"id": ids, "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": [total(c) for c in found]}

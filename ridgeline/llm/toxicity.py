@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import crc_mod, documents, keep_where, map_rows
+from ridgeline.llm.blocks import claim, crc_mod, documents, keep_where, map_rows
 
 #: The bounds of the sample and of the index: examples of each label, features, neighbours, examples in a block.
 EXAMPLES, FEATURES, NEIGHBOURS, BLOCK = 2048, 1024, 15, 64
@@ -34,7 +34,7 @@ BEGINNINGS = (3, 4, 5)
 OTHER = 0.03
 #: The vote of the prior, as that of so many neighbours at cosine 1.
 PRIOR_VOTE = 0.1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -180,6 +180,7 @@ def toxicity(df: DataFrame, model: Examples, id_col: str = "doc_id", text_col: s
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(ids, texts):
+        claim("toxicity", sent.value.cache.clear)
         found = [sent.value.score(t) for t in texts]
         return {"id": ids, "score": [s for s, _ in found], "evidence": [e for _, e in found]}
 
@@ -189,7 +190,12 @@ def toxicity(df: DataFrame, model: Examples, id_col: str = "doc_id", text_col: s
 def without_toxic(df: DataFrame, model: Examples, text_col: str = "text") -> DataFrame:
     """The rows of df that score under 0.5."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    return keep_where(df, lambda texts: [sent.value.score(t)[0] < 0.5 for t in texts], text_col)
+
+    def clean(texts):
+        claim("toxicity", sent.value.cache.clear)
+        return [sent.value.score(t)[0] < 0.5 for t in texts]
+
+    return keep_where(df, clean, text_col)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
