@@ -34,7 +34,8 @@ def parser() -> argparse.ArgumentParser:
     command("count", ats=str, bam_list=str, output=str, delimiter="\t", compress=bool, bulk=bool)
     command("coexp", input=str, output=str, distance=1000, barcode=None, spearman=bool, group_info=None)
     command("train", atac=str, cage=str, output=str, genome=str, sample_size=1000, test_size=0.3, classifier="rf")
-    command("filter", infile=str, bigwig=str, output=str, classifier=str)
+    kept = command("filter", infile=str, bigwig=None, output=str, classifier=None)
+    kept.add_argument("bams", nargs="*")
     command("format", input=str, output=str, psi=None, min=0.0, reference=None)
     return top
 
@@ -101,15 +102,29 @@ def run_filter(spark, a) -> None:
     from pyspark.ml.util import DefaultParamsReader
 
     from ridgeline.plans.classify import features
+    from ridgeline.plans.similarity import similarities, start_histograms
     from ridgeline.sources.bigwig import feature_vectors
 
-    model = DefaultParamsReader.loadParamsInstance(a.classifier, spark.sparkContext)
+    if not (a.classifier and a.bigwig) and not a.bams:
+        raise SystemExit("give a classifier and its signal, or alignments")
     sites = text.sites(spark, a.infile)
-    vectors = feature_vectors(spark.read.format("bigwig").load(a.bigwig), sites.select("chrom", F.col("end").alias("at")).distinct()).withColumnRenamed("features", "embedding")
-    said = model.transform(features(vectors.withColumn("label", F.lit(0)))).select("chrom", F.col("at").alias("end"), F.when(F.col("prediction") == 1, "true").otherwise("false").alias("predict"))
-    out = sites.join(said, ["chrom", "end"], "left").groupBy("utr", "gene_name").agg(F.array_sort(F.collect_list(F.struct("end", F.coalesce("predict", F.lit("na")).alias("predict")))).alias("x"))
-    join = lambda f: F.array_join(F.transform("x", lambda v: v[f].cast("string")), ",")
-    sinks.table(out.select("utr", "gene_name", join("end").alias("inferred_sites"), join("predict").alias("predict")), a.output)
+    if a.classifier:
+        model = DefaultParamsReader.loadParamsInstance(a.classifier, spark.sparkContext)
+        vectors = feature_vectors(spark.read.format("bigwig").load(a.bigwig), sites.select("chrom", F.col("end").alias("at")).distinct()).withColumnRenamed("features", "embedding")
+        said = model.transform(features(vectors.withColumn("label", F.lit(0)))).select("chrom", F.col("at").alias("end"), F.when(F.col("prediction") == 1, "true").otherwise("false").alias("predict"))
+        sites = sites.join(said, ["chrom", "end"], "left")
+    else:
+        sites = sites.withColumn("predict", F.lit(None).cast("string"))
+    if a.bams:
+        hist = start_histograms(load(spark, a.bams), sites).withColumn("site", F.concat_ws("_", "utr", "end"))
+        near = similarities(hist, "site", "pos", "n")
+        sites = sites.withColumn("site", F.concat_ws("_", "utr", "end")).join(near, "site", "left")
+    else:
+        sites = sites.withColumn("similarity", F.lit(None).cast("double"))
+    text_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("na")).alias(c)
+    out = sites.groupBy("utr", "gene_name").agg(F.array_sort(F.collect_list(F.struct("end", text_or("predict"), text_or("similarity")))).alias("x"))
+    join = lambda f: F.array_join(F.transform("x", lambda v: v[f].cast("string")), ",").alias(f)
+    sinks.table(out.select("utr", "gene_name", join("end").alias("inferred_sites"), join("predict"), join("similarity")), a.output)
 
 
 def run_format(spark, a) -> None:

@@ -67,7 +67,16 @@ def test_train_and_filter(spark, tmp_path):
     cli.main(["train", "--atac", out("x.bw"), "--cage", out("cage.bed"), "--output", out("model"), "--genome", out("genome"), "--sample-size", "40", "--classifier", "dt"])
     (tmp_path / "s.tsv").write_text("utr\tgene_name\tinferred_sites\nchr1:5-99:+\tg\t20,90000\n")
     cli.main(["filter", "--infile", out("s.tsv"), "--bigwig", out("x.bw"), "--output", out("f"), "--classifier", out("model")])
-    assert lines(tmp_path / "f")[1].split("\t")[2:] == ["20,90000", "true,false"]
+    assert lines(tmp_path / "f")[1].split("\t")[2:] == ["20,90000", "true,false", "na,na"]
+    with pytest.raises(SystemExit):
+        cli.main(["filter", "--infile", out("s.tsv"), "--output", out("f")])
+
+
+def test_filter_by_similarity(spark, world):
+    (world / "s.tsv").write_text("utr\tgene_name\tinferred_sites\nchr1:500-1600:+\tga\t1030,9000\n")
+    cli.main(["filter", "--infile", str(world / "s.tsv"), "--output", str(world / "f"), str(world / "x.bam")])
+    site, empty = lines(world / "f")[1].split("\t")[4].split(",")
+    assert float(site) > 0.5 and empty == "na"
 
 
 def test_simulation_and_distance(spark):
