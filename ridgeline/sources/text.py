@@ -145,3 +145,22 @@ def fastq_counts(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """file, md5 of every file under a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.md5("content").alias("md5"))
+
+
+def wide_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """row_id, col_id, value of a wide file: first column the row ids (made unique by .1, .2, ...), one column for each cell."""
+    from pyspark.sql import Window
+
+    rows = spark.read.csv(path, sep=sep, header=True)
+    first, *cells = rows.columns
+    at = F.monotonically_increasing_id()
+    numbered = rows.withColumn("_at", at).withColumn("_n", F.row_number().over(Window.partitionBy(first).orderBy("_at")) - 1)
+    name = F.when(F.col("_n") == 0, F.col(f"`{first}`")).otherwise(F.concat_ws(".", F.col(f"`{first}`"), "_n"))
+    return numbered.withColumn("row_id", name).unpivot("row_id", [F.col(f"`{c}`") for c in cells], "col_id", "value").select("row_id", "col_id", F.col("value").cast("double").alias("value"))
+
+
+def truth_sites(spark: SparkSession, path: str) -> DataFrame:
+    """name, site of a simulated truth file: the start, or on the minus strand the end."""
+    part = F.split("value", "\t")
+    field = lambda i: F.get(part, F.lit(i))
+    return _lines(spark, path).select(field(3).alias("name"), F.when(field(5) == "+", field(1)).otherwise(field(2)).cast("long").alias("site"))

@@ -91,3 +91,20 @@ def test_peaks(spark):
     sizes = spark.createDataFrame([("1", 100), ("2", 300)], "chrom string, size long")
     drawn = peaks.random_sites(spark, sizes, 200).collect()
     assert len(drawn) == 200 and all(0 <= r.at < {"1": 100, "2": 300}[r.chrom] for r in drawn) and {r.chrom for r in drawn} == {"1", "2"}
+
+
+def test_cells(spark):
+    import numpy as np
+
+    from ridgeline.plans import cells
+
+    rng = np.random.default_rng(1)
+    dense = rng.poisson(2, (6, 30)) * np.repeat([[1, 4]], 15, axis=0).reshape(1, 30)
+    rows = [(f"r{i}", f"c{j}", float(v)) for i, r in enumerate(dense) for j, v in enumerate(r) if v]
+    df = spark.createDataFrame(rows, "row_id string, col_id string, value double")
+    m = {r.row_id: (r.mean, r.variance) for r in cells.moments(df, 30).collect()}
+    assert all(np.allclose(m[f"r{i}"], (dense[i].mean(), dense[i].var(ddof=1))) for i in range(6))
+    norm = cells.log_normalised(df)
+    assert cells.variable_rows(norm, 30, 3).count() == 3
+    out = cells.principal_components(norm, [f"r{i}" for i in range(6)], 2).collect()
+    assert len(out) == 30 and all(len(r.pca) == 2 for r in out)

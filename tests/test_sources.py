@@ -144,3 +144,11 @@ def test_prefix(spark):
     df = spark.createDataFrame([("chr1",), ("2",)], "c string")
     assert [r.x for r in df.select(bam.same_prefix(F.col("c"), "chrX").alias("x")).collect()] == ["chr1", "chr2"]
     assert [r.x for r in df.select(bam.same_prefix(F.col("c"), "X").alias("x")).collect()] == ["1", "2"]
+
+
+def test_wide_matrix_and_truth(spark, tmp_path):
+    (tmp_path / "w.csv").write_text(",c1,c.2\ng,1,2\ng,3,4\nh,5,\n")
+    got = sorted(map(tuple, text.wide_matrix(spark, str(tmp_path / "w.csv")).filter("value IS NOT NULL").collect()))
+    assert got == [("g", "c.2", 2.0), ("g", "c1", 1.0), ("g.1", "c.2", 4.0), ("g.1", "c1", 3.0), ("h", "c1", 5.0)]
+    (tmp_path / "t.bed").write_text("1\t5\t9\tg_t\t0\t+\n1\t5\t9\th_t\t1\t-\n")
+    assert sorted(map(tuple, text.truth_sites(spark, str(tmp_path / "t.bed")).collect())) == [("g_t", 5), ("h_t", 9)]
