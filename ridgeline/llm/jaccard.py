@@ -41,8 +41,8 @@ from ridgeline.llm.components import components
 WORDS, PERCENT = 5, 75
 #: Tokens in so many texts or more are indexed in pairs.
 FREQUENT = 32
-#: Text bytes in a block of documents; sets multiplied out at a time; local members of a signature that are joined before the shuffle.
-BLOCK_BYTES, SQUARE, LOCAL = 16 << 20, 1024, 64
+#: Text bytes in a partition of documents, and the blocks it is dealt by; sets multiplied out at a time; local members of a signature that are joined before the shuffle.
+PART_BYTES, BLOCKS, SQUARE, LOCAL = 16 << 20, 4, 1024, 64
 
 
 class _Hashes(dict):
@@ -348,14 +348,15 @@ def verified(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """docs: id (unique), text -> id, n_shingles, component_id, n_links (documents linked with it, copies included)."""
     size = text_bytes(docs)[1]
-    parts = max(8, math.ceil(size / BLOCK_BYTES))
+    parts = max(8, math.ceil(size / PART_BYTES))
     range_bits = math.ceil(math.log2(parts))
     key_bits = min(62, max(range_bits + 8, math.ceil(math.log2(max(2, size / 5))) + 8))
-    blocks = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("block")).repartition(parts, "block")
+    blocks = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOCKS * parts)).cast("int").alias("block")).repartition(parts, "block")
     answers = kept(_answered(_asked(blocks, words, key_bits, range_bits)), "frequencies")
     profiles = kept(_profiled(blocks, answers, words, percent, key_bits, frequent), "profiles")
     drop(answers)
-    copies = profiles.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # stored, so that the join with all members has two plain sides, whose hot keys Spark can split
+    copies = kept(profiles.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
     sets = profiles.filter(F.col("tokens").isNotNull()).groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "single", "rare", "tokens")).alias("s"), F.count(F.lit(1)).alias("copies"))
     sets = kept(sets.select(F.col("s.id").alias("rep"), "s.n", "s.single", "s.rare", "copies", "s.tokens"), "sets")
     groups = components(candidate_links(sets, percent, range_bits))
