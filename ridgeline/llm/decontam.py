@@ -35,6 +35,8 @@ Q = 8
 WALKS, TABLES, BITS = 8, 64, 5
 #: Benchmark bytes held by a worker at a time.
 ITEM_BYTES = 16 << 20
+#: Bytes looked at beyond a window when it is verified: an item may begin inside a word.
+ROOM = 32
 _GRAM_SPACE = 22
 _CHUNK = 1 << 16
 _SEED = 20240229
@@ -161,7 +163,7 @@ class Benchmark:
                 known = out.get((doc, item))
                 if known and (known[0] == 0 or p < known[2] - k):
                     continue
-                lo, hi = max(int(start[doc]), p - k), min(int(start[doc] + size[doc]), p + size_i + k)
+                lo, hi = max(int(start[doc]), p - k - ROOM), min(int(start[doc] + size[doc]), p + size_i + k + ROOM)
                 text = x[lo:hi].tobytes()
                 exact = text.find(self.raw[item])
                 d, end = (0, exact + size_i) if exact >= 0 else edit_search(self.raw[item], text)
