@@ -49,6 +49,13 @@ def test_recall(items, docs, rate, recall):
     assert sum(p in found for p in inside) >= recall * len(inside)
 
 
+def test_items_inside_words(items):
+    bench = decontam.Benchmark(items)
+    texts = [decontam.normal(f"before-and{t}glued to what follows") for _, t in items]
+    found = {(d, i): dist for d, i, dist, *_ in bench.find(texts)}
+    assert all(found.get((i, i)) == 0 for i in range(len(items)))
+
+
 def test_rows_are_true_and_complete_for_exact_copies(spark, items):
     rows = decontam.op3_decontam(spark, DATA).collect()
     docs = {r.doc_id: decontam.normal(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
