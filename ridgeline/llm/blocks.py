@@ -6,6 +6,7 @@ ones named like an output) never clash.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -109,6 +110,15 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return row["n"], row["b"]
 
 
+def parts_for(size: int, part_bytes: int, most: int = 256 << 20) -> int:
+    """Partitions for an exchange between blocks and ranges.
+
+    Partitions grow with the square root of the corpus beyond a GB, so that the packets between
+    all blocks and all ranges grow in proportion to it, up to what a task can hold."""
+    part = min(most, part_bytes * max(1.0, (size / 1e9) ** 0.5))
+    return max(8, math.ceil(size / part))
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of an id written as text, modulo ``mod``."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import claim, documents, drop, kept, mix, slices, text_bytes
+from ridgeline.llm.blocks import claim, documents, drop, kept, mix, parts_for, slices, text_bytes
 from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -348,7 +348,7 @@ def verified(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """docs: id (unique), text -> id, n_shingles, component_id, n_links (documents linked with it, copies included)."""
     size = text_bytes(docs)[1]
-    parts = max(8, math.ceil(size / PART_BYTES))
+    parts = parts_for(size, PART_BYTES)
     range_bits = math.ceil(math.log2(parts))
     key_bits = min(62, max(range_bits + 8, math.ceil(math.log2(max(2, size / 5))) + 8))
     blocks = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOCKS * parts)).cast("int").alias("block")).repartition(parts, "block")
