@@ -59,12 +59,29 @@ def average_rank(df: DataFrame, group: list[str], value: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2
 
 
+def value_ranks(df: DataFrame, key: list[str], value: str, sums: dict[str, Column], cuts: int = 64) -> DataFrame:
+    """key, value, n, rank (ties at their mean) and the given sums, one row for each distinct value of a key.
+
+    For keys with any number of rows: equal values are counted before the shuffle, a key's values are
+    dealt into buckets by approximate quantiles, and ranks are sums of the buckets before and inside."""
+    spread = df.groupBy(*key).agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 1000).alias("_q"))
+    rows = df.join(spread, key).withColumn("_b", F.size(F.filter("_q", lambda q: q < F.col(value))))
+    counts = rows.groupBy(*key, "_b", value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in sums.items()])
+    totals = counts.groupBy(*key, "_b").agg(F.sum("n").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*key, "_b", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumn("_inside", inside).join(totals, [*key, "_b"])
+    return ranked.withColumn("rank", F.col("_before") + F.col("_inside") + (F.col("n") + 1) / 2).drop("_b", "_before", "_inside")
+
+
 def rank_sum(df: DataFrame, key: list[str], first: Column, value: str) -> DataFrame:
     """key, n1, n2, u, z, auc of the Wilcoxon rank-sum test (normal approximation, tie-corrected)."""
-    ranked = df.withColumn("_first", first).withColumn("_rank", average_rank(df, key, value)).withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy(*key, value)))
+    rows = df.select(*key, value, F.when(first, 1).otherwise(0).alias("_first"))
+    ranked = value_ranks(rows, key, value, {"_n1": F.sum("_first")})
+    n = F.col("n").cast("double")
     s = ranked.groupBy(*key).agg(
-        F.sum(F.when(F.col("_first"), 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("_first"), 0).otherwise(1)).alias("n2"),
-        F.sum(F.when(F.col("_first"), F.col("_rank")).otherwise(0.0)).alias("_r"), F.sum(F.col("_ties").cast("double") ** 2 - 1).alias("_t"),
+        F.sum("_n1").alias("n1"), F.sum(F.col("n") - F.col("_n1")).alias("n2"), F.sum(F.col("_n1") * F.col("rank")).alias("_r"), F.sum(n * n * n - n).alias("_t")
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u = F.col("_r") - n1 * (n1 + 1) / 2

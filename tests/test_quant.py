@@ -66,6 +66,17 @@ def test_rank_sum_of_separated_groups(spark):
     assert (r.n1, r.n2, r.u, r.auc) == (3, 3, 0.0, 0.0) and r.z < -1.9
 
 
+def test_value_ranks(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.randrange(60)) for _ in range(500)]
+    got = {(r.k, r.v): r.rank for r in quant.value_ranks(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", {}, 8).collect()}
+    for k, v in rows:
+        mine = [y for x, y in rows if x == k]
+        assert got[k, v] == sum(y < v for y in mine) + (mine.count(v) + 1) / 2
+
+
 def test_isoform_weights(spark):
     exons = spark.createDataFrame([("s", "i1", 0, 100), ("s", "i1", 200, 400), ("s", "i2", 0, 100), ("s", "i2", 300, 500)], "ats string, isoform string, start long, end long")
     parts = spark.createDataFrame(
