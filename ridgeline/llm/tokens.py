@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ridgeline.llm.blocks import claim, documents, map_rows
 
 #: Words whose count changes are kept by each worker; older half goes first.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 LONGEST_CACHED = 64
+#: Words that begin with the same so many bytes share the programme's state up to there.
+HEAD, HEADS = 6, 100_000
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What can be told apart without looking at its neighbours: blanks with the word after them.
@@ -48,9 +50,12 @@ class PrefixCounter:
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.rank: dict[tuple[bytes, bytes], int] = {}
+        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
         for at, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[raw(a), raw(b)] = at
+            #: token -> (rank, left part, right part) of the merge that makes it
+            self.made.setdefault(raw(a) + raw(b), (at, raw(a), raw(b)))
         special = {x["content"] for x in spec.get("added_tokens", ())}
         self.vocabulary = {raw(t) for t in spec["model"]["vocab"] if t not in special}
         self.longest = max(map(len, self.vocabulary))
@@ -58,11 +63,12 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.plain = sorted(special)
         self.stable: dict[tuple[bytes, bytes], bool] = {}
+        self.heads: dict[bytes, tuple[list[int], list[bytes]]] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
-        """The encoding by the merges themselves; for pairs of tokens only."""
+        """The encoding by the merges themselves: the plain way, for comparison."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
         while len(parts) > 1:
             best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
@@ -80,17 +86,36 @@ class PrefixCounter:
         return parts
 
     def pair_stays(self, a: bytes, b: bytes) -> bool:
+        """Do the merges keep this pair of tokens apart?
+
+        Merges are undone from the last one on, at the two parts beside the border. The pair falls if
+        those parts could have been merged before what has been undone; of equal merges the left one comes first."""
         known = self.stable.get((a, b))
         if known is None:
             if len(self.stable) > 2_000_000:
                 self.stable.clear()
-            known = self.stable[a, b] = self.merged(a + b) == [a, b]
+            left, right, before, known = a, b, 1 << 60, True
+            while True:
+                if self.rank.get((left, right), 1 << 60) < before:
+                    known = False
+                    break
+                made_left, made_right = self.made.get(left), self.made.get(right)
+                if made_left is None and made_right is None:
+                    break
+                if made_right is None or (made_left is not None and made_left[0] > made_right[0]):
+                    before, left = made_left[0], made_left[2]
+                else:
+                    before, right = made_right[0] + 1, made_right[1]
+            self.stable[a, b] = known
         return known
 
     def word(self, raw: bytes) -> list[int]:
         """Tokens of each byte prefix of one word, from 0 bytes on: the dynamic programme."""
-        counts, last, vocabulary, stable, longest = [0], [b""], self.vocabulary, self.stable, self.longest
-        for end in range(1, len(raw) + 1):
+        vocabulary, stable, longest, size = self.vocabulary, self.stable, self.longest, len(raw)
+        counts, last = [0], [b""]
+        if size > HEAD and (known := self.heads.get(raw[:HEAD])):
+            counts, last = known[0].copy(), known[1].copy()
+        for end in range(len(counts), size + 1):
             for start in range(max(0, end - longest), end):
                 token = raw[start:end]
                 if token in vocabulary and (start == 0 or (k if (k := stable.get((last[start], token))) is not None else self.pair_stays(last[start], token))):
@@ -99,6 +124,10 @@ class PrefixCounter:
                 raise ValueError("the vocabulary lacks a byte")
             counts.append(counts[start] + 1)
             last.append(token)
+            if end == HEAD and size > HEAD:
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                self.heads[raw[:HEAD]] = counts.copy(), last.copy()
         return counts
 
     def piece(self, piece: str) -> bytes:
