@@ -34,6 +34,16 @@ def test_every_prefix_of_nasty_texts(library, counter):
         assert counts.tolist() == [len(library.encode(text[:k], add_special_tokens=False)) for k in range(1, len(text) + 1)], text
 
 
+def test_pairs_stay_as_the_merges_have_it(counter):
+    rng = random.Random(2)
+    vocabulary = sorted(counter.vocabulary)
+    pairs = [(rng.choice(vocabulary), rng.choice(vocabulary)) for _ in range(4000)]
+    pairs += [(b"a", b"aa"), (b"aa", b"a"), (b"aa", b"aa"), (b" ", b" "), (b" t", b"he"), (b" th", b"e")]
+    pairs += [(t[:k], t[k:]) for t in rng.sample(vocabulary, 800) for k in range(1, len(t)) if t[:k] in counter.vocabulary and t[k:] in counter.vocabulary]
+    for a, b in pairs:
+        assert counter.pair_stays(a, b) == (counter.merged(a + b) == [a, b]), (a, b)
+
+
 def test_totals(library, counter, docs):
     texts = NASTY + [r.text for r in docs.select("text").collect()]
     assert [tokens.total(counter.changes(t)) for t in texts] == [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
