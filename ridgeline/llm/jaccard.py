@@ -20,8 +20,8 @@ answered by ranges of tokens; nothing that grows with the corpus is broadcast or
 Equal sets are one node with its number of copies.
 
 Edge cases: null and empty texts have no shingles and no links; under five words the whole
-sequence is one shingle; identical texts are linked; ids must be unique; an empty table
-gives an empty result.
+sequence is one shingle; identical texts are linked; ids should be unique, and a row without an
+id is linked with equal sets only; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -357,8 +357,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fre
     drop(answers)
     # stored, so that the join with all members has two plain sides, whose hot keys Spark can split
     copies = kept(profiles.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
-    sets = profiles.filter(F.col("tokens").isNotNull()).groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "single", "rare", "tokens")).alias("s"), F.count(F.lit(1)).alias("copies"))
-    sets = kept(sets.select(F.col("s.id").alias("rep"), "s.n", "s.single", "s.rare", "copies", "s.tokens"), "sets")
+    sets = profiles.filter(F.col("tokens").isNotNull()).groupBy("h1", "h2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "single", "rare", "tokens"))).alias("s"), F.count(F.lit(1)).alias("copies"))
+    sets = kept(sets.select(F.col("s.id").alias("rep"), "s.n", "s.single", "s.rare", "copies", "s.tokens").filter("rep IS NOT NULL"), "sets")
     groups = components(candidate_links(sets, percent, range_bits))
     found = kept(verified(sets, groups, percent), "verified")
     drop(sets)

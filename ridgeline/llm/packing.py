@@ -94,14 +94,16 @@ def packed(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, n_rows: in
     groups = max(1, math.ceil((rows.count() if n_rows is None else n_rows) / group))
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
 
-    def run(pdf):
-        pdf = pdf.sort_values(["id", "piece"], na_position="first", ignore_index=True)
-        bins, offsets, sizes = pack(pdf["length"].tolist(), capacities)
-        pdf["bin_id"] = [int(pdf["group"].iloc[0]) << 32 | b for b in bins]
-        pdf["bin_offset"], pdf["capacity"] = offsets, [sizes[b] for b in bins]
-        return pdf[["id", "piece", "start", "length", "bin_id", "bin_offset", "capacity"]]
-
-    return pieces.groupBy("group").applyInPandas(run, "id long, piece long, start long, length long, bin_id long, bin_offset long, capacity long")
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("id", "ascending"), ("piece", "ascending")])
+        bins, offsets, sizes = pack(table["length"].to_pylist(), capacities)
+        group = table["group"][0].as_py()
+        longs = {"bin_id": [group << 32 | b for b in bins], "bin_offset": offsets, "capacity": [sizes[b] for b in bins]}
+        return pa.table({**{c: table[c] for c in ("id", "piece", "start", "length")}, **{k: pa.array(v, pa.int64()) for k, v in longs.items()}})
+
+    return pieces.groupBy("group").applyInArrow(run, "id long, piece long, start long, length long, bin_id long, bin_offset long, capacity long")
 
 
 def byte_tokens(text_col: str = "text") -> Column:
