@@ -9,14 +9,21 @@ from ridgeline.llm.blocks import drop, kept
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One round: neighbours move to the least node near them. edges: a > b."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    # larger neighbours to the least one, as pairs (neighbour, least)
-    large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a")
-    return small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    """One round: neighbours move to the least node near them. edges: a > b.
+
+    The least neighbours are stored before they are joined: both sides of a join are plain shuffles
+    then, so Spark can split the rows of a node that a third of all links lead to."""
+    least = kept(edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")), "least")
+    # larger neighbours of b move to the least of b and its neighbours
+    large = kept(edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "large")
+    drop(least)
+    least = kept(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+    # smaller neighbours of a, and a itself, move to the least of them
+    small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    out = kept(small.filter("a <> b").distinct(), "links")
+    drop(large)
+    drop(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,5 +38,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen or not now["n"]:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         seen, last = now, edges
-        edges = kept(_stars(edges), "links")
+        edges = _stars(edges)
         drop(last)
