@@ -6,7 +6,9 @@ ones named like an output) never clash.
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -104,6 +106,15 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see that the shuffles behind stored tables are free: it only looks when the driver's JVM collects garbage."""
+    for _ in range(2):  # the first round drops what Python and the last query's events still held
+        gc.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """(rows, UTF-8 bytes) of the corpus; sizes shuffles, never drops anything."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()

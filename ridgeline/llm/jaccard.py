@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import claim, documents, drop, kept, mix, parts_for, slices, text_bytes
+from ridgeline.llm.blocks import claim, documents, drop, kept, mix, parts_for, release, slices, text_bytes
 from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -353,8 +353,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fre
     key_bits = min(62, max(range_bits + 8, math.ceil(math.log2(max(2, size / 5))) + 8))
     blocks = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOCKS * parts)).cast("int").alias("block")).repartition(parts, "block")
     answers = kept(_answered(_asked(blocks, words, key_bits, range_bits)), "frequencies")
+    release(docs.sparkSession)  # the first deal of the texts, before the second
     profiles = kept(_profiled(blocks, answers, words, percent, key_bits, frequent), "profiles")
     drop(answers)
+    del blocks, answers
+    release(docs.sparkSession)
     # stored, so that the join with all members has two plain sides, whose hot keys Spark can split
     copies = kept(profiles.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
     sets = profiles.filter(F.col("tokens").isNotNull()).groupBy("h1", "h2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "single", "rare", "tokens"))).alias("s"), F.count(F.lit(1)).alias("copies"))
