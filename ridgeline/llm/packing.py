@@ -20,7 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import documents
+from ridgeline.llm.blocks import documents, kept
+from ridgeline.llm.tokens import token_counts
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Cost of one sequence besides its places, in places.
@@ -112,5 +113,6 @@ def byte_tokens(text_col: str = "text") -> Column:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return packed(docs.select(F.col("doc_id").alias("id"), byte_tokens().alias("tokens"))).withColumnRenamed("id", "doc_id")
+    """Packs the tokenizer's exact counts; they are stored, as rows are counted and dealt from them."""
+    counts = token_counts(documents(spark, sf_dir, "doc_id", "text"), ledger=False)
+    return packed(kept(counts.select("id", F.col("n_tokens").alias("tokens")), "token-counts")).withColumnRenamed("id", "doc_id")

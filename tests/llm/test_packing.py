@@ -3,7 +3,9 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ridgeline.llm import packing
+from ridgeline.llm import packing, tokens
+
+from .conftest import DATA
 
 
 @settings(max_examples=150, deadline=None)
@@ -54,3 +56,13 @@ def test_groups_do_not_share_bins(spark):
     assert len({b for b, _ in used}) == len(used)
     for (_, capacity), parts in used.items():
         assert sum(n for _, n in parts) <= capacity and len({o for o, _ in parts}) == len(parts)
+
+
+def test_query_packs_exact_token_counts(spark, docs):
+    count = tokens.counter(tokens.tokenizer_path("byte_bpe_50k.json"))
+    want = {r.doc_id: tokens.total(count.changes(r.text or "")) + 1 for r in docs.collect()}
+    got, filled = {}, {}
+    for r in packing.op5_packing(spark, DATA).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        filled[r.bin_id, r.capacity] = filled.get((r.bin_id, r.capacity), 0) + r.length
+    assert got == want and all(n <= capacity for (_, capacity), n in filled.items())
