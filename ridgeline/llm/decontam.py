@@ -5,13 +5,15 @@ in edit distance (over lower-case UTF-8 bytes). The steps, all in one pass over
 
 1. Gate, without loss: a stretch within k edits of an item of L bytes keeps at least
    L + 1 - q - k q of its q-grams, at offsets that differ by k at most. Only places where
-   some item has that many grams on about one diagonal are looked at further.
-2. Embedding: there, a window of the item's size starts at every word. The CGK random
-   walk writes window and item as longer strings, turning edits into few Hamming differences.
+   some item has that many grams on about one diagonal are looked at further, and of these
+   only where that many lie on k + 1 neighbouring diagonals: the stretch starts within k of them.
+2. Embedding: there, a window of the item's size starts at every byte, whatever the script. The
+   CGK random walk writes window and item as longer strings, turning edits into few Hamming differences.
 3. LSH: each of TABLES tables samples BITS places of one of WALKS walks; a window and an
    item that agree on one table's sample are candidates.
 4. Verification: exact bit-parallel edit distance of the item against the stretch around the
-   window.
+   window. Windows that no table named and no verified stretch holds are verified last, so
+   that LSH decides the order, not what is found.
 
 Edge cases: null and empty texts hit nothing; null and very short items (under ``q`` bytes)
 are skipped; repeated items each give their rows; equal distances go to the first place;
@@ -35,7 +37,7 @@ Q = 8
 WALKS, TABLES, BITS = 8, 64, 5
 #: Benchmark bytes held by a worker at a time.
 ITEM_BYTES = 16 << 20
-#: Bytes looked at beyond a window when it is verified: an item may begin inside a word.
+#: Bytes looked at beyond a window when it is verified, besides the item's edits.
 ROOM = 32
 _GRAM_SPACE = 22
 _CHUNK = 1 << 16
@@ -113,7 +115,7 @@ class Benchmark:
         return ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _GRAM_SPACE)).astype(np.int64)
 
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(items, first positions of the bands of diagonals) that pass the gate."""
+        """(items, first positions of the windows to embed): every byte where a stretch that passes the gate may start."""
         at, rows = [], []
         for lo in range(0, len(x), _CHUNK):
             row = self.row[self.gram(x[lo : lo + _CHUNK + self.q - 1])]
@@ -124,16 +126,30 @@ class Benchmark:
         first, many = self.begin[rows], self.begin[rows + 1] - self.begin[rows]
         each = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
         item = self.owner[each]
-        band = (np.repeat(at, many) - self.offset[each] + int(self.size.max())) // self.width
-        bands = len(x) // self.width + int(self.size.max()) // self.width + 3
-        key = np.sort(item * bands + band)
+        most = int(self.size.max())
+        diagonal = np.repeat(at, many) - self.offset[each] + most
+        bands = len(x) // self.width + most // self.width + 3
+        all_keys = item * bands + diagonal // self.width
+        key = np.sort(all_keys)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         key, n = key[new], np.diff(np.append(new, len(key)))
         # a band and the one after it together: no set of diagonals that lie close straddles both ends
         after = np.searchsorted(key, key + 1)
         both = n + np.where((after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1), n[np.minimum(after, len(key) - 1)], 0) if len(key) else n
         keep = both >= self.need[key // bands]
-        return key[keep] // bands, key[keep] % bands * self.width - int(self.size.max())
+        # of these bands, the diagonals that begin k + 1 neighbouring ones with enough grams
+        passed = np.isin(all_keys, np.concatenate([key[keep], key[keep] + 1]))
+        wide = len(x) + 4 * most
+        found = np.sort(item[passed] * wide + diagonal[passed])
+        enough = np.searchsorted(found, found + self.most[found // wide], "right") - np.arange(len(found)) >= self.need[found // wide]
+        found = np.unique(found[enough])
+        # the stretch starts within k of such a diagonal; what the one before has covered is left out
+        item, diagonal = found // wide, found % wide - most
+        lo, hi = diagonal - self.most[item], diagonal + self.most[item] + 1
+        again = np.flatnonzero(item[1:] == item[:-1]) + 1
+        lo[again] = np.maximum(lo[again], hi[again - 1])
+        many = hi - lo
+        return np.repeat(item, many), np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
 
     def find(self, raws: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the best stretch of each contaminated pair; places in bytes."""
@@ -143,27 +159,29 @@ class Benchmark:
         x = np.frombuffer(gap.join(raws) + gap, np.uint8)
         size = np.array([len(r) for r in raws], np.int64)
         start = np.cumsum(size + len(gap)) - (size + len(gap))
-        items, bands = self.places(x)
+        items, windows = self.places(x)
         if not len(items):
             return []
-        blank = (x == 32) | (x == 10)
-        words = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1] | (x[:-1] == 0)]) & (x != 0))
-        lo, hi = np.searchsorted(words, bands - self.most[items]), np.searchsorted(words, bands + 2 * self.width + self.most[items])
-        many = hi - lo
-        near = words[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))]
-        pairs = np.unique(np.stack([np.repeat(items, many), near], 1), axis=0)
+        doc = np.maximum(np.searchsorted(start, windows, "right") - 1, 0)
+        within = (windows >= start[doc]) & (windows < start[doc] + size[doc])
+        pairs = np.stack([items[within], windows[within]], 1)
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        looked: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for step in self.steps:
             mine = pairs[np.isin(pairs[:, 0], step.of)]
             if not len(mine):
                 continue
-            for item, p in mine[step.agree(x, mine[:, 1], mine[:, 0])].tolist():
+            agreed = step.agree(x, mine[:, 1], mine[:, 0])
+            # the tables' candidates first; then the windows that they missed and no verified stretch holds
+            for item, p in [*mine[agreed].tolist(), *mine[~agreed].tolist()]:
                 doc = int(np.searchsorted(start, p, "right") - 1)
                 size_i, k = int(self.size[item]), int(self.most[item])
                 known = out.get((doc, item))
-                if known and (known[0] == 0 or p < known[2] - k):
+                full = min(int(start[doc] + size[doc]), p + size_i + k)
+                if (known and known[0] == 0) or any(lo <= p and full <= hi for lo, hi in looked[doc, item]):
                     continue
                 lo, hi = max(int(start[doc]), p - k - ROOM), min(int(start[doc] + size[doc]), p + size_i + k + ROOM)
+                looked[doc, item].append((lo, hi))
                 text = x[lo:hi].tobytes()
                 exact = text.find(self.raw[item])
                 d, end = (0, exact + size_i) if exact >= 0 else edit_search(self.raw[item], text)

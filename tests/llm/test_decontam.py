@@ -78,3 +78,19 @@ def test_edges(edge, none, spark):
     assert sorted((r.id, r.item_id) for r in decontam.leaks(edge, items).collect()) == [(4, 4), (4, 4), (5, 4), (5, 4)]
     assert decontam.leaks(none, items).count() == 0 and decontam.leaks(edge, items.limit(0)).count() == 0
     assert decontam.without_leaks(edge, items).count() == edge.count() - 2
+
+
+@pytest.mark.parametrize("glue", ["", "\t", "\r", " ", "　"])
+def test_texts_without_blanks(glue):
+    rng = random.Random(3)
+    kanji = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    joined = lambda n: "".join(rng.choice("abcdefghijklmnop(){};=") for _ in range(n))
+    items = [kanji(50) for _ in range(10)] + [joined(150) for _ in range(10)]
+    bench = decontam.Benchmark(list(enumerate(items)))
+    texts = [decontam.normal(make(300) + glue + t + glue + make(300)) for make, t in zip([kanji] * 10 + [joined] * 10, items, strict=True)]
+    found = {(d, i): (dist, s, e) for d, i, dist, s, e in bench.find(texts)}
+    for i, t in enumerate(items):
+        assert found[i, i][0] == 0 and texts[i][slice(*found[i, i][1:])] == decontam.normal(t)
+    near = [decontam.normal(joined(300) + glue + edited(t, 0.04, rng) + glue + joined(300)) for t in items[10:]]
+    found = {(d, i) for d, i, *_ in bench.find(near)}
+    assert sum((i, i + 10) in found for i in range(10)) >= 9
