@@ -6,12 +6,12 @@ text; context-tree weighting mixes the estimates of all depths with the exact po
 weight of stopping at each context. After training the mixture is frozen, so the log
 probability of every byte in every context is a table cell, and a text's score is a sum.
 
-The counts cover all training texts. The *tree* keeps the CONTEXTS most frequent contexts
-of each depth; what other contexts of a parent have seen forms one further child, so no
-count is left out and the model that every worker holds has a fixed size.
+The counts cover all training texts, and every context that was seen has its own estimates.
 
-Word counts grow with the corpus, so they are never broadcast: each block of documents asks
-the ranges of hashed words for its own distinct words' counts, packed in arrays.
+Word counts and contexts grow with the corpus, so they are never broadcast: each block of documents
+asks the ranges of hashed words for its own distinct words' counts, and the ranges of contexts for
+the log probabilities of its own distinct grams (a byte after DEPTH bytes), packed in arrays. A range
+holds whole subtrees below contexts of two bytes; only the 257 contexts above them are shared by all.
 
 Edge cases: null is empty; an empty text has one token, its end; a corpus without training
 rows scores every byte by the untrained estimate (one half a bit) and every word by count 0.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from ridgeline.llm.blocks import crc_mod, documents, drop, kept, parts_for, slices, text_bytes
 
 DEPTH = 3
-CONTEXTS = 16_384
+#: Contexts of DEPTH bytes that are worked on at a time, about.
+CONTEXTS_AT_ONCE = 2048
 #: Text bytes in a partition of documents, and the blocks it is dealt by (one word table each; several even out partitions).
 PART_BYTES, BLOCKS = 32 << 20, 4
 CHUNK = 1 << 19
@@ -54,6 +55,18 @@ def _laid_out(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, np.cumsum(sizes - 1 + DEPTH) - (sizes - 1), sizes
 
 
+def _sums(raws: list[bytes], cost: Callable[[np.ndarray, int, int], np.ndarray]) -> np.ndarray:
+    """For each text, the sum of ``cost`` (of the laid-out bytes, from one position up to another) over it and its end."""
+    x, first, sizes = _laid_out(raws)
+    out = np.zeros(len(raws))
+    for lo in range(DEPTH, len(x), CHUNK):
+        hi = min(len(x), lo + CHUNK)
+        total = np.concatenate([[0.0], np.cumsum(cost(x, lo, hi), dtype=np.float64)])
+        begin, end = np.clip(first, lo, hi) - lo, np.clip(first + sizes, lo, hi) - lo
+        out += total[end] - total[begin]
+    return out
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """ctx, sym, n: how often each byte follows each DEPTH bytes; counted per partition, then summed."""
 
@@ -187,30 +200,29 @@ class ContextTree:
 
     def log10(self, raws: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
-        x, first, sizes = _laid_out(raws)
-        out = np.zeros(len(raws))
-        s, w = self.symbol[x], self.width
-        for lo in range(self.depth, len(x), CHUNK):
-            hi = min(len(x), lo + CHUNK)
-            ctx = s[lo - self.depth : hi - self.depth].astype(np.int64)
+
+        def cost(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+            s, w = self.symbol, self.width
+            ctx = s[x[lo - self.depth : hi - self.depth]].astype(np.int64)
             for k in range(self.depth - 1, 0, -1):
-                ctx = ctx * w + s[lo - k : hi - k]
-            cost = self.table.reshape(-1)[self.rows[ctx].astype(np.int64) * 256 + x[lo:hi]]
-            total = np.concatenate([[0.0], np.cumsum(cost, dtype=np.float64)])
-            begin, end = np.clip(first, lo, hi) - lo, np.clip(first + sizes, lo, hi) - lo
-            out += total[end] - total[begin]
-        return out
+                ctx = ctx * w + s[x[lo - k : hi - k]]
+            return self.table.reshape(-1)[self.rows[ctx].astype(np.int64) * 256 + x[lo:hi]]
 
+        return _sums(raws, cost)
 
-def trained_tree(rows: DataFrame, depth: int = DEPTH, most: int = CONTEXTS) -> ContextTree:
-    """Counts over all rows' texts; of each depth's contexts the ``most`` most frequent reach the driver."""
+
+def trained_tree(rows: DataFrame, depth: int = DEPTH, most: int | None = None) -> ContextTree:
+    """The whole model in one piece on the driver, for small corpora: lm_scores deals it by ranges.
+
+    With ``most``, only that many of each depth's contexts, the most frequent; others of a parent form one more child."""
     grams = kept(gram_counts(rows), "grams")
     levels = []
     for d in range(depth + 1):
         ctx = F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long"))
         each = grams.groupBy(ctx.alias("ctx"), "sym").agg(F.sum("n").alias("n"))
         each = each.groupBy("ctx").agg(F.sum("n").alias("all"), F.collect_list("sym").alias("sym"), F.collect_list("n").alias("n"))  # 256 entries at most
-        found = sorted(each.orderBy(F.desc("all"), "ctx").limit(most).select("ctx", "sym", "n").collect(), key=lambda r: r["ctx"])
+        each = each if most is None else each.orderBy(F.desc("all"), "ctx").limit(most)
+        found = sorted(each.select("ctx", "sym", "n").collect(), key=lambda r: r["ctx"])
         counts = np.zeros((max(1, len(found)), 256), np.int64)
         for i, r in enumerate(found):
             counts[i, r["sym"]] = r["n"]
@@ -219,6 +231,144 @@ def trained_tree(rows: DataFrame, depth: int = DEPTH, most: int = CONTEXTS) -> C
     return ContextTree(levels)
 
 
+# --- the tree by ranges of contexts ---------------------------------------------------------
+
+
+def _grams(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The grams that end at the positions lo to hi: the last byte before highest, then those further back, the byte itself lowest."""
+    y = x[lo - DEPTH : hi].astype(np.uint32)
+    return (y[2:-1] << 24) | (y[1:-2] << 16) | (y[:-3] << 8) | y[3:]
+
+
+def _counted(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of the texts and their ends, sorted, and how often each comes."""
+    x, first, sizes = _laid_out(raws)
+    grams = _grams(x, DEPTH, len(x))
+    use = np.ones(len(grams), bool)
+    for k in range(1, DEPTH):  # the zero byte after a text is predicted, the other gap bytes are not
+        gap = first + sizes - 1 + k - DEPTH
+        use[gap[gap < len(use)]] = False
+    return _summed([np.sort(grams[use])])
+
+
+def _summed(grams: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and the sums of their counts (1 each without; then one sorted array)."""
+    if counts is None:
+        new = np.flatnonzero(np.concatenate([[True], grams[0][1:] != grams[0][:-1]])) if len(grams[0]) else np.zeros(0, np.int64)
+        return grams[0][new], np.diff(np.append(new, len(grams[0])))
+    keys, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+
+
+def _range_of(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each gram, by its last two bytes of context."""
+    return (((grams >> 16).astype(np.int64) * 40503) & 0xFFFF) >> (16 - bits)
+
+
+class Subtrees:
+    """Whole subtrees below contexts of two bytes: their estimates, and their weights of stopping."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        """grams: sorted, with their counts."""
+        sym = grams & 255
+        self.deep, at = np.unique(grams >> 8, return_inverse=True)
+        dense = np.zeros((len(self.deep), 256))
+        dense[at, sym] = counts
+        self.ctx, first, self.parent = np.unique(self.deep >> 8, return_index=True, return_inverse=True)
+        self.last = (self.ctx >> 8).astype(np.int64)
+        deep_block, self.deep_ones = _estimate(dense)
+        block, self.ones = _estimate(np.add.reduceat(dense, first))
+        self.both = np.logaddexp(block, np.add.reduceat(deep_block, first)) + math.log(0.5)
+        self.weight = np.exp(block + math.log(0.5) - self.both)
+
+    @staticmethod
+    def of(grams: np.ndarray, counts: np.ndarray) -> Iterator[Subtrees]:
+        """In pieces of about CONTEXTS_AT_ONCE contexts, never cut inside a subtree."""
+        if not len(grams):
+            return
+        deep = np.cumsum(np.concatenate([[0], (grams[1:] >> 8) != (grams[:-1] >> 8)]))
+        first = np.flatnonzero(np.concatenate([[True], (grams[1:] >> 16) != (grams[:-1] >> 16)]))
+        piece = deep[first] // CONTEXTS_AT_ONCE
+        cuts = [0, *first[np.flatnonzero(piece[1:] != piece[:-1]) + 1].tolist(), len(grams)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield Subtrees(grams[lo:hi], counts[lo:hi])
+
+    def fill(self, out: np.ndarray, asked: np.ndarray, top: Top) -> None:
+        """Writes the log10 probabilities of those of the asked grams (sorted) whose two bytes of context are known here."""
+        lo, hi = np.searchsorted(asked >> 16, self.ctx[0]), np.searchsorted(asked >> 16, self.ctx[-1], "right")
+        mine, sym = asked[lo:hi], asked[lo:hi] & 255
+        path = top.path[self.last] + top.left[self.last] * self.weight * self.ones
+        left = top.left[self.last] * (1 - self.weight)
+        for ctx, of, ones in ((self.ctx, mine >> 16, path + left * 0.5), (self.deep, mine >> 8, path[self.parent] + left[self.parent] * self.deep_ones)):
+            at = np.minimum(np.searchsorted(ctx, of), len(ctx) - 1)
+            known = np.flatnonzero(ctx[at] == of)
+            out[lo + known] = _bytes_log10(ones)[at[known], sym[known]]
+
+
+class Top:
+    """The contexts of no byte and of one byte; a context that was never seen predicts each bit by one half."""
+
+    def __init__(self, counts: np.ndarray, below: np.ndarray):
+        """counts: a row of 256 for each last byte; below: the sums of what its subtrees give, rows of 255."""
+        block, ones = _estimate(counts)
+        both = np.logaddexp(block, below) + math.log(0.5)
+        weight = np.exp(block + math.log(0.5) - both)
+        seen = counts.sum(1) > 0
+        block, root = _estimate(counts.sum(0, keepdims=True))
+        stop = np.exp(block + math.log(0.5) - np.logaddexp(block, both[seen].sum(0)) - math.log(0.5))
+        self.path = stop * root + (1 - stop) * weight * ones
+        self.left = (1 - stop) * (1 - weight)
+        self.table = _bytes_log10(np.where(seen[:, None], self.path + self.left * 0.5, stop * root + (1 - stop) * 0.5))
+
+
+def summed_grams(requests: DataFrame) -> DataFrame:
+    """range, last, grams, counts, below: a row with the range's training grams (last: -1), and one for each last byte of context with its counts and its subtrees' sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams, counts = _summed([_opened(g, np.uint32) for g in table["hashes"].to_pylist()], [_opened(c, np.int64) for c in table["counts"].to_pylist()])
+        grams, counts = grams[counts > 0], counts[counts > 0]
+        last, rows = (grams >> 24).astype(np.int64), np.zeros((256, 256), np.int64)
+        np.add.at(rows, (last, grams & 255), counts)
+        below = np.zeros((256, 255))
+        for part in Subtrees.of(grams, counts):
+            np.add.at(below, part.last, part.both)
+        seen = np.unique(last).tolist()
+        return pa.table({"range": pa.array([table["range"][0].as_py()] * (1 + len(seen)), pa.int32()), "last": pa.array([-1, *seen], pa.int32()), "grams": pa.array([_squeezed(grams)] + [None] * len(seen), pa.binary()), "counts": pa.array([_squeezed(counts), *[rows[i].tobytes() for i in seen]], pa.binary()), "below": pa.array([None, *[below[i].tobytes() for i in seen]], pa.binary())})
+
+    return requests.groupBy("range").applyInArrow(run, "range int, last int, grams binary, counts binary, below binary")
+
+
+def top_of(sums: DataFrame) -> Top:
+    """From summed_grams; at most 256 rows reach the driver."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("range")
+        add = lambda c, kind: sum(np.frombuffer(v, kind) for v in table[c].to_pylist()).tobytes()
+        return pa.table({"last": table["last"][:1], "counts": pa.array([add("counts", np.int64)]), "below": pa.array([add("below", np.float64)])})
+
+    counts, below = np.zeros((256, 256)), np.zeros((256, 255))
+    for r in sums.filter("last >= 0").select("range", "last", "counts", "below").groupBy("last").applyInArrow(run, "last int, counts binary, below binary").collect():
+        counts[r["last"]], below[r["last"]] = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["below"], np.float64)
+    return Top(counts, below)
+
+
+def gram_costs(requests: DataFrame, sums: DataFrame, top: Top) -> DataFrame:
+    """block, range, grams, costs: the log10 probability of each gram that a block has asked for."""
+    sent = requests.sparkSession.sparkContext.broadcast(top)
+
+    def run(key, table: pa.Table, known: pa.Table) -> pa.Table:
+        each = [_opened(g, np.uint32) for g in table["hashes"].to_pylist()]
+        asked = np.unique(np.concatenate(each or [np.zeros(0, np.uint32)]))
+        out = sent.value.table[asked >> 24, asked & 255]
+        for g, c in zip(known["grams"].to_pylist(), known["counts"].to_pylist(), strict=True):
+            for part in Subtrees.of(_opened(g, np.uint32), _opened(c, np.int64)):
+                part.fill(out, asked, sent.value)
+        return pa.table({"block": table["block"], "range": table["range"], "grams": table["hashes"], "costs": pa.array([_squeezed(out[np.searchsorted(asked, g)]) for g in each], pa.binary())})
+
+    trained = sums.filter("last < 0").select("range", "grams", "counts")
+    return requests.groupBy("range").cogroup(trained.groupBy("range")).applyInArrow(run, "block int, range int, grams binary, costs binary")
+
+
 # --- unigram base -------------------------------------------------------------------------
 
 
@@ -243,21 +393,33 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def asked(blocks: DataFrame, bits: int) -> DataFrame:
-    """block, range, hashes, counts: each block's distinct words with their counts in its training rows."""
+    """kind, block, range, hashes, counts: each block's distinct words (kind 0) and grams (kind 1) with their counts in its training rows."""
+    gram_bits = min(bits, 16)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {}
         others: dict[int, set] = {}
         ends: Counter = Counter()
+        grams: dict[int, list] = {}
         for batch in batches:
             for part in slices(batch):
+                raws: dict[tuple[int, bool], list[bytes]] = {}
                 for train, text, block in zip(*[part.column(c).to_pylist() for c in ("train", "text", "block")], strict=True):
-                    words = lower(text).split()
+                    raw = lower(text)
+                    words = raw.split()
                     if train:
                         counts.setdefault(block, Counter()).update(words)
                         ends[block] += 1
                     else:
                         others.setdefault(block, set()).update(words)
+                    raws.setdefault((block, bool(train)), []).append(raw)
+                for (block, train), texts in raws.items():
+                    keys, n = _counted(texts)
+                    held = grams.setdefault(block, [])
+                    held.append((keys, n * train))
+                    if len(held) > 1 and sum(len(k) for k, _ in held) > 2_000_000:
+                        held[:] = [_summed(*map(list, zip(*held, strict=True)))]
+        row = lambda kind, block, r, ends, h, c: pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "range": pa.array([r], pa.int32()), "ends": pa.array([ends], pa.int64()), "hashes": [h], "counts": [c]})
         for block in counts.keys() | others.keys():
             known = counts.get(block, Counter())
             words, hashes, order = _distinct(known.keys() | others.get(block, set()))
@@ -265,9 +427,16 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
             hashes = hashes[order]
             cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
             for r, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(n, cuts), strict=True)):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "range": pa.array([r], pa.int32()), "ends": pa.array([ends[block] if r == 0 else 0], pa.int64()), "hashes": [h.tobytes()], "counts": [c.astype(np.uint32).tobytes()]})
+                yield row(0, block, r, ends[block] if r == 0 else 0, h.tobytes(), c.astype(np.uint32).tobytes())
+        for block, held in grams.items():
+            keys, n = _summed(*map(list, zip(*held, strict=True)))
+            of = _range_of(keys, gram_bits)
+            order = np.argsort(of, kind="stable")
+            found, first = np.unique(of[order], return_index=True)
+            for r, at in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+                yield row(1, block, r, 0, _squeezed(keys[at]), _squeezed(n[at]))
 
-    return blocks.mapInArrow(run, "block int, range int, ends long, hashes binary, counts binary")
+    return blocks.mapInArrow(run, "kind int, block int, range int, ends long, hashes binary, counts binary")
 
 
 def answered(requests: DataFrame) -> DataFrame:
@@ -285,27 +454,40 @@ def answered(requests: DataFrame) -> DataFrame:
     return requests.groupBy("range").applyInArrow(run, "block int, range int, counts binary, distinct long, total long, ends long")
 
 
-def _packed(counts: np.ndarray) -> bytes:
+def _squeezed(values: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.int64).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
+def _opened(blob: bytes, kind: type) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return _squeezed(counts.astype(np.int64))
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return _opened(blob, np.int64)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """docs: id, train, text -> id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Both scores are made in one pass over the blocks of texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(trained_tree(docs.filter("train")))
     size = text_bytes(docs)[1]
     parts = parts_for(size, PART_BYTES)
     blocks = _blocks(docs, parts)
-    replies = kept(answered(asked(blocks, _bits_for(parts))), "word-counts")
+    requests = kept(asked(blocks, _bits_for(parts)), "requests")
+    replies = kept(answered(requests.filter("kind = 0").drop("kind")), "word-counts")
+    grams = requests.filter("kind = 1").select("block", "range", "hashes", "counts")
+    trained = kept(summed_grams(grams), "grams")
+    costs = kept(gram_costs(grams.drop("counts"), trained, top_of(trained)), "gram-costs")
+    drop(requests)
+    drop(trained)
     sums = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "total", "ends")]).first()
     ends, n, v = sums["ends"], sums["total"] + sums["ends"], sums["distinct"] + (sums["ends"] > 0)
     scale = math.log10(n + v + 1)
@@ -313,7 +495,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def score(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         texts = docs["text"].to_pylist()
         words, _, order = _distinct({w for t in texts for w in lower(t).split()})
-        by_range = sorted(zip(replies["range"].to_pylist(), replies["counts"].to_pylist(), strict=True))
+        rows = list(zip(*[replies[c].to_pylist() for c in ("kind", "range", "counts", "grams")], strict=True))
+        by_range = sorted((r, c) for kind, r, c, _ in rows if kind == 0)
         counts = np.concatenate([_unpacked(c) for _, c in by_range]) if by_range else np.zeros(0, np.int64)
         mine = np.zeros(len(words), np.int64)
         mine[order] = counts
@@ -327,12 +510,18 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             known.append(len(found) - (sum(map(unknown.__contains__, found)) if unknown else 0) + (ends > 0))
             base.append(math.fsum([*map(cost.__getitem__, found), end]))
         raws = [lower(t) for t in texts]
-        model = np.concatenate([sent.value.log10(raws[i : i + 2000]) for i in range(0, len(raws), 2000)] or [np.zeros(0)])
+        grams = np.concatenate([_opened(g, np.uint32) for kind, _, _, g in rows if kind == 1] or [np.zeros(0, np.uint32)])
+        costs = np.concatenate([_opened(c, np.float32) for kind, _, c, _ in rows if kind == 1] or [np.zeros(0, np.float32)])
+        order = np.argsort(grams)
+        grams, costs = grams[order], costs[order]
+        of = lambda x, lo, hi: costs[np.minimum(np.searchsorted(grams, _grams(x, lo, hi)), len(grams) - 1)]
+        model = np.concatenate([_sums(raws[i : i + 2000], of) for i in range(0, len(raws), 2000)] or [np.zeros(0)])
         sizes = np.array([len(r) + 1 for r in raws])
         return pa.table({"id": docs["id"], "train": docs["train"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(model), "bits_per_byte": pa.array(-model / sizes / math.log10(2))})
 
+    both = replies.select("block", F.lit(0).alias("kind"), "range", "counts", F.lit(None).cast("binary").alias("grams")).unionByName(costs.select("block", F.lit(1).alias("kind"), "range", F.col("costs").alias("counts"), "grams"))
     schema = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return blocks.groupBy("block").cogroup(replies.select("block", "range", "counts").groupBy("block")).applyInArrow(lambda k, d, r: score(k, d, r), schema)
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda k, d, r: score(k, d, r), schema)
 
 
 def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

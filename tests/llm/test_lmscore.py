@@ -116,3 +116,17 @@ def test_edges(edge, none, spark):
     untrained = {r.id: r for r in lmscore.lm_scores(rows.selectExpr("id", "false AS train", "text")).collect()}
     assert untrained[3].score == pytest.approx(5 * 8 * math.log10(0.5), rel=1e-5) and untrained[3].n_known == 0 and untrained[3].train_tokens == 0
     assert lmscore.lm_scores(none.selectExpr("doc_id AS id", "true AS train", "text")).count() == 0
+
+
+def test_every_context_keeps_its_own_estimates(spark, monkeypatch):
+    """More contexts of two and of three bytes than the 16,384 that were kept once; the recursion has no bound."""
+    monkeypatch.setattr(lmscore, "CONTEXTS_AT_ONCE", 500, raising=False)
+    rng = np.random.default_rng(5)
+    often = "".join(chr(c) for c in rng.integers(0x4E00, 0x9F00, 9000)) * 2
+    texts = [often, "rare words, seen once: quixotic zephyr", "quixotic zephyr", "never 見る\x7f", None]
+    rows = spark.createDataFrame([(i, i < 2, t) for i, t in enumerate(texts)], "id long, train boolean, text string")
+    brute = Brute([lmscore.lower(t) for t in texts[:2]])
+    assert sum(len(c) == 3 for c in brute.bits) > 16_384
+    got = {r.id: r.score for r in lmscore.lm_scores(rows).collect()}
+    for i, t in enumerate(texts[1:], 1):
+        assert got[i] == pytest.approx(brute.log10(lmscore.lower(t)), rel=1e-4)
