@@ -15,10 +15,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id."""
+    """Of each group of near copies, the document with the least id; rows without an id can't be told apart and all stay."""
     groups = jaccard.near_groups(docs.select(F.col("doc_id").alias("id"), "text"))
     first = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id"))
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,10 @@ def test_pipeline(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, DATA)
         now.collect()
+
+
+def test_pipeline_keeps_rows_without_an_id(spark, odd):
+    now = odd
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, DATA)
+        assert sorted(str(r.doc_id) for r in now.collect()) == sorted(["None"] * 3 + ["7", "7", str(BIG)])
