@@ -173,7 +173,7 @@ def cumulative_offset(t: Tables):
 
 
 @query(f"""
-WITH {SEGMENTS}, q AS (SELECT o_custkey, o_orderkey AS read_key, ss, se FROM off WHERE o_orderkey % 7 = 0),
+WITH {SEGMENTS}, q AS (SELECT o_custkey, o_orderkey AS read_key, ss, se FROM off),
 n AS (SELECT read_key, sum(se - ss) AS len FROM q GROUP BY read_key),
 l AS (SELECT q.read_key, off.o_orderkey AS iso, min(off.local_start) AS lift_start, max(off.local_start + off.se - off.ss) AS lift_end, sum(off.se - off.ss) AS got
   FROM q JOIN off ON q.o_custkey = off.o_custkey AND q.ss = off.ss GROUP BY q.read_key, off.o_orderkey)
@@ -182,7 +182,7 @@ SELECT read_key, iso, lift_start, lift_end FROM l JOIN n USING (read_key) WHERE
 def coordinate_lift(t: Tables):
     """A read's segments lie in an isoform one after another: all of them, without a break."""
     off = _segments_of_isoforms(t)
-    q = off.filter("o_orderkey % 7 = 0").select("o_custkey", F.col("o_orderkey").alias("read_key"), "ss", (F.col("se") - F.col("ss")).alias("len"))
+    q = off.select("o_custkey", F.col("o_orderkey").alias("read_key"), "ss", (F.col("se") - F.col("ss")).alias("len"))
     whole = q.groupBy("read_key").agg(F.sum("len").alias("whole"))
     lift = q.join(off.withColumnRenamed("o_orderkey", "iso"), ["o_custkey", "ss"]).withColumn("size", F.col("se") - F.col("ss"))
     lift = lift.groupBy("read_key", "iso").agg(F.min("local_start").alias("lift_start"), F.max(F.col("local_start") + F.col("size")).alias("lift_end"), F.sum("size").alias("got"))

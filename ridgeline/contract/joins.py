@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.contract.base import Tables, query, rounded
 from ridgeline.operators import reads
+from ridgeline.plans import simulate
 
 
 @query("""
@@ -58,13 +59,13 @@ def array_intersect_explode(t: Tables):
 
 
 @query("""
-WITH truth AS (SELECT p_brand, p_partkey AS k, p_retailprice AS site FROM part WHERE p_partkey % 5 = 0),
-found AS (SELECT p_brand, p_partkey AS k, p_retailprice AS site FROM part WHERE p_partkey % 7 = 0)
-SELECT t.k AS truth_key, f.k AS found_key, round(t.site - f.site, 6) AS distance FROM truth t JOIN found f USING (p_brand)
+SELECT p_partkey AS name, round(p_retailprice - l_extendedprice / l_quantity, 6) AS distance FROM part JOIN lineitem ON l_partkey = p_partkey
 """)
 def truth_distance(t: Tables):
-    side = lambda name, n: t.part.filter(F.col("p_partkey") % n == 0).select("p_brand", F.col("p_partkey").alias(f"{name}_key"), F.col("p_retailprice").alias(name))
-    return side("truth", 5).join(side("found", 7), "p_brand").select("truth_key", "found_key", rounded(F.col("truth") - F.col("found")).alias("distance"))
+    """Every part's price against each price it was sold at."""
+    truth = t.part.select(F.col("p_partkey").alias("name"), F.col("p_retailprice").alias("site"))
+    found = t.lineitem.select(F.col("l_partkey").alias("name"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("site"))
+    return simulate.distances(truth, found).withColumn("distance", rounded("distance"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from ridgeline.contract.base import DAY, Tables, day, query, rounded
 from ridgeline.functions import numeric
-from ridgeline.operators import quant
+from ridgeline.operators import intervals, quant
 
 R = "round((covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)), 6)"
 
 
 @query("""
-WITH v AS (SELECT l_partkey AS row_id, l_suppkey % 50 AS cell, sum(l_quantity) AS v FROM lineitem WHERE l_partkey <= 120 GROUP BY 1, 2),
-p AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE b.p_partkey <= 120),
+WITH v AS (SELECT l_partkey AS row_id, l_suppkey % 50 AS cell, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+p AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey > a.p_partkey AND b.p_partkey <= a.p_partkey + 100),
 c AS (SELECT range AS cell FROM range(50)),
 g AS (SELECT p.a, p.b, coalesce(x.v, 0) AS x, coalesce(y.v, 0) AS y FROM p CROSS JOIN c LEFT JOIN v x ON x.row_id = p.a AND x.cell = c.cell LEFT JOIN v y ON y.row_id = p.b AND y.cell = c.cell)
 SELECT a, b, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS r FROM g GROUP BY a, b
 """)
 def pair_correlation(t: Tables):
-    """Over all cells, absent ones as 0, without making the dense vectors."""
-    v = t.lineitem.filter("l_partkey <= 120").groupBy(F.col("l_partkey").alias("row_id"), (F.col("l_suppkey") % 50).alias("cell")).agg(F.sum("l_quantity").alias("v"))
-    side = lambda k: t.part.filter("p_partkey <= 120").select("p_brand", F.col("p_partkey").alias(k))
-    pairs = side("a").join(side("b"), "p_brand").filter("a < b").select("a", "b")
+    """Every pair of neighbours (at most 100 apart in one group), over all cells, absent ones as 0, without making the dense vectors."""
+    v = t.lineitem.groupBy(F.col("l_partkey").alias("row_id"), (F.col("l_suppkey") % 50).alias("cell")).agg(F.sum("l_quantity").alias("v"))
+    side = lambda k: t.part.select("p_brand", F.col("p_partkey").alias(k))
+    pairs = intervals.band_join(side("a"), side("b"), ["p_brand"], 100, "a", "b").filter("a < b").select("a", "b")
     return quant.sparse_correlation(v, pairs, "row_id", "cell", "v", 50).select("a", "b", rounded("r").alias("r"))
 
 
