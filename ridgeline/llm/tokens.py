@@ -14,6 +14,7 @@ and further columns are as usual. A run of blanks of any length is handled like
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from itertools import accumulate
 
@@ -23,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm.blocks import claim, documents, map_rows
 
-#: Words whose count changes are kept by each worker; older half goes first.
-CACHE_WORDS = 400_000
-LONGEST_CACHED = 64
-#: Words that begin with the same so many bytes share the programme's state up to there.
-HEAD, HEADS = 6, 100_000
+#: Words whose count changes are kept by each worker (twice: the older half goes first), the characters of the longest, and pairs of tokens.
+CACHE_WORDS, LONGEST_CACHED, CACHE_PAIRS = 300_000, 64, 500_000
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What can be told apart without looking at its neighbours: blanks with the word after them.
 _PIECE = regex.compile(r"(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
+#: The same in the standard library's classes, which is faster, for texts of characters that both class alike.
+_QUICK = re.compile(r"(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*(?:[^\W\d_]+|\d+|(?:[^\s\w]|_)+)|\s+")
+_CLASSES = [(regex.compile(a), re.compile(b)) for a, b in ((r"\s", r"\s"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"))]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -57,15 +58,47 @@ class PrefixCounter:
             #: token -> (rank, left part, right part) of the merge that makes it
             self.made.setdefault(raw(a) + raw(b), (at, raw(a), raw(b)))
         special = {x["content"] for x in spec.get("added_tokens", ())}
-        self.vocabulary = {raw(t) for t in spec["model"]["vocab"] if t not in special}
-        self.longest = max(map(len, self.vocabulary))
+        self.tokens = sorted({raw(t) for t in spec["model"]["vocab"] if t not in special})
+        self._automaton()
         #: Strings that the tokenizer takes whole, wherever they stand.
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.plain = sorted(special)
-        self.stable: dict[tuple[bytes, bytes], bool] = {}
-        self.heads: dict[bytes, tuple[list[int], list[bytes]]] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.stable: dict[int, bool] = {}
+        self.young, self.old = _Pieces(self), {}
+        self.even: set[str] = set()  # characters that re and regex class alike
+        self.odd: set[str] = set()
+
+    def _automaton(self) -> None:
+        """A trie of the vocabulary with links to the longest suffix, so that the tokens that end at a byte are walked from the longest on."""
+        self.size = [len(t) for t in self.tokens]
+        self.child: dict[int, int] = {}
+        edges, ends = [], [-1]  # (node, parent, byte) of all nodes but the root; the token that each node is
+        for i, t in enumerate(self.tokens):
+            node = 0
+            for c in t:
+                new = self.child.get(node << 8 | c)
+                if new is None:
+                    new = self.child[node << 8 | c] = len(ends)
+                    edges.append((new, node, c))
+                    ends.append(-1)
+                node = new
+            ends[node] = i
+        depth = [0] * len(ends)
+        for node, parent, _ in edges:
+            depth[node] = depth[parent] + 1
+        self.fail, self.longest = [0] * len(ends), ends.copy()
+        #: token -> the longest other token that it ends with
+        self.shorter = [-1] * len(self.tokens)
+        for node, parent, c in sorted(edges, key=lambda x: depth[x[0]]):
+            up = self.fail[parent]
+            while up and (up << 8 | c) not in self.child:
+                up = self.fail[up]
+            self.fail[node] = self.child.get(up << 8 | c, 0) if parent else 0
+            below = self.longest[self.fail[node]]
+            if ends[node] >= 0:
+                self.shorter[ends[node]] = below
+            else:
+                self.longest[node] = below
 
     def merged(self, raw: bytes) -> list[bytes]:
         """The encoding by the merges themselves: the plain way, for comparison."""
@@ -90,44 +123,40 @@ class PrefixCounter:
 
         Merges are undone from the last one on, at the two parts beside the border. The pair falls if
         those parts could have been merged before what has been undone; of equal merges the left one comes first."""
-        known = self.stable.get((a, b))
-        if known is None:
-            if len(self.stable) > 2_000_000:
-                self.stable.clear()
-            left, right, before, known = a, b, 1 << 60, True
-            while True:
-                if self.rank.get((left, right), 1 << 60) < before:
-                    known = False
-                    break
-                made_left, made_right = self.made.get(left), self.made.get(right)
-                if made_left is None and made_right is None:
-                    break
-                if made_right is None or (made_left is not None and made_left[0] > made_right[0]):
-                    before, left = made_left[0], made_left[2]
-                else:
-                    before, right = made_right[0] + 1, made_right[1]
-            self.stable[a, b] = known
-        return known
+        left, right, before = a, b, 1 << 60
+        while True:
+            if self.rank.get((left, right), 1 << 60) < before:
+                return False
+            made_left, made_right = self.made.get(left), self.made.get(right)
+            if made_left is None and made_right is None:
+                return True
+            if made_right is None or (made_left is not None and made_left[0] > made_right[0]):
+                before, left = made_left[0], made_left[2]
+            else:
+                before, right = made_right[0] + 1, made_right[1]
 
     def word(self, raw: bytes) -> list[int]:
         """Tokens of each byte prefix of one word, from 0 bytes on: the dynamic programme."""
-        vocabulary, stable, longest, size = self.vocabulary, self.stable, self.longest, len(raw)
-        counts, last = [0], [b""]
-        if size > HEAD and (known := self.heads.get(raw[:HEAD])):
-            counts, last = known[0].copy(), known[1].copy()
-        for end in range(len(counts), size + 1):
-            for start in range(max(0, end - longest), end):
-                token = raw[start:end]
-                if token in vocabulary and (start == 0 or (k if (k := stable.get((last[start], token))) is not None else self.pair_stays(last[start], token))):
+        child, fail, longest, size, shorter, stable = self.child, self.fail, self.longest, self.size, self.shorter, self.stable
+        counts, last, node = [0], [-1], 0
+        for end, c in enumerate(raw, 1):
+            while (new := child.get(node << 8 | c)) is None and node:
+                node = fail[node]
+            node = new or 0
+            token = longest[node]
+            while token >= 0 and (start := end - size[token]):
+                pair = last[start] << 32 | token
+                if (stays := stable.get(pair)) is None:
+                    if len(stable) > CACHE_PAIRS:
+                        stable.clear()
+                    stays = stable[pair] = self.pair_stays(self.tokens[last[start]], self.tokens[token])
+                if stays:
                     break
-            else:
+                token = shorter[token]
+            if token < 0:
                 raise ValueError("the vocabulary lacks a byte")
             counts.append(counts[start] + 1)
             last.append(token)
-            if end == HEAD and size > HEAD:
-                if len(self.heads) >= HEADS:
-                    self.heads.clear()
-                self.heads[raw[:HEAD]] = counts.copy(), last.copy()
         return counts
 
     def piece(self, piece: str) -> bytes:
@@ -167,18 +196,33 @@ class PrefixCounter:
             return b"".join([*out, self.changes_plain(text[at:])])
         return self.changes_plain(text)
 
+    def pieces(self, text: str) -> list[str]:
+        chars = set(text)
+        if not chars <= self.even:
+            for c in chars - self.even - self.odd:
+                alike = all(bool(a.match(c)) == bool(b.match(c)) for a, b in _CLASSES)
+                (self.even if alike else self.odd).add(c)
+        return (_PIECE if chars & self.odd else _QUICK).findall(text)
+
     def changes_plain(self, text: str) -> bytes:
-        young, old, out = self.young, self.old, []
-        for piece in _PIECE.findall(text):
-            got = young.get(piece)
-            if got is None:
-                got = old.get(piece) or self.piece(piece)
-                if len(piece) <= LONGEST_CACHED:
-                    young[piece] = got
-            out.append(got)
-        if len(young) > CACHE_WORDS:
-            self.young, self.old = {}, young
-        return b"".join(out)
+        out = b"".join(map(self.young.__getitem__, self.pieces(text)))
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = _Pieces(self), self.young
+        return out
+
+
+class _Pieces(dict):
+    """piece -> its changes, made where they are missing."""
+
+    def __init__(self, of: PrefixCounter):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.of.old.get(piece) or self.of.piece(piece)
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = got
+        return got
 
 
 def total(changes: bytes) -> int:
