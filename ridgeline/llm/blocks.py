@@ -6,9 +6,7 @@ ones named like an output) never clash.
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -90,11 +88,20 @@ def shared_folder(spark: SparkSession) -> str:
     return set_by
 
 
+#: Spark's own setting: shuffle files of a query go as soon as it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors. The shuffles behind it are freed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,28 +113,15 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see that the shuffles behind stored tables are free: it only looks when the driver's JVM collects garbage."""
-    for _ in range(2):  # the first round drops what Python and the last query's events still held
-        gc.collect()
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """(rows, UTF-8 bytes) of the corpus; sizes shuffles, never drops anything."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()
     return row["n"], row["b"]
 
 
-def parts_for(size: int, part_bytes: int, most: int = 256 << 20) -> int:
-    """Partitions for an exchange between blocks and ranges.
-
-    Partitions grow with the square root of the corpus beyond a GB, so that the packets between
-    all blocks and all ranges grow in proportion to it, up to what a task can hold."""
-    part = min(most, part_bytes * max(1.0, (size / 1e9) ** 0.5))
-    return max(8, math.ceil(size / part))
+def parts_for(size: int, part_bytes: int) -> int:
+    """Partitions of about so many bytes each, at any size of the corpus."""
+    return max(8, math.ceil(size / part_bytes))
 
 
 def crc_mod(col: str, mod: int):

@@ -27,7 +27,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: a, b (long) -> id, component: the least id reachable, for every id that has a link.
+    """links: a, b (long) -> id, component (stored): the least id reachable, for every id that has a link.
 
     Every round is written to the shared folder. Rounds grow with the logarithm of the longest
     chain; a round moves each link a fixed number of times. Loops and repeated links are allowed."""
@@ -36,7 +36,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0)).alias("h")).first()
         if now == seen or not now["n"]:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            out = kept(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
+            drop(edges)
+            return out
         seen, last = now, edges
         edges = _stars(edges)
         drop(last)

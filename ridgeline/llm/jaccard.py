@@ -11,17 +11,23 @@ nothing can be linked. What is left is indexed:
   of them, so two fall into one of g hash groups, and only pairs inside a group are indexed.
   g is a quarter of the size class's least size, so there are about as many pairs as tokens.
 
-Each signature links its documents to the least of them; the components of these candidate
-links are verified exactly: a component is multiplied out in blocks of bounded size inside a
-task, where only a spanning tree of the links and the counts of links leave the task.
-
-Token frequencies are exact counts over all texts, asked for by blocks of documents and
-answered by ranges of tokens; nothing that grows with the corpus is broadcast or collected.
+Each signature links its documents to the least of them, which gives candidate components by one
+sorted scan. A component of up to SQUARE sets is multiplied out inside a task. Texts that share passages
+chain up into larger ones, in which few pairs are candidates: there, only pairs that share a signature
+of at most FREQUENT sets, agree in size, and whose common token comes early enough in both to leave
+room for the overlap are verified, one by one. What still shares more common signatures (large groups
+of near copies) is multiplied out in squares of bounded size, of which only a spanning tree of the links
+and the counts of links leave the task. Components of the verified links are the groups.
+
+Token frequencies are exact counts over all texts, asked for by blocks of documents and answered by
+ranges of tokens (see exchange.py); nothing that grows with the corpus is broadcast or collected.
 Equal sets are one node with its number of copies.
 
 Edge cases: null and empty texts have no shingles and no links; under five words the whole
-sequence is one shingle; identical texts are linked; ids should be unique, and a row without an
-id is linked with equal sets only; an empty table gives an empty result.
+sequence is one shingle; identical texts are linked, however many; a very long text is one set like
+any other. Ids should be unique: rows of one id count as that many documents, which get the links and
+the group of whichever of their texts is linked, and a row without an id is linked with equal sets only. An empty table
+gives an empty result. Only the columns id and text are read, so others never clash.
 """
 
 from __future__ import annotations
@@ -35,13 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import claim, documents, drop, kept, mix, parts_for, release, slices, text_bytes
+from ridgeline.llm import exchange
+from ridgeline.llm.blocks import claim, documents, drop, kept, mix, parts_for, slices, text_bytes
 from ridgeline.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Tokens in so many texts or more are indexed in pairs.
 FREQUENT = 32
-#: Text bytes in a partition of documents, and the blocks it is dealt by; sets multiplied out at a time; local members of a signature that are joined before the shuffle.
+#: Text bytes in a partition of documents, and the blocks it is dealt by; sets multiplied out at a time; members of a signature that are joined inside a partition, before the shuffle.
 PART_BYTES, BLOCKS, SQUARE, LOCAL = 16 << 20, 4, 1024, 64
 
 
@@ -69,27 +76,6 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-
-
-def _unpack(blob: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
-
-
-def _pack_sorted(x: np.ndarray) -> bytes:
-    steps = np.diff(x, prepend=x.dtype.type(0))
-    return b"4" + _pack(steps.astype(np.uint32)) if not len(steps) or steps.max() < 1 << 32 else b"8" + _pack(steps)
-
-
-def _unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(blob[1:], np.uint32 if blob[:1] == b"4" else np.uint64).astype(np.uint64), dtype=np.uint64)
-
-
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values start, and the end."""
     return np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), [len(x)]]) if len(x) else np.zeros(1, np.int64)
@@ -98,8 +84,8 @@ def _runs(x: np.ndarray) -> np.ndarray:
 # --- token frequencies --------------------------------------------------------------------
 
 
-def _asked(blocks: DataFrame, words: int, key_bits: int, range_bits: int) -> DataFrame:
-    """block, range, keys, counts: each block's distinct token keys and how many of its distinct sets have them."""
+def _asked(blocks: DataFrame, words: int, key_bits: int, bits: int) -> DataFrame:
+    """Packets of each block's distinct token keys, and of how many of its distinct sets have them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard", _HASH.clear)
@@ -113,33 +99,13 @@ def _asked(blocks: DataFrame, words: int, key_bits: int, range_bits: int) -> Dat
                     if digest not in seen:
                         seen.add(digest)
                         held.setdefault(block, []).append(tokens >> np.uint64(64 - key_bits))
-        for block, parts in held.items():
+        while held:
+            block, parts = held.popitem()
             keys = np.sort(np.concatenate(parts))
             at = _runs(keys)
-            keys, counts = keys[at[:-1]], np.diff(at).astype(np.uint32)
-            cuts = np.searchsorted(keys, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(key_bits - range_bits))
-            for r, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "range": pa.array([r], pa.int32()), "keys": [_pack_sorted(k)], "counts": [_pack(c)]})
-
-    return blocks.select("text", "block").mapInArrow(run, "block int, range int, keys binary, counts binary")
+            yield exchange.batch(list(exchange.packets(block, 0, keys[at[:-1]], np.diff(at), key_bits, 0, bits)))
 
-
-def _answered(asked: DataFrame) -> DataFrame:
-    """block, range, df: the texts that have each asked key, in the order of the question."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = [_unpack_sorted(k) for k in table["keys"].to_pylist()]
-        counts = [_unpack(c, np.uint32) for c in table["counts"].to_pylist()]
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        at = _runs(every[order])
-        sums = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), at[:-1]) if len(every) else np.zeros(0, np.int64)
-        back = np.empty(len(every), np.int64)
-        back[order] = np.repeat(sums, np.diff(at))
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"block": table["block"], "range": table["range"], "df": pa.array([_pack(d.astype(np.uint32)) for d in np.split(back, cuts)], pa.binary())})
-
-    return asked.groupBy("range").applyInArrow(run, "block int, range int, df binary")
+    return blocks.select("text", "block").mapInArrow(run, exchange.PACKETS)
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -155,10 +121,10 @@ def _profiled(blocks: DataFrame, answers: DataFrame, words: int, percent: int, k
     def run(_, docs: pa.Table, answers: pa.Table) -> pa.Table:
         sets = [shingles(t, words) for t in docs["text"].to_pylist()]
         every = np.concatenate(sets or [np.zeros(0, np.uint64)])
-        df = np.concatenate([_unpack(d, np.uint32) for _, d in sorted(zip(answers["range"].to_pylist(), answers["df"].to_pylist(), strict=True))] or [np.zeros(0, np.uint32)])
+        df = np.concatenate([np.zeros(0, np.int64), *[exchange.unpack(d, np.int64) for _, d in sorted(zip(answers["sub"].to_pylist(), answers["values"].to_pylist(), strict=True))]])
         keys = every >> np.uint64(64 - key_bits)
         order = np.argsort(keys, kind="stable")
-        own = np.empty(len(every), np.uint32)
+        own = np.empty(len(every), np.int64)
         own[order] = np.repeat(df, np.diff(_runs(keys[order])))
         ends = np.cumsum([len(s) for s in sets])
         h1, h2, single, rare, tokens = [], [], [], [], []
@@ -188,9 +154,14 @@ def _profiled(blocks: DataFrame, answers: DataFrame, words: int, percent: int, k
 
 def signatures(tokens: np.ndarray, n: int, single: int, rare: int, percent: int = PERCENT) -> np.ndarray:
     """What a set is indexed by. tokens: in the common order, without the ``single`` first ones that it has alone."""
+    return placed_signatures(tokens, n, single, rare, percent)[0]
+
+
+def placed_signatures(tokens: np.ndarray, n: int, single: int, rare: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and the place of each in the set's order: that of a rare token, -1 for pairs."""
     spare = n - least_overlap(n, percent)
     alone = tokens[: max(0, min(rare, spare + 1 - single))]
-    out = [mix(alone)]
+    out, place = [mix(alone)], single + np.arange(len(alone))
     if rare + single < spare + 1:  # the prefix reaches a frequent token
         size_class = int(math.log(n) / math.log(4 / 3) + 1e-9)
         for c in (size_class, size_class + 1):
@@ -205,7 +176,8 @@ def signatures(tokens: np.ndarray, n: int, single: int, rare: int, percent: int
                     break
                 a, b = often[:-apart][same], often[apart:][same]
                 out.append(mix(np.minimum(a, b) * np.uint64(0x9E3779B97F4A7C15) + mix(np.maximum(a, b)) + np.uint64(c + 1)))
-    return np.unique(np.concatenate(out))
+    found, first = np.unique(np.concatenate(out), return_index=True)
+    return found, np.concatenate([place, np.full(sum(map(len, out)) - len(place), -1)])[first]
 
 
 def _stars_of(sigs: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +193,7 @@ def _stars_of(sigs: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray
     return np.unique(np.stack([ids[take], leader[take]], 1), axis=0), first | (size < least)
 
 
-def candidate_links(sets: DataFrame, percent: int, range_bits: int) -> DataFrame:
+def candidate_links(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """a, b: every set to the least one that shares a signature with it. sets: rep, n, single, rare, tokens."""
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,33 +208,31 @@ def candidate_links(sets: DataFrame, percent: int, range_bits: int) -> DataFrame
         sigs, ids = np.concatenate(sigs), np.concatenate(ids)
         order = np.lexsort((ids, sigs))
         links, stay = _stars_of(sigs[order], ids[order], LOCAL)
-        sigs, ids = sigs[order][stay], ids[order][stay]
-        cuts = np.searchsorted(sigs, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits)) if range_bits else np.zeros(0, int)
-        for r, (s, i) in enumerate(zip(np.split(sigs, cuts), np.split(ids, cuts), strict=True)):
-            if len(s):
-                yield row(r, s.tobytes(), i.tobytes())
-        if len(links):
-            yield row(-1, links[:, 0].tobytes(), links[:, 1].tobytes())
-
-    def row(r: int, a: bytes, b: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary())})
-
-    def join(table: pa.Table) -> pa.Table:
-        sigs = np.concatenate([np.frombuffer(a, np.uint64) for a in table["a"].to_pylist()])
-        ids = np.concatenate([np.frombuffer(b, np.int64) for b in table["b"].to_pylist()])
-        order = np.lexsort((ids, sigs))
-        links, _ = _stars_of(sigs[order], ids[order], 2)
-        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+        for near, a, b in ((True, links[:, 1], links[:, 0]), (False, sigs[order][stay].view(np.int64), ids[order][stay])):
+            for at in range(0, len(a), 1 << 16):
+                x, y = (pa.array(v[at : at + (1 << 16)]) for v in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([near] * len(x)), x, y], names=["near", "sig", "id"])
 
-    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, leader = None, None
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
-
-    rows = kept(sets.select("rep", "n", "single", "rare", "tokens").mapInArrow(index, "range int, a binary, b binary"), "signatures")
-    near = rows.filter("range < 0").select("a", "b").mapInArrow(unpack, "a long, b long")
-    far = rows.filter("range >= 0").groupBy("range").applyInArrow(join, "a long, b long")
-    return far.unionByName(near)
+            sigs, ids = (batch.column(k).to_numpy() for k in (0, 1))
+            if not len(sigs):
+                continue
+            at = _runs(sigs)
+            leaders = ids[at[:-1]].copy()
+            if sigs[0] == sig:
+                leaders[0] = leader
+            every = np.repeat(leaders, np.diff(at))
+            sig, leader = sigs[-1], leaders[-1]
+            links = np.unique(np.stack([ids, every], 1)[ids != every], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    rows = kept(sets.select("rep", "n", "single", "rare", "tokens").mapInArrow(index, "near boolean, sig long, id long"), "signatures")
+    far = rows.filter("NOT near").select("sig", "id").repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(scan, "a long, b long")
+    out = kept(far.unionByName(rows.filter("near").select(F.col("id").alias("a"), F.col("sig").alias("b"))).distinct(), "candidates")
+    drop(rows)
+    return out
 
 
 # --- verification -------------------------------------------------------------------------
@@ -313,8 +283,8 @@ def _verified(ids: np.ndarray, n: np.ndarray, copies: np.ndarray, sets: list[np.
     return root, links
 
 
-def verified(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """rep, root, links: exact links inside each candidate group. groups: id, component."""
+def multiplied(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """rep, root, links: exact links inside each candidate group. groups: id, component (stored)."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     rows = sets.join(groups.withColumnRenamed("id", "rep"), "rep").join(sizes, "component")
     parts = F.ceil(F.col("size") / SQUARE).cast("int")
@@ -345,28 +315,97 @@ def verified(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "rep long, root long, links long")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+def close_pairs(sets: DataFrame, dense: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """rep, root, links for the pairs that share a signature in ``places`` (sig, rep, n, pos; few rows of each sig) and aren't in one dense group."""
+    side = lambda k: places.select("sig", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("pos").alias(f"pos_{k}"))
+    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    # the first token that both have stands so early in both that the rest can make up the overlap; linked sets show it there
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least
+    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((F.least("pos_a", "pos_b") < 0) | room)
+    pairs = side("a").join(side("b"), "sig").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    of = lambda k: dense.select(F.col("id").alias(k), F.col("component").alias(f"dense_{k}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("dense_a IS NULL OR dense_b IS NULL OR dense_a <> dense_b").select("a", "b")
+    whole = lambda k: sets.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("copies").alias(f"copies_{k}"), F.col("tokens").alias(f"tokens_{k}"))
+    rows = kept(pairs, "pairs").join(whole("a"), "a").join(whole("b"), "b")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keep = []
+                for x, y, n, m in zip(*[part.column(c).to_pylist() for c in ("tokens_a", "tokens_b", "n_a", "n_b")], strict=True):
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    keep.append(100 * both >= percent * (n + m - both))
+                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b", "copies_a", "copies_b"])
+
+    links = kept(rows.mapInArrow(check, "a long, b long, copies_a long, copies_b long"), "links")
+    one = links.select(F.col("a").alias("rep"), F.col("a").alias("root"), F.col("copies_b").alias("links"))
+    return one.unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("root"), F.col("copies_a").alias("links")))
+
+
+def sparse_links(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """rep, root, links among sets of large candidate components."""
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                for r in part.to_pylist():
+                    sigs, pos = placed_signatures(np.frombuffer(r["tokens"], np.uint64), r["n"], r["single"], r["rare"], percent)
+                    n = len(sigs)
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.full(n, r["rep"])), pa.array(np.full(n, r["n"])), pa.array(pos.astype(np.int64))], names=["sig", "rep", "n", "pos"])
+
+    places = kept(sets.select("rep", "n", "single", "rare", "tokens").mapInArrow(place, "sig long, rep long, n long, pos long"), "places")
+    # stored, so that the joins have two plain sides, whose hot keys Spark can split
+    sizes = kept(places.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("b")).filter("size > 1"), "sizes")
+    often = places.join(sizes.filter(F.col("size") > frequent), "sig").select(F.col("rep").alias("a"), "b")
+    dense = components(often)
+    few = places.join(sizes.filter(F.col("size") <= frequent), "sig").select("sig", "rep", "n", "pos")
+    out = kept(close_pairs(sets, dense, few, percent).unionByName(multiplied(sets, dense, percent)), "sparse")
+    for table in (places, sizes, dense):
+        drop(table)
+    return out
+
+
+def verified(sets: DataFrame, groups: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """rep, root, links: exact links inside candidate components. groups: id, component."""
+    sizes = kept(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sized = kept(groups.join(sizes, "component"), "sized")
+    out = kept(multiplied(sets, sized.filter(F.col("size") <= SQUARE).select("id", "component"), percent), "verified")
+    large = sized.filter(F.col("size") > SQUARE).select(F.col("id").alias("rep"))
+    if not large.isEmpty():
+        chosen = kept(sets.join(large, "rep", "left_semi"), "large")
+        out = out.unionByName(sparse_links(chosen, percent, frequent))
+        drop(chosen)
+    drop(sizes)
+    drop(sized)
+    return out
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs: id (unique), text -> id, n_shingles, component_id, n_links (documents linked with it, copies included)."""
     size = text_bytes(docs)[1]
-    parts = parts_for(size, PART_BYTES)
-    range_bits = math.ceil(math.log2(parts))
-    key_bits = min(62, max(range_bits + 8, math.ceil(math.log2(max(2, size / 5))) + 8))
-    blocks = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOCKS * parts)).cast("int").alias("block")).repartition(parts, "block")
-    answers = kept(_answered(_asked(blocks, words, key_bits, range_bits)), "frequencies")
-    release(docs.sparkSession)  # the first deal of the texts, before the second
+    parts = parts_for(size, part_bytes)
+    bits = exchange.levels(parts)
+    key_bits = min(62, max(sum(bits) + 8, math.ceil(math.log2(max(2, size / 5))) + 8))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(BLOCKS * parts))
+    blocks = docs.select("id", "text", block.alias("block")).repartition(parts, "block")
+    levels = exchange.raised(kept(_asked(blocks, words, key_bits, bits[0]), "asked"), bits, key_bits)
+    answers = exchange.lowered(levels, bits, exchange.sums(levels, bits), np.int64)
+    drop(levels[0])
     profiles = kept(_profiled(blocks, answers, words, percent, key_bits, frequent), "profiles")
     drop(answers)
-    del blocks, answers
-    release(docs.sparkSession)
     # stored, so that the join with all members has two plain sides, whose hot keys Spark can split
     copies = kept(profiles.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
     sets = profiles.filter(F.col("tokens").isNotNull()).groupBy("h1", "h2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "single", "rare", "tokens"))).alias("s"), F.count(F.lit(1)).alias("copies"))
     sets = kept(sets.select(F.col("s.id").alias("rep"), "s.n", "s.single", "s.rare", "copies", "s.tokens").filter("rep IS NOT NULL"), "sets")
-    groups = components(candidate_links(sets, percent, range_bits))
-    found = kept(verified(sets, groups, percent), "verified")
+    candidates = candidate_links(sets, percent, parts)
+    groups = components(candidates)
+    drop(candidates)
+    found = kept(verified(sets, groups, percent, frequent), "verified")
     drop(sets)
+    drop(groups)
     final = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = kept(found.groupBy("rep").agg(F.sum("links").alias("links")), "link-counts")
+    drop(found)
     members = profiles.select("id", "n", "h1", "h2").join(copies, ["h1", "h2"], "left").join(final, "rep", "left").join(links, "rep", "left")
     return members.select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"),

@@ -1,14 +1,17 @@
 import pyarrow as pa
 
-from ridgeline.llm import blocks
+from ridgeline.llm import blocks, exchange
 
 
-def test_parts_grow_as_the_square_root_beyond_a_gigabyte():
+def test_packets_are_proportional_to_the_corpus():
+    """Partitions keep their size, and a packet of an exchange holds the same share of a block, from 1 GB to 100 TB."""
     part = 16 << 20
     assert blocks.parts_for(0, part) == 8
-    one, hundred = blocks.parts_for(10**9, part), blocks.parts_for(100 * 10**9, part)
-    assert 9 * one < hundred < 11 * one
-    assert blocks.parts_for(10**14, part) == -(-(10**14) // (256 << 20))
+    for size in (10**9, 10**12, 10**14):
+        parts = blocks.parts_for(size, part)
+        assert abs(parts * part / size - 1) < 0.05
+        bits = exchange.levels(parts)
+        assert max(bits) <= exchange.BITS and parts <= 1 << sum(bits) < 2 * parts and len(bits) <= 4
 
 
 def test_slices_hold_every_row_once():

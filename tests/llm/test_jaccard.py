@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from ridgeline.llm import components, jaccard
+from ridgeline.llm import components, exchange, jaccard
 
 
 def brute(rows, words=5, percent=75):
@@ -69,6 +69,36 @@ def test_large_groups_in_squares(spark, monkeypatch):
     assert ours(spark, rows, frequent=3) == brute(rows)
 
 
+def test_many_levels_of_the_exchange(spark, monkeypatch):
+    rows = near_copies(200, 6)
+    monkeypatch.setattr(exchange, "BITS", 2)
+    assert len(exchange.levels(20)) == 3
+    assert ours(spark, rows, frequent=4, part_bytes=sum(len(t) for _, t in rows) // 20) == brute(rows)
+
+
+def test_shared_sentences_stay_near_linear(spark, monkeypatch):
+    """Texts of sentences that eight texts share chain up into one candidate component without a link in it."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    n = 3000
+    pool = [" ".join(word() for _ in range(rng.randrange(28, 40))) for _ in range(n * 20 // 8)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(20))) for i in range(n)]
+    rows += [(n + i, rows[i][1] + " and so on") for i in range(0, 40)]  # and some near copies among them
+    sizes = collections.defaultdict(int)
+    plain = jaccard.kept
+
+    def counted(df, name="table"):
+        out = plain(df, name)
+        if name in ("pairs", "large"):
+            sizes[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "kept", counted)
+    got = ours(spark, rows)
+    assert sizes["large"] > n / 2 and 40 <= sizes["pairs"] < 3 * n
+    assert got == brute(rows)
+
+
 def test_driver_tables(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert ours(spark, rows) == brute(rows)
