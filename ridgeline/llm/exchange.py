@@ -58,15 +58,22 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob[1:], np.uint32 if blob[:1] == b"4" else np.uint64).astype(np.uint64), dtype=np.uint64)
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sums of their counts, and the place of each given key among them."""
     every = np.concatenate([np.zeros(0, np.uint64), *keys])
     if not len(every):
-        return every, np.zeros(0, np.int64)
-    order = np.argsort(every, kind="stable")
+        return every, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(every, kind="stable")  # of runs in order
     every = every[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    return every[first], np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first)
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    place = np.empty(len(every), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return every[new], np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), np.flatnonzero(new)), place
+
+
+def dealt(values: np.ndarray, keys: list[np.ndarray]) -> pa.Array:
+    """Values of the concatenated keys, packed for each packet."""
+    return pa.array([pack(v) for v in np.split(values, np.cumsum([len(k) for k in keys])[:-1])] if keys else [], pa.binary())
 
 
 def packets(block: int, path: int, keys: np.ndarray, counts: np.ndarray, key_bits: int, used: int, bits: int) -> Iterator[dict]:
@@ -100,7 +107,7 @@ def leaf(bits: int) -> list:
 def _merge(key_bits: int, used: int, bits: int):
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         block, path = (k.as_py() for k in key)
-        return pa.Table.from_batches([batch(list(packets(block, path, *merged(*opened(table)), key_bits, used, bits)))])
+        return pa.Table.from_batches([batch(list(packets(block, path, *merged(*opened(table))[:2], key_bits, used, bits)))])
 
     return merge
 
@@ -117,10 +124,10 @@ def raised(requests: DataFrame, bits: list[int], key_bits: int) -> list[DataFram
 def summed(table: pa.Table) -> pa.Table:
     """A leaf's answers: sums of counts. In the first row also the leaf's distinct keys with a count and their sum."""
     keys, counts = opened(table)
-    every, sums = merged(keys, counts)
+    _, sums, place = merged(keys, counts)
     one = [i == 0 for i in range(len(keys))]
     return pa.table({
-        **{c: table[c] for c in ("block", "path", "sub")}, "values": pa.array([pack(sums[np.searchsorted(every, k)]) for k in keys], pa.binary()),
+        **{c: table[c] for c in ("block", "path", "sub")}, "values": dealt(sums[place], keys),
         "distinct": pa.array([int((sums > 0).sum()) * x for x in one], pa.int64()), "total": pa.array([int(sums.sum()) * x for x in one], pa.int64()),
     })
 
@@ -136,10 +143,10 @@ def sums(tables: list[DataFrame], bits: list[int]) -> DataFrame:
 def _reply(kind: type):
     def reply(table: pa.Table, answers: pa.Table) -> pa.Table:
         keys, counts = opened(table)
-        every, _ = merged(keys, counts)
+        _, _, place = merged(keys, counts)
         parts = sorted(zip(answers["sub"].to_pylist(), answers["values"].to_pylist(), strict=True))
         values = np.concatenate([np.zeros(0, kind), *[unpack(v, kind) for _, v in parts]])
-        return pa.table({**{c: table[c] for c in ("block", "path", "sub")}, "values": pa.array([pack(values[np.searchsorted(every, k)]) for k in keys], pa.binary())})
+        return pa.table({**{c: table[c] for c in ("block", "path", "sub")}, "values": dealt(values[place], keys)})
 
     return reply
 

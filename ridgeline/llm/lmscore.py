@@ -9,8 +9,8 @@ probability of every byte in every context is a table cell, and a text's score i
 The counts cover all training texts, and every context that was seen has its own estimates.
 
 Word counts and contexts grow with the corpus, so they are never broadcast: each block of documents
-asks the ranges of hashed words for its own distinct words' counts, and the ranges of contexts for
-the log probabilities of its own distinct grams (a byte after DEPTH bytes), packed in arrays. A range
+asks ranges of hashed words for its own distinct words' counts, and ranges of contexts for
+the log probabilities of its own distinct grams (a byte after DEPTH bytes), see exchange.py. A range
 holds whole subtrees below contexts of two bytes; only the 257 contexts above them are shared by all.
 
 Edge cases: null is empty; an empty text has one token, its end; a corpus without training
@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.blocks import crc_mod, documents, drop, kept, parts_for, slices, text_bytes
+from ridgeline.llm import exchange
+from ridgeline.llm.blocks import crc_mod, documents, drop, kept, parts_for, slices
 
 DEPTH = 3
 #: Contexts of DEPTH bytes that are worked on at a time, about.
@@ -67,41 +68,6 @@ def _sums(raws: list[bytes], cost: Callable[[np.ndarray, int, int], np.ndarray])
     return out
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """ctx, sym, n: how often each byte follows each DEPTH bytes; counted per partition, then summed."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
-
-        def merge():
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return [(keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))]
-
-        for batch in batches:
-            for part in slices(batch):
-                x, first, sizes = _laid_out([lower(t) for t in part.column(0).to_pylist()])
-                y = x.astype(np.uint32)
-                code = (y[:-3] << 24) | (y[1:-2] << 16) | (y[2:-1] << 8) | y[3:]
-                ends = first + sizes - 1  # the zero byte after a text is predicted, the other gap bytes are not
-                use = np.ones(len(code), bool)
-                for k in range(1, DEPTH):
-                    use[(ends + k - DEPTH)[ends + k - DEPTH < len(use)]] = False
-                code = np.sort(code[use])
-                new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                held.append((code[new], np.diff(np.append(new, len(code)))))
-                waiting += len(new)
-                if waiting > 4_000_000:
-                    held = merge()
-                    waiting = len(held[0][0])
-        if held:
-            keys, n = merge()[0]
-            for at in range(0, len(keys), 100_000):
-                k = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((k >> 8).astype(np.int64)), pa.array((k & 255).astype(np.int32)), pa.array(n[at : at + 100_000])], names=["ctx", "sym", "n"])
-
-    return rows.select("text").mapInArrow(run, "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Log gamma for x >= 0.5: Stirling's series at x + 6, brought down."""
     z = x + 6.0
@@ -136,101 +102,6 @@ def _bytes_log10(ones: np.ndarray) -> np.ndarray:
     return out
 
 
-class ContextTree:
-    """The frozen mixture as one table: a row of 256 log probabilities for each context that is told apart."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[d]: contexts of d bytes as numbers (last byte lowest), sorted, and their counts (rows of 256)."""
-        depth = len(levels) - 1
-        self.depth = depth
-        place = [{int(c): i for i, c in enumerate(ctx)} for ctx, _ in levels]
-        parent = [None] + [np.array([place[d - 1].get(int(c) & ((1 << 8 * (d - 1)) - 1), -1) for c in levels[d][0]], np.int64) for d in range(1, depth + 1)]
-        weight: list = [None] * (depth + 1)
-        others: list = [None] * (depth + 1)
-        ones: list = [None] * (depth + 1)
-        below = None
-        for d in range(depth, -1, -1):
-            counts = levels[d][1].astype(float)
-            block, ones[d] = _estimate(counts)
-            if d == depth:
-                below = block
-                continue
-            rest, split = counts.copy(), np.zeros_like(block)
-            has = parent[d + 1] >= 0
-            np.subtract.at(rest, parent[d + 1][has], levels[d + 1][1][has])
-            np.add.at(split, parent[d + 1][has], below[has])
-            rest_block, others[d] = _estimate(np.maximum(rest, 0))
-            split += rest_block
-            both = np.logaddexp(block, split) + math.log(0.5)
-            weight[d] = np.exp(block + math.log(0.5) - both)
-            below = both
-        # probabilities from the deepest context outwards
-        path = ones[0] * weight[0] if depth else ones[0]
-        left = 1 - weight[0] if depth else np.zeros_like(path)
-        tables, row_of = [], {}
-        at = 0
-        for d in range(depth):
-            tables.append(_bytes_log10(path + left * others[d]))
-            row_of[d] = at
-            at += len(levels[d][0])
-            up = np.maximum(parent[d + 1], 0)
-            if d + 1 < depth:
-                path, left = path[up] + left[up] * weight[d + 1] * ones[d + 1], left[up] * (1 - weight[d + 1])
-            else:
-                path = path[up] + left[up] * ones[d + 1]
-        tables.append(_bytes_log10(path))
-        row_of[depth] = at
-        self.table = np.concatenate(tables)
-        # contexts of DEPTH bytes, in the bytes' own small alphabet -> row of the deepest context that is kept
-        seen = np.unique(np.concatenate([(levels[d][0] >> 8 * (d - 1)) & 255 for d in range(1, depth + 1)] + [np.zeros(1, np.int64)])).astype(np.int64)
-        self.symbol = np.full(256, len(seen), np.int32)
-        self.symbol[seen] = np.arange(len(seen))
-        w = self.width = len(seen) + 1
-        rows = np.zeros((w,) * depth, np.int32)
-        for d in range(1, depth + 1):
-            ctx = levels[d][0][parent[d] >= 0] if d > 1 else levels[d][0]
-            where = np.flatnonzero(parent[d] >= 0)
-            digits = [self.symbol[(ctx >> 8 * k) & 255] for k in range(d)]  # 0: the last byte
-            if d == depth:
-                rows[tuple(digits[::-1])] = row_of[d] + where
-            else:
-                view = np.moveaxis(rows, tuple(range(depth - d, depth)), tuple(range(d)))
-                view[tuple(digits[::-1])] = (row_of[d] + where).reshape((-1,) + (1,) * (depth - d))
-        self.rows = rows.reshape(-1)
-
-    def log10(self, raws: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-
-        def cost(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
-            s, w = self.symbol, self.width
-            ctx = s[x[lo - self.depth : hi - self.depth]].astype(np.int64)
-            for k in range(self.depth - 1, 0, -1):
-                ctx = ctx * w + s[x[lo - k : hi - k]]
-            return self.table.reshape(-1)[self.rows[ctx].astype(np.int64) * 256 + x[lo:hi]]
-
-        return _sums(raws, cost)
-
-
-def trained_tree(rows: DataFrame, depth: int = DEPTH, most: int | None = None) -> ContextTree:
-    """The whole model in one piece on the driver, for small corpora: lm_scores deals it by ranges.
-
-    With ``most``, only that many of each depth's contexts, the most frequent; others of a parent form one more child."""
-    grams = kept(gram_counts(rows), "grams")
-    levels = []
-    for d in range(depth + 1):
-        ctx = F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long"))
-        each = grams.groupBy(ctx.alias("ctx"), "sym").agg(F.sum("n").alias("n"))
-        each = each.groupBy("ctx").agg(F.sum("n").alias("all"), F.collect_list("sym").alias("sym"), F.collect_list("n").alias("n"))  # 256 entries at most
-        each = each if most is None else each.orderBy(F.desc("all"), "ctx").limit(most)
-        found = sorted(each.select("ctx", "sym", "n").collect(), key=lambda r: r["ctx"])
-        counts = np.zeros((max(1, len(found)), 256), np.int64)
-        for i, r in enumerate(found):
-            counts[i, r["sym"]] = r["n"]
-        levels.append((np.array([r["ctx"] for r in found] or [0], np.int64), counts))
-    drop(grams)
-    return ContextTree(levels)
-
-
 # --- the tree by ranges of contexts ---------------------------------------------------------
 
 
@@ -260,9 +131,27 @@ def _summed(grams: list[np.ndarray], counts: list[np.ndarray] | None = None) ->
     return keys, np.bincount(at, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
-def _range_of(grams: np.ndarray, bits: int) -> np.ndarray:
-    """The range of each gram, by its last two bytes of context."""
-    return (((grams >> 16).astype(np.int64) * 40503) & 0xFFFF) >> (16 - bits)
+#: Context bytes that decide a range are spread by this odd factor and brought back by its inverse.
+_SPREAD = 40503
+_BACK = pow(_SPREAD, -1, 1 << 16)
+#: Bits of a gram, and of what decides its range.
+GRAM_BITS, RANGE_BITS = 8 * (DEPTH + 1), 16
+
+
+def _turned(grams: np.ndarray, factor: int) -> np.ndarray:
+    low = GRAM_BITS - RANGE_BITS
+    return (((grams >> low) * factor & 0xFFFF) << low) | (grams & ((1 << low) - 1))
+
+
+def gram_keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams as keys of an exchange, sorted, and the order that sorts them: their last two bytes of context decide the range."""
+    keys = _turned(grams.astype(np.int64), _SPREAD)
+    order = np.argsort(keys, kind="stable")
+    return keys[order].astype(np.uint64), order
+
+
+def keyed_grams(keys: np.ndarray) -> np.ndarray:
+    return _turned(keys.astype(np.int64), _BACK).astype(np.uint32)
 
 
 class Subtrees:
@@ -321,52 +210,59 @@ class Top:
         self.table = _bytes_log10(np.where(seen[:, None], self.path + self.left * 0.5, stop * root + (1 - stop) * 0.5))
 
 
-def summed_grams(requests: DataFrame) -> DataFrame:
-    """range, last, grams, counts, below: a row with the range's training grams (last: -1), and one for each last byte of context with its counts and its subtrees' sums."""
+def summed_grams(requests: DataFrame, bits: list[int]) -> DataFrame:
+    """_path, last, grams, counts, below: a row with the leaf's training grams (last: -1), and one for each last byte of context with its counts and its subtrees' sums."""
 
-    def run(table: pa.Table) -> pa.Table:
-        grams, counts = _summed([_opened(g, np.uint32) for g in table["hashes"].to_pylist()], [_opened(c, np.int64) for c in table["counts"].to_pylist()])
-        grams, counts = grams[counts > 0], counts[counts > 0]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keys, counts, _ = exchange.merged(*exchange.opened(table))
+        grams, counts = keyed_grams(keys[counts > 0]), counts[counts > 0]
+        order = np.argsort(grams)
+        grams, counts = grams[order], counts[order]
         last, rows = (grams >> 24).astype(np.int64), np.zeros((256, 256), np.int64)
         np.add.at(rows, (last, grams & 255), counts)
         below = np.zeros((256, 255))
         for part in Subtrees.of(grams, counts):
             np.add.at(below, part.last, part.both)
         seen = np.unique(last).tolist()
-        return pa.table({"range": pa.array([table["range"][0].as_py()] * (1 + len(seen)), pa.int32()), "last": pa.array([-1, *seen], pa.int32()), "grams": pa.array([_squeezed(grams)] + [None] * len(seen), pa.binary()), "counts": pa.array([_squeezed(counts), *[rows[i].tobytes() for i in seen]], pa.binary()), "below": pa.array([None, *[below[i].tobytes() for i in seen]], pa.binary())})
+        return pa.table({"_path": pa.array([key[0].as_py()] * (1 + len(seen)), pa.int64()), "last": pa.array([-1, *seen], pa.int32()), "grams": pa.array([exchange.pack(grams)] + [None] * len(seen), pa.binary()), "counts": pa.array([exchange.pack(counts), *[rows[i].tobytes() for i in seen]], pa.binary()), "below": pa.array([None, *[below[i].tobytes() for i in seen]], pa.binary())})
 
-    return requests.groupBy("range").applyInArrow(run, "range int, last int, grams binary, counts binary, below binary")
+    return requests.groupBy(*exchange.leaf(bits[-1])).applyInArrow(run, "_path long, last int, grams binary, counts binary, below binary")
 
 
 def top_of(sums: DataFrame) -> Top:
     """From summed_grams; at most 256 rows reach the driver."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("range")
+        table = table.sort_by("_path")
         add = lambda c, kind: sum(np.frombuffer(v, kind) for v in table[c].to_pylist()).tobytes()
         return pa.table({"last": table["last"][:1], "counts": pa.array([add("counts", np.int64)]), "below": pa.array([add("below", np.float64)])})
 
     counts, below = np.zeros((256, 256)), np.zeros((256, 255))
-    for r in sums.filter("last >= 0").select("range", "last", "counts", "below").groupBy("last").applyInArrow(run, "last int, counts binary, below binary").collect():
+    for r in sums.filter("last >= 0").select("_path", "last", "counts", "below").groupBy("last").applyInArrow(run, "last int, counts binary, below binary").collect():
         counts[r["last"]], below[r["last"]] = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["below"], np.float64)
     return Top(counts, below)
 
 
-def gram_costs(requests: DataFrame, sums: DataFrame, top: Top) -> DataFrame:
-    """block, range, grams, costs: the log10 probability of each gram that a block has asked for."""
+def gram_costs(requests: DataFrame, bits: list[int], trained: DataFrame, top: Top) -> DataFrame:
+    """block, path, sub, values: the log10 probability of each gram in the last level's packets. trained: from summed_grams."""
     sent = requests.sparkSession.sparkContext.broadcast(top)
 
-    def run(key, table: pa.Table, known: pa.Table) -> pa.Table:
-        each = [_opened(g, np.uint32) for g in table["hashes"].to_pylist()]
-        asked = np.unique(np.concatenate(each or [np.zeros(0, np.uint32)]))
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        keys, counts = exchange.opened(table)
+        every, _, place = exchange.merged(keys, counts)
+        grams = keyed_grams(every)
+        order = np.argsort(grams)
+        asked = grams[order]
         out = sent.value.table[asked >> 24, asked & 255]
         for g, c in zip(known["grams"].to_pylist(), known["counts"].to_pylist(), strict=True):
-            for part in Subtrees.of(_opened(g, np.uint32), _opened(c, np.int64)):
+            for part in Subtrees.of(exchange.unpack(g, np.uint32), exchange.unpack(c, np.int64)):
                 part.fill(out, asked, sent.value)
-        return pa.table({"block": table["block"], "range": table["range"], "grams": table["hashes"], "costs": pa.array([_squeezed(out[np.searchsorted(asked, g)]) for g in each], pa.binary())})
+        costs = np.empty_like(out)
+        costs[order] = out
+        return pa.table({**{c: table[c] for c in ("block", "path", "sub")}, "values": exchange.dealt(costs[place], keys)})
 
-    trained = sums.filter("last < 0").select("range", "grams", "counts")
-    return requests.groupBy("range").cogroup(trained.groupBy("range")).applyInArrow(run, "block int, range int, grams binary, costs binary")
+    rows = trained.filter("last < 0").select("_path", "grams", "counts")
+    return requests.groupBy(*exchange.leaf(bits[-1])).cogroup(rows.groupBy("_path")).applyInArrow(run, "block long, path long, sub int, values binary")
 
 
 # --- unigram base -------------------------------------------------------------------------
@@ -376,10 +272,6 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _bits_for(parts: int) -> int:
-    return max(0, math.ceil(math.log2(max(1, parts))))
-
-
 def _distinct(words: Iterable[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words, their hashes, and the order that sorts the hashes."""
     words = list(words)
@@ -388,30 +280,27 @@ def _distinct(words: Iterable[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarr
 
 
 def _blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """id, train, text, block: dealt by the id's hash, equal sizes whatever the keys."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(BLOCKS * parts)).cast("int")).repartition(parts, "block")
+    """id, train, text, block: dealt by the hash of id and text, equal sizes whatever the ids."""
+    return docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(BLOCKS * parts))).repartition(parts, "block")
 
 
-def asked(blocks: DataFrame, bits: int) -> DataFrame:
-    """kind, block, range, hashes, counts: each block's distinct words (kind 0) and grams (kind 1) with their counts in its training rows."""
-    gram_bits = min(bits, 16)
+def asked(blocks: DataFrame, word_bits: int, gram_bits: int) -> DataFrame:
+    """Packets of each block's distinct words (kind 0) and grams (kind 1), with their counts in its training rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {}
-        others: dict[int, set] = {}
-        ends: Counter = Counter()
         grams: dict[int, list] = {}
         for batch in batches:
             for part in slices(batch):
                 raws: dict[tuple[int, bool], list[bytes]] = {}
                 for train, text, block in zip(*[part.column(c).to_pylist() for c in ("train", "text", "block")], strict=True):
                     raw = lower(text)
-                    words = raw.split()
+                    held = counts.setdefault(block, Counter())
                     if train:
-                        counts.setdefault(block, Counter()).update(words)
-                        ends[block] += 1
-                    else:
-                        others.setdefault(block, set()).update(words)
+                        held.update(raw.split())
+                    else:  # asked for, not counted
+                        for word in raw.split():
+                            held.setdefault(word, 0)
                     raws.setdefault((block, bool(train)), []).append(raw)
                 for (block, train), texts in raws.items():
                     keys, n = _counted(texts)
@@ -419,85 +308,52 @@ def asked(blocks: DataFrame, bits: int) -> DataFrame:
                     held.append((keys, n * train))
                     if len(held) > 1 and sum(len(k) for k, _ in held) > 2_000_000:
                         held[:] = [_summed(*map(list, zip(*held, strict=True)))]
-        row = lambda kind, block, r, ends, h, c: pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "range": pa.array([r], pa.int32()), "ends": pa.array([ends], pa.int64()), "hashes": [h], "counts": [c]})
-        for block in counts.keys() | others.keys():
-            known = counts.get(block, Counter())
-            words, hashes, order = _distinct(known.keys() | others.get(block, set()))
-            n = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))[order]
-            hashes = hashes[order]
-            cuts = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
-            for r, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(n, cuts), strict=True)):
-                yield row(0, block, r, ends[block] if r == 0 else 0, h.tobytes(), c.astype(np.uint32).tobytes())
-        for block, held in grams.items():
-            keys, n = _summed(*map(list, zip(*held, strict=True)))
-            of = _range_of(keys, gram_bits)
-            order = np.argsort(of, kind="stable")
-            found, first = np.unique(of[order], return_index=True)
-            for r, at in zip(found.tolist(), np.split(order, first[1:]), strict=True):
-                yield row(1, block, r, 0, _squeezed(keys[at]), _squeezed(n[at]))
-
-    return blocks.mapInArrow(run, "kind int, block int, range int, ends long, hashes binary, counts binary")
-
-
-def answered(requests: DataFrame) -> DataFrame:
-    """block, range, counts (over all blocks, in the order of the request), distinct, total, ends."""
-
-    def run(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
-        counts = [np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()]
-        keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.bincount(at, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
-        replies = [sums[np.searchsorted(keys, h)] for h in hashes]
-        one = [i == 0 for i in range(len(hashes))]  # the range's own figures stand in one row
-        return pa.table({"block": table["block"], "range": table["range"], "counts": pa.array([_packed(r) for r in replies], pa.binary()), "distinct": pa.array([int((sums > 0).sum()) * o for o in one], pa.int64()), "total": pa.array([int(sums.sum()) * o for o in one], pa.int64()), "ends": table["ends"]})
-
-    return requests.groupBy("range").applyInArrow(run, "block int, range int, counts binary, distinct long, total long, ends long")
-
-
-def _squeezed(values: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def _opened(blob: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
-
 
-def _packed(counts: np.ndarray) -> bytes:
-    return _squeezed(counts.astype(np.int64))
+        def rows(kind: int, found: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * found.num_rows, pa.int32()), *found.columns], names=["kind", *found.schema.names])
 
+        while counts:
+            block, held = counts.popitem()
+            words, hashes, order = _distinct(held)
+            n = np.fromiter(held.values(), np.int64, len(words))[order]
+            keys = hashes[order]
+            if len(keys):
+                yield rows(0, exchange.batch(list(exchange.packets(block, 0, keys, n, 64, 0, word_bits))))
+            keys, n = _summed(*map(list, zip(*grams.pop(block), strict=True)))
+            keys, order = gram_keys(keys)
+            yield rows(1, exchange.batch(list(exchange.packets(block, 0, keys, n[order], GRAM_BITS, 0, gram_bits))))
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    return _opened(blob, np.int64)
+    return blocks.mapInArrow(run, f"kind int, {exchange.PACKETS}")
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs: id, train, text -> id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Both scores are made in one pass over the blocks of texts."""
-    size = text_bytes(docs)[1]
-    parts = parts_for(size, PART_BYTES)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0)).alias("ends")).first()
+    parts, ends = parts_for(size["bytes"], part_bytes), size["ends"]
     blocks = _blocks(docs, parts)
-    requests = kept(asked(blocks, _bits_for(parts)), "requests")
-    replies = kept(answered(requests.filter("kind = 0").drop("kind")), "word-counts")
-    grams = requests.filter("kind = 1").select("block", "range", "hashes", "counts")
-    trained = kept(summed_grams(grams), "grams")
-    costs = kept(gram_costs(grams.drop("counts"), trained, top_of(trained)), "gram-costs")
+    word_bits, gram_bits = exchange.levels(parts), exchange.levels(parts, RANGE_BITS)
+    requests = kept(asked(blocks, word_bits[0], gram_bits[0]), "requests")
+    words = exchange.raised(requests.filter("kind = 0").drop("kind"), word_bits, 64)
+    sums = exchange.sums(words, word_bits)
+    stats = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "total")]).first()
+    counted = exchange.lowered(words, word_bits, sums, np.int64)
+    grams = exchange.raised(requests.filter("kind = 1").drop("kind"), gram_bits, GRAM_BITS)
+    trained = kept(summed_grams(grams[-1], gram_bits), "grams")
+    costs = exchange.lowered(grams, gram_bits, kept(gram_costs(grams[-1], gram_bits, trained, top_of(trained)), "gram-costs"), np.float32)
     drop(requests)
     drop(trained)
-    sums = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "total", "ends")]).first()
-    ends, n, v = sums["ends"], sums["total"] + sums["ends"], sums["distinct"] + (sums["ends"] > 0)
+    n, v = stats["total"] + ends, stats["distinct"] + (ends > 0)
     scale = math.log10(n + v + 1)
 
     def score(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         texts = docs["text"].to_pylist()
         words, _, order = _distinct({w for t in texts for w in lower(t).split()})
-        rows = list(zip(*[replies[c].to_pylist() for c in ("kind", "range", "counts", "grams")], strict=True))
-        by_range = sorted((r, c) for kind, r, c, _ in rows if kind == 0)
-        counts = np.concatenate([_unpacked(c) for _, c in by_range]) if by_range else np.zeros(0, np.int64)
+        answers = {0: [], 1: []}
+        for kind, sub, values in zip(*[replies[c].to_pylist() for c in ("kind", "sub", "values")], strict=True):
+            answers[kind].append((sub, exchange.unpack(values, np.float32 if kind else np.int64)))
+        counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in sorted(answers[0], key=lambda x: x[0])]])
         mine = np.zeros(len(words), np.int64)
         mine[order] = counts
         cost = dict(zip(words, (np.log10(mine + 1.0) - scale).tolist(), strict=True))
@@ -510,8 +366,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             known.append(len(found) - (sum(map(unknown.__contains__, found)) if unknown else 0) + (ends > 0))
             base.append(math.fsum([*map(cost.__getitem__, found), end]))
         raws = [lower(t) for t in texts]
-        grams = np.concatenate([_opened(g, np.uint32) for kind, _, _, g in rows if kind == 1] or [np.zeros(0, np.uint32)])
-        costs = np.concatenate([_opened(c, np.float32) for kind, _, c, _ in rows if kind == 1] or [np.zeros(0, np.float32)])
+        # the block's grams once more, in the order in which they were asked for
+        held: list = []
+        for i in range(0, len(raws), 2000):
+            held.append(_counted(raws[i : i + 2000]))
+            if len(held) > 1 and sum(len(k) for k, _ in held) > 2_000_000:
+                held = [_summed(*map(list, zip(*held, strict=True)))]
+        keys, _ = gram_keys(_summed(*map(list, zip(*held, strict=True)))[0] if held else np.zeros(0, np.uint32))
+        costs = np.concatenate([np.zeros(0, np.float32), *[c for _, c in sorted(answers[1], key=lambda x: x[0])]])
+        grams = keyed_grams(keys)
         order = np.argsort(grams)
         grams, costs = grams[order], costs[order]
         of = lambda x, lo, hi: costs[np.minimum(np.searchsorted(grams, _grams(x, lo, hi)), len(grams) - 1)]
@@ -519,7 +382,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         sizes = np.array([len(r) + 1 for r in raws])
         return pa.table({"id": docs["id"], "train": docs["train"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(model), "bits_per_byte": pa.array(-model / sizes / math.log10(2))})
 
-    both = replies.select("block", F.lit(0).alias("kind"), "range", "counts", F.lit(None).cast("binary").alias("grams")).unionByName(costs.select("block", F.lit(1).alias("kind"), "range", F.col("costs").alias("counts"), "grams"))
+    both = counted.withColumn("kind", F.lit(0)).unionByName(costs.withColumn("kind", F.lit(1)))
     schema = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda k, d, r: score(k, d, r), schema)
 

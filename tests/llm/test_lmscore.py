@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ridgeline.llm import lmscore
+from ridgeline.llm import exchange, lmscore
 
 from .conftest import DATA
 
@@ -82,26 +82,33 @@ class Brute:
 
 def test_model_scores_equal_the_recursion(spark):
     texts = ["abracadabra abra", "the cat and the dog", "", "Zürich!", None]
-    tree = lmscore.trained_tree(spark.createDataFrame([(t,) for t in texts], "text string"))
+    probes = [*texts, "the dog", "qqq\x00\x7f", "ABRA", "the dog the dog"]
+    rows = [(i, True, t) for i, t in enumerate(texts)] + [(100 + i, False, t) for i, t in enumerate(probes)]
+    got = {r.id: r.score for r in lmscore.lm_scores(spark.createDataFrame(rows, "id long, train boolean, text string")).collect()}
     brute = Brute([lmscore.lower(t) for t in texts])
-    for probe in [*texts, "the dog", "qqq\x00\xff", "ABRA"]:
-        assert tree.log10([lmscore.lower(probe)])[0] == pytest.approx(brute.log10(lmscore.lower(probe)), rel=1e-4)
+    for i, probe in enumerate(probes):
+        assert got[100 + i] == pytest.approx(brute.log10(lmscore.lower(probe)), rel=1e-4)
 
 
-def test_pruned_tree_is_a_distribution(spark, docs):
-    tree = lmscore.trained_tree(docs, most=20)
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
-    full = lmscore.trained_tree(docs)
-    raws = [lmscore.lower(r.text) for r in docs.limit(40).collect()]
-    assert full.log10(raws).sum() > tree.log10(raws).sum()
+def test_many_levels_of_the_exchange(spark, docs, monkeypatch):
+    rows = docs.limit(60).selectExpr("doc_id AS id", "doc_id % 5 <> 0 AS train", "text")
+    one = {r.id: r for r in lmscore.lm_scores(rows).collect()}
+    monkeypatch.setattr(exchange, "BITS", 2)
+    size = sum(len(r.text or "") for r in rows.collect())
+    assert len(exchange.levels(24)) == 3
+    many = {r.id: r for r in lmscore.lm_scores(rows, part_bytes=size // 24).collect()}
+    assert many.keys() == one.keys()
+    for i, r in one.items():
+        assert (many[i].n_known, many[i].train_tokens) == (r.n_known, r.train_tokens)
+        assert many[i].base_score == pytest.approx(r.base_score) and many[i].score == pytest.approx(r.score, rel=1e-5)
 
 
-def test_chunks_do_not_change_scores(spark, docs, monkeypatch):
-    tree = lmscore.trained_tree(docs.limit(20))
+def test_chunks_do_not_change_sums(docs, monkeypatch):
     raws = [lmscore.lower(r.text) for r in docs.limit(20).collect()]
-    whole = tree.log10(raws)
+    cost = lambda x, lo, hi: x[lo:hi].astype(float) + x[lo - 1 : hi - 1]
+    whole = lmscore._sums(raws, cost)
     monkeypatch.setattr(lmscore, "CHUNK", 501)
-    assert np.allclose(tree.log10(raws), whole)
+    assert np.allclose(lmscore._sums(raws, cost), whole)
 
 
 def test_beats_the_base_on_held_out_texts(scored):
