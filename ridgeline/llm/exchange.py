@@ -127,12 +127,12 @@ def summed(table: pa.Table) -> pa.Table:
     _, sums, place = merged(keys, counts)
     one = [i == 0 for i in range(len(keys))]
     return pa.table({
-        **{c: table[c] for c in ("block", "path", "sub")}, "values": dealt(sums[place], keys),
+        **{c: table[c] for c in ("block", "path", "sub", "keys")}, "values": dealt(sums[place], keys),
         "distinct": pa.array([int((sums > 0).sum()) * x for x in one], pa.int64()), "total": pa.array([int(sums.sum()) * x for x in one], pa.int64()),
     })
 
 
-SUMMED = "block long, path long, sub int, values binary, distinct long, total long"
+SUMMED = "block long, path long, sub int, keys binary, values binary, distinct long, total long"
 
 
 def sums(tables: list[DataFrame], bits: list[int]) -> DataFrame:
@@ -140,24 +140,27 @@ def sums(tables: list[DataFrame], bits: list[int]) -> DataFrame:
     return kept(tables[-1].groupBy(*leaf(bits[-1])).applyInArrow(summed, SUMMED), "sums")
 
 
+ANSWERS = "block long, path long, sub int, keys binary, values binary"
+
+
 def _reply(kind: type):
     def reply(table: pa.Table, answers: pa.Table) -> pa.Table:
         keys, counts = opened(table)
         _, _, place = merged(keys, counts)
         parts = sorted(zip(answers["sub"].to_pylist(), answers["values"].to_pylist(), strict=True))
         values = np.concatenate([np.zeros(0, kind), *[unpack(v, kind) for _, v in parts]])
-        return pa.table({**{c: table[c] for c in ("block", "path", "sub")}, "values": dealt(values[place], keys)})
+        return pa.table({**{c: table[c] for c in ("block", "path", "sub", "keys")}, "values": dealt(values[place], keys)})
 
     return reply
 
 
 def lowered(tables: list[DataFrame], bits: list[int], answers: DataFrame, kind: type) -> DataFrame:
-    """block, sub, values for every request, stored, from the last level's answers (block, path, sub, values), which are dropped, like the levels between."""
+    """block, sub, keys, values for every request, stored, from the last level's answers (as ANSWERS), which are dropped, like the levels between."""
     for at in range(len(bits) - 2, -1, -1):
         last = answers
         asked = tables[at].groupBy(*_group(bits[at]))
         replies = asked.cogroup(last.groupBy(F.col("block").alias("_block"), F.col("path").alias("_path")))
-        answers = kept(replies.applyInArrow(_reply(kind), "block long, path long, sub int, values binary"), "answers")
+        answers = kept(replies.applyInArrow(_reply(kind), ANSWERS), "answers")
         drop(last)
         drop(tables[at + 1])
-    return answers.select("block", "sub", "values")
+    return answers.select("block", "sub", "keys", "values")

@@ -48,7 +48,7 @@ from ridgeline.llm.components import components
 WORDS, PERCENT = 5, 75
 #: Tokens in so many texts or more are indexed in pairs.
 FREQUENT = 32
-#: Text bytes in a partition of documents, and the blocks it is dealt by; sets multiplied out at a time; members of a signature that are joined inside a partition, before the shuffle.
+#: Text bytes for each leaf of the exchange, and the blocks of documents that make so many; sets multiplied out at a time; members of a signature that are joined inside a partition, before the shuffle.
 PART_BYTES, BLOCKS, SQUARE, LOCAL = 16 << 20, 4, 1024, 64
 
 
@@ -146,7 +146,7 @@ def _profiled(blocks: DataFrame, answers: DataFrame, words: int, percent: int, k
         longs = {"n": [len(s) for s in sets], "h1": h1, "h2": h2, "single": single, "rare": rare}
         return pa.table({"id": docs["id"], **{k: pa.array(v, pa.int64()) for k, v in longs.items()}, "tokens": pa.array(tokens, pa.binary())})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "id long, n long, h1 long, h2 long, single long, rare long, tokens binary")
+    return blocks.groupBy("block").cogroup(answers.select("block", "sub", "values").groupBy("block")).applyInArrow(run, "id long, n long, h1 long, h2 long, single long, rare long, tokens binary")
 
 
 # --- signatures ---------------------------------------------------------------------------
@@ -387,7 +387,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fre
     bits = exchange.levels(parts)
     key_bits = min(62, max(sum(bits) + 8, math.ceil(math.log2(max(2, size / 5))) + 8))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(BLOCKS * parts))
-    blocks = docs.select("id", "text", block.alias("block")).repartition(parts, "block")
+    blocks = docs.select("id", "text", block.alias("block")).repartition(BLOCKS * parts, "block")  # blocks fall unevenly, a few into a task at most
     levels = exchange.raised(kept(_asked(blocks, words, key_bits, bits[0]), "asked"), bits, key_bits)
     answers = exchange.lowered(levels, bits, exchange.sums(levels, bits), np.int64)
     drop(levels[0])

@@ -35,7 +35,7 @@ from ridgeline.llm.blocks import crc_mod, documents, drop, kept, parts_for, slic
 DEPTH = 3
 #: Contexts of DEPTH bytes that are worked on at a time, about.
 CONTEXTS_AT_ONCE = 2048
-#: Text bytes in a partition of documents, and the blocks it is dealt by (one word table each; several even out partitions).
+#: Text bytes for each leaf of the exchange, and the blocks of documents (one word table each) that make so many.
 PART_BYTES, BLOCKS = 32 << 20, 4
 CHUNK = 1 << 19
 
@@ -154,6 +154,36 @@ def keyed_grams(keys: np.ndarray) -> np.ndarray:
     return _turned(keys.astype(np.int64), _BACK).astype(np.uint32)
 
 
+class Places:
+    """Where each of a block's grams stands in its list, by a hash table; anywhere for other grams (those across the gaps between texts, which no sum holds)."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams, self.bits = grams, max(8, (2 * len(grams)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(grams))
+        at = self._hash(grams)
+        while len(left):
+            free = np.flatnonzero(self.slots[at] < 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[first]] = left[first]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _hash(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        at = self._hash(grams)
+        out = self.slots[at]
+        wrong = np.flatnonzero((out >= 0) & (self.grams[out] != grams)) if len(self.grams) else np.zeros(0, np.int64)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
+            out[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.grams[out[wrong]] != grams[wrong])]
+        return out
+
+
 class Subtrees:
     """Whole subtrees below contexts of two bytes: their estimates, and their weights of stopping."""
 
@@ -244,7 +274,7 @@ def top_of(sums: DataFrame) -> Top:
 
 
 def gram_costs(requests: DataFrame, bits: list[int], trained: DataFrame, top: Top) -> DataFrame:
-    """block, path, sub, values: the log10 probability of each gram in the last level's packets. trained: from summed_grams."""
+    """block, path, sub, keys, values: the log10 probability of each gram in the last level's packets. trained: from summed_grams."""
     sent = requests.sparkSession.sparkContext.broadcast(top)
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -259,10 +289,10 @@ def gram_costs(requests: DataFrame, bits: list[int], trained: DataFrame, top: To
                 part.fill(out, asked, sent.value)
         costs = np.empty_like(out)
         costs[order] = out
-        return pa.table({**{c: table[c] for c in ("block", "path", "sub")}, "values": exchange.dealt(costs[place], keys)})
+        return pa.table({**{c: table[c] for c in ("block", "path", "sub", "keys")}, "values": exchange.dealt(costs[place], keys)})
 
     rows = trained.filter("last < 0").select("_path", "grams", "counts")
-    return requests.groupBy(*exchange.leaf(bits[-1])).cogroup(rows.groupBy("_path")).applyInArrow(run, "block long, path long, sub int, values binary")
+    return requests.groupBy(*exchange.leaf(bits[-1])).cogroup(rows.groupBy("_path")).applyInArrow(run, exchange.ANSWERS)
 
 
 # --- unigram base -------------------------------------------------------------------------
@@ -281,7 +311,7 @@ def _distinct(words: Iterable[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarr
 
 def _blocks(docs: DataFrame, parts: int) -> DataFrame:
     """id, train, text, block: dealt by the hash of id and text, equal sizes whatever the ids."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(BLOCKS * parts))).repartition(parts, "block")
+    return docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(BLOCKS * parts))).repartition(BLOCKS * parts, "block")
 
 
 def asked(blocks: DataFrame, word_bits: int, gram_bits: int) -> DataFrame:
@@ -350,10 +380,10 @@ def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     def score(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         texts = docs["text"].to_pylist()
         words, _, order = _distinct({w for t in texts for w in lower(t).split()})
-        answers = {0: [], 1: []}
-        for kind, sub, values in zip(*[replies[c].to_pylist() for c in ("kind", "sub", "values")], strict=True):
-            answers[kind].append((sub, exchange.unpack(values, np.float32 if kind else np.int64)))
-        counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in sorted(answers[0], key=lambda x: x[0])]])
+        answers: dict[int, list] = {0: [], 1: []}
+        for kind, sub, keys, values in zip(*[replies[c].to_pylist() for c in ("kind", "sub", "keys", "values")], strict=True):
+            answers[kind].append((sub, keys, exchange.unpack(values, np.float32 if kind else np.int64)))
+        counts = np.concatenate([np.zeros(0, np.int64), *[c for *_, c in sorted(answers[0], key=lambda x: x[0])]])
         mine = np.zeros(len(words), np.int64)
         mine[order] = counts
         cost = dict(zip(words, (np.log10(mine + 1.0) - scale).tolist(), strict=True))
@@ -366,23 +396,14 @@ def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
             known.append(len(found) - (sum(map(unknown.__contains__, found)) if unknown else 0) + (ends > 0))
             base.append(math.fsum([*map(cost.__getitem__, found), end]))
         raws = [lower(t) for t in texts]
-        # the block's grams once more, in the order in which they were asked for
-        held: list = []
-        for i in range(0, len(raws), 2000):
-            held.append(_counted(raws[i : i + 2000]))
-            if len(held) > 1 and sum(len(k) for k, _ in held) > 2_000_000:
-                held = [_summed(*map(list, zip(*held, strict=True)))]
-        keys, _ = gram_keys(_summed(*map(list, zip(*held, strict=True)))[0] if held else np.zeros(0, np.uint32))
-        costs = np.concatenate([np.zeros(0, np.float32), *[c for _, c in sorted(answers[1], key=lambda x: x[0])]])
-        grams = keyed_grams(keys)
-        order = np.argsort(grams)
-        grams, costs = grams[order], costs[order]
-        of = lambda x, lo, hi: costs[np.minimum(np.searchsorted(grams, _grams(x, lo, hi)), len(grams) - 1)]
+        at = Places(np.concatenate([np.zeros(0, np.uint32), *[keyed_grams(exchange.unpack_sorted(k)) for _, k, _ in answers[1]]]))
+        costs = np.concatenate([np.zeros(0, np.float32), *[c for *_, c in answers[1]]])
+        of = lambda x, lo, hi: costs[at.of(_grams(x, lo, hi))]
         model = np.concatenate([_sums(raws[i : i + 2000], of) for i in range(0, len(raws), 2000)] or [np.zeros(0)])
         sizes = np.array([len(r) + 1 for r in raws])
         return pa.table({"id": docs["id"], "train": docs["train"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(model), "bits_per_byte": pa.array(-model / sizes / math.log10(2))})
 
-    both = counted.withColumn("kind", F.lit(0)).unionByName(costs.withColumn("kind", F.lit(1)))
+    both = counted.withColumn("kind", F.lit(0)).withColumn("keys", F.lit(None).cast("binary")).unionByName(costs.withColumn("kind", F.lit(1)))
     schema = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda k, d, r: score(k, d, r), schema)
 
