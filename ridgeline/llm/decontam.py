@@ -7,17 +7,22 @@ in edit distance (over lower-case UTF-8 bytes). The steps, all in one pass over
    L + 1 - q - k q of its q-grams, at offsets that differ by k at most. Only places where
    some item has that many grams on about one diagonal are looked at further, and of these
    only where that many lie on k + 1 neighbouring diagonals: the stretch starts within k of them.
+   Items so short that the rule grants no gram (some under 32 bytes) are cut into k + 1 parts instead,
+   of which an edited stretch keeps one whole: wherever a part occurs, the item is verified.
 2. Embedding: there, a window of the item's size starts at every byte, whatever the script. The
    CGK random walk writes window and item as longer strings, turning edits into few Hamming differences.
+   Items over LONGEST_WALK bytes are walked in several parts, since a walk over very many edits loses its way.
 3. LSH: each of TABLES tables samples BITS places of one of WALKS walks; a window and an
-   item that agree on one table's sample are candidates.
+   item that agree on one table's sample, in one part, are candidates.
 4. Verification: exact bit-parallel edit distance of the item against the stretch around the
    window. Windows that no table named and no verified stretch holds are verified last, so
    that LSH decides the order, not what is found.
 
-Edge cases: null and empty texts hit nothing; null and very short items (under ``q`` bytes)
-are skipped; repeated items each give their rows; equal distances go to the first place;
-an empty table on either side gives an empty result. The benchmark is held by every worker:
+Edge cases: null and empty texts hit nothing; null and empty items are skipped; an item under 10 bytes must
+occur as it is, however common it be; a very long text is worked on whole, as one string of bytes;
+repeated items and repeated rows each give their rows; equal distances go to the first place;
+an empty table on either side gives an empty result. Only the columns named are read (without_leaks hands
+all others through), so names never clash. The benchmark is held by every worker:
 its size is checked against ITEM_BYTES, and larger ones are done in rounds of that size.
 """
 
@@ -35,6 +40,8 @@ EDITS = 0.1
 Q = 8
 #: Repetitions for a recall over 0.95 of items copied with any edits within EDITS (tests/llm).
 WALKS, TABLES, BITS = 8, 64, 5
+#: Bytes of an item that are walked at once, at most.
+LONGEST_WALK = 256
 #: Benchmark bytes held by a worker at a time.
 ITEM_BYTES = 16 << 20
 #: Bytes looked at beyond a window when it is verified, besides the item's edits.
@@ -81,13 +88,23 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str | None]], edits: float = EDITS):
         self.q, self.edits = (q := Q), edits
         self.ids, self.raw = [], []
-        for i, t in items:
-            if len(raw := normal(t)) >= q:
+        #: short item -> (bytes, edits, parts with their offsets)
+        self.short: list[tuple[int, bytes, int, list[tuple[int, bytes]]]] = []
+        texts = [(i, raw) for i, t in items if (raw := normal(t))]
+        grams = lambda raw: len(raw) + 1 - q - int(len(raw) * edits) * q
+        for i, raw in texts:
+            if grams(raw) >= 1:
                 self.ids.append(i)
                 self.raw.append(raw)
+        for i, raw in texts:
+            if grams(raw) < 1:
+                k = int(len(raw) * edits)
+                cuts = [len(raw) * j // (k + 1) for j in range(k + 2)]
+                self.short.append((len(self.ids), raw, k, [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]))
+                self.ids.append(i)
         self.size = np.array([len(r) for r in self.raw], np.int64)
         self.most = np.floor(self.size * edits).astype(np.int64)
-        self.need = np.maximum(1, self.size + 1 - q - self.most * q)
+        self.need = self.size + 1 - q - self.most * q
         self.width = max(64, int(self.most.max(initial=0)) + 1)  # of a band of diagonals
         owner = [np.full(len(r) - q + 1, i) for i, r in enumerate(self.raw)]
         offset = [np.arange(len(r) - q + 1) for r in self.raw]
@@ -100,12 +117,11 @@ class Benchmark:
         self.row[keys] = np.arange(1, len(keys) + 1)
         self.begin = np.concatenate([[0, 0], np.cumsum(np.bincount(at, minlength=len(keys)))])[: len(keys) + 2]
         rng = np.random.default_rng(_SEED)
-        # sizes in steps of a quarter; walks end with the smallest item of the step
-        step = np.floor(np.log(np.maximum(self.size, 1)) / np.log(1.25)).astype(int)
-        self.steps = []
-        for s in np.unique(step):
-            of = np.flatnonzero(step == s)
-            self.steps.append(Step(self, of, rng))
+        # parts that are walked: item, offset, size; in steps of a quarter of the size, walks end with the smallest part of the step
+        parts = [(i, n * j // m, n * (j + 1) // m) for i, n in enumerate(self.size.tolist()) for m in [-(-n // LONGEST_WALK)] for j in range(m)]
+        parts = np.array(parts, np.int64).reshape(-1, 3)
+        step = np.floor(np.log(np.maximum(parts[:, 2] - parts[:, 1], 1)) / np.log(1.25)).astype(int)
+        self.steps = [Step(self, parts[step == s], rng) for s in np.unique(step)]
 
     def gram(self, x: np.ndarray) -> np.ndarray:
         """A number below 2 ** _GRAM_SPACE for the q = 8 bytes from each position on."""
@@ -153,63 +169,80 @@ class Benchmark:
 
     def find(self, raws: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the best stretch of each contaminated pair; places in bytes."""
-        if not self.raw or not raws:
-            return []
+        out = self._find_short(raws) if self.short else {}
+        if self.raw and raws:
+            out |= self._find_long(raws)
+        return [(d, i, *v) for (d, i), v in sorted(out.items())]
+
+    def _find_short(self, raws: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for doc, text in enumerate(raws):
+            for i, item, k, parts in self.short:
+                if (at := text.find(item)) >= 0:
+                    out[doc, i] = (0, at, at + len(item))
+                    continue
+                for offset, part in parts if k else ():
+                    at = text.find(part)
+                    while at >= 0:
+                        lo, hi = max(0, at - offset - k), at - offset + len(item) + k
+                        d, end = edit_search(item, text[lo:hi])
+                        if d <= k:
+                            begin = end - edit_search(item[::-1], text[lo : lo + end][::-1])[1]
+                            out[doc, i] = min(out.get((doc, i), (d, lo + begin, lo + end)), (d, lo + begin, lo + end))
+                        at = text.find(part, at + 1)
+        return out
+
+    def _find_long(self, raws: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
         gap = b"\0" * int(self.size.max() + self.most.max())
         x = np.frombuffer(gap.join(raws) + gap, np.uint8)
         size = np.array([len(r) for r in raws], np.int64)
         start = np.cumsum(size + len(gap)) - (size + len(gap))
         items, windows = self.places(x)
         if not len(items):
-            return []
+            return {}
         doc = np.maximum(np.searchsorted(start, windows, "right") - 1, 0)
         within = (windows >= start[doc]) & (windows < start[doc] + size[doc])
         pairs = np.stack([items[within], windows[within]], 1)
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         looked: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        agreed = np.zeros(len(pairs), bool)
         for step in self.steps:
-            mine = pairs[np.isin(pairs[:, 0], step.of)]
-            if not len(mine):
+            step.agree(x, pairs, agreed)
+        # the tables' candidates first; then the windows that they missed and no verified stretch holds
+        for item, p in [*pairs[agreed].tolist(), *pairs[~agreed].tolist()]:
+            doc = int(np.searchsorted(start, p, "right") - 1)
+            size_i, k = int(self.size[item]), int(self.most[item])
+            known = out.get((doc, item))
+            full = min(int(start[doc] + size[doc]), p + size_i + k)
+            if (known and known[0] == 0) or any(lo <= p and full <= hi for lo, hi in looked[doc, item]):
                 continue
-            agreed = step.agree(x, mine[:, 1], mine[:, 0])
-            # the tables' candidates first; then the windows that they missed and no verified stretch holds
-            for item, p in [*mine[agreed].tolist(), *mine[~agreed].tolist()]:
-                doc = int(np.searchsorted(start, p, "right") - 1)
-                size_i, k = int(self.size[item]), int(self.most[item])
-                known = out.get((doc, item))
-                full = min(int(start[doc] + size[doc]), p + size_i + k)
-                if (known and known[0] == 0) or any(lo <= p and full <= hi for lo, hi in looked[doc, item]):
-                    continue
-                lo, hi = max(int(start[doc]), p - k - ROOM), min(int(start[doc] + size[doc]), p + size_i + k + ROOM)
-                looked[doc, item].append((lo, hi))
-                text = x[lo:hi].tobytes()
-                exact = text.find(self.raw[item])
-                d, end = (0, exact + size_i) if exact >= 0 else edit_search(self.raw[item], text)
-                if d <= k:
-                    begin = end - (edit_search(self.raw[item][::-1], text[:end][::-1])[1] if d else size_i)
-                    found = (d, lo - int(start[doc]) + begin, lo - int(start[doc]) + end)
-                    if known is None or found < known:
-                        out[doc, item] = found
-        return [(d, i, *v) for (d, i), v in sorted(out.items())]
+            lo, hi = max(int(start[doc]), p - k - ROOM), min(int(start[doc] + size[doc]), p + size_i + k + ROOM)
+            looked[doc, item].append((lo, hi))
+            text = x[lo:hi].tobytes()
+            exact = text.find(self.raw[item])
+            d, end = (0, exact + size_i) if exact >= 0 else edit_search(self.raw[item], text)
+            if d <= k:
+                begin = end - (edit_search(self.raw[item][::-1], text[:end][::-1])[1] if d else size_i)
+                found = (d, lo - int(start[doc]) + begin, lo - int(start[doc]) + end)
+                if known is None or found < known:
+                    out[doc, item] = found
+        return out
 
 
 class Step:
-    """The items of about one size: their walks and their LSH tables."""
+    """Parts of items of about one size: their walks and their LSH tables."""
 
-    def __init__(self, all_items: Benchmark, of: np.ndarray, rng: np.random.Generator):
-        self.of = of
-        sizes = all_items.size[of]
-        least = int(sizes.min())
-        self.outputs = 2 * least  # windows are walked about as far as the smallest item reaches
+    def __init__(self, items: Benchmark, parts: np.ndarray, rng: np.random.Generator):
+        """parts: rows of item, first byte, end."""
+        self.item, self.offset = parts[:, 0], parts[:, 1]  # by item
+        least = int((parts[:, 2] - parts[:, 1]).min())
+        self.outputs = 2 * least  # windows are walked about as far as the smallest part reaches
         self.moves = rng.integers(0, 2, (WALKS, self.outputs, 256), dtype=np.uint8)
         self.walk_of = np.arange(TABLES) % WALKS
         self.places = [np.sort(rng.choice(self.outputs, min(BITS, self.outputs), replace=False)) for _ in range(TABLES)]
-        raws = [np.frombuffer(all_items.raw[i] + b"\0" * (self.outputs + 1), np.uint8) for i in of]
-        flat = np.concatenate(raws)
-        begin = np.cumsum([len(r) for r in raws]) - [len(r) for r in raws]
-        self.place = {int(i): at for at, i in enumerate(of)}
-        #: table -> the items' keys
-        self.tables = self.keys(flat, begin)
+        raws = [np.frombuffer(items.raw[i][a:] + b"\0" * (self.outputs + 1), np.uint8)[: self.outputs + 1] for i, a in parts[:, :2].tolist()]
+        #: table -> the parts' keys
+        self.tables = self.keys(np.concatenate(raws), np.arange(len(raws)) * (self.outputs + 1))
 
     def keys(self, x: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
         """A hash of the sampled places of the embedded strings from ``begin`` on, for each table."""
@@ -231,17 +264,19 @@ class Step:
                 out[t] = state[t]
         return out
 
-    def agree(self, x: np.ndarray, begin: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which windows fall into their item's bucket in one table at least."""
+    def agree(self, x: np.ndarray, pairs: np.ndarray, agreed: np.ndarray) -> None:
+        """Marks the pairs (item, window) one of whose parts here falls into the item's bucket in one table at least."""
         # a walk may leave the text's end: there it reads zeros, as an item's does
         padded = np.concatenate([x, np.zeros(self.outputs + 1, np.uint8)])
-        of = np.array([self.place[i] for i in items.tolist()])
-        out = np.zeros(len(begin), bool)
-        for lo in range(0, len(begin), 100_000):
-            part = slice(lo, lo + 100_000)
-            for keys, known in zip(self.keys(padded, begin[part]), self.tables, strict=True):
-                out[part] |= keys == known[of[part]]
-        return out
+        first, last = np.searchsorted(self.item, pairs[:, 0]), np.searchsorted(self.item, pairs[:, 0], "right")
+        many = last - first
+        pair = np.repeat(np.arange(len(pairs)), many)
+        part = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(pair))
+        for lo in range(0, len(pair), 100_000):
+            of, which = part[lo : lo + 100_000], pair[lo : lo + 100_000]
+            begin = np.minimum(pairs[which, 1] + self.offset[of], len(x))
+            for keys, known in zip(self.keys(padded, begin), self.tables, strict=True):
+                agreed[which[keys == known[of]]] = True
 
 
 def in_rounds(items: DataFrame, most: int = ITEM_BYTES) -> list[list[tuple[int, str]]]:

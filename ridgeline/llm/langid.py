@@ -7,15 +7,14 @@ shorter; below the empty context every byte costs 8 bits. Statistics are frozen
 training, so the exact code length of a text under every language is a sum of table cells;
 the tables of all languages share one trie, whose nodes are found for all positions at once.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the
+Edge cases: a null text, or one without a letter (of a Unicode letter category), is ``und`` with score 0; ties go to the
 first language in order; without any training row every text is ``und``; other languages
-than those learned are taken for the nearest one.
+than those learned are taken for the nearest one. A very long text is scored whole, in chunks; repeated rows get equal
+results and count once in the sample; an empty table gives an empty result. Only the id, text and language columns are read, so names never clash.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +26,23 @@ ORDER = 4
 SAMPLE_BYTES = 400_000
 #: Positions scored at a time.
 CHUNK = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def training_sample(rows: DataFrame, most: int = SAMPLE_BYTES) -> dict[str, list[str]]:
     """lang -> distinct texts of at most ``most`` bytes in all. rows: id, lang, text."""
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("id"))
-    sizes = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("id", "text"))
+    sizes = {r["lang"]: max(2 * most / max(1, r["b"]), 40 / r["n"]) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
-    #: Below that hash lies about twice the sample; where it is too little, all is taken.
-    cut = {k: min(2**63 - 1, int(min(1.0, 2 * most / max(1, b)) * 2**64) - 2**63) for k, b in sizes.items()}
+    #: Below that hash lies about twice the sample, and about 40 rows at least; where it is too little, all is taken.
+    cut = {k: min(2**63 - 1, int(min(1.0, share) * 2**64) - 2**63) for k, share in sizes.items()}
     limit = F.create_map(*[F.lit(x) for k, v in cut.items() for x in (k, v)])
     out: dict[str, list[str]] = {}
     left = dict.fromkeys(cut, most)
-    for r in sorted(rows.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", "text").collect(), key=lambda r: (r["h"], r["text"])):
+    for r in sorted(rows.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, most).alias("text")).collect(), key=lambda r: (r["h"], r["text"])):
         size = len(r["text"].encode("utf-8", "surrogatepass"))
         if left[r["lang"]] > 0 and r["text"] not in out.setdefault(r["lang"], []):
-            out[r["lang"]].append(r["text"][: max(1, left[r["lang"]])])
+            out[r["lang"]].append(r["text"].encode("utf-8", "surrogatepass")[: left[r["lang"]]].decode("utf-8", "ignore"))
             left[r["lang"]] -= size
     return out
 
@@ -138,7 +136,7 @@ class ContextTrees:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
         if at:
             bits = self.bits([_bytes(texts[i]) for i in at])
             best = bits.argmin(1)

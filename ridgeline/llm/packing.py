@@ -84,7 +84,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost: Cal
     return bins, offsets, [next(c for c in sizes if c >= u) for u in used]
 
 
-def packed(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, n_rows: int | None = None, group: int = GROUP) -> DataFrame:
+def packed(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group: int = GROUP) -> DataFrame:
     """rows: id long, tokens long (without the separator) -> one row per piece with its bin.
 
     id, piece, start, length, bin_id, bin_offset, capacity."""
@@ -92,8 +92,9 @@ def packed(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, n_rows: in
     total = F.coalesce(F.col("tokens"), F.lit(0)) + 1
     pieces = rows.select("id", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / longest).cast("long"))).alias("piece"))
     pieces = pieces.select("id", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest).cast("long"), F.col("total") - F.col("piece") * longest).alias("length"))
-    groups = max(1, math.ceil((rows.count() if n_rows is None else n_rows) / group))
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    many = rows.agg(F.sum(F.floor((total - 1) / longest) + 1).alias("n")).first()["n"] or 0
+    groups = max(1, math.ceil(many / group))
+    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece", "length"), F.lit(groups)))
 
     def run(table):
         import pyarrow as pa

@@ -9,9 +9,10 @@ then by the id, so a cut can fall inside any run of equal values, however large.
 
 Law ``bytes``: leaves differ by little more than the largest row.
 
-Edge cases: null texts weigh 8 bytes like empty ones, with crc32 0; null metadata counts as 0; fewer rows
-than shards leave some shards empty; repeated ids get one shard each only if their rows are
-alike in hash; an empty table gives an empty result.
+Edge cases: null and empty texts weigh 8 bytes, with crc32 0; null and NaN metadata count as 0; fewer rows
+than shards leave some shards empty; rows of one id stay together (all rows without an id count as id 0); equal texts
+with different ids may part; a very long text weighs its bytes and can't be cut; an empty table gives an empty result.
+Outputs are named here and only the columns named are read, so others never clash.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.blocks import documents, drop, kept
 
 #: Bins of one round of a selection, for each node; what reaches the driver is nodes times bins.
-BINS = 256
+BINS = 1024
 #: Rows in one group while rows are numbered.
 NUMBERED = 50_000
 _HASH_BITS = 31
@@ -34,8 +35,8 @@ def kd_shards(rows: DataFrame, leaves: int, dims: list[str], weight: str, order:
     """rows with a column ``shard``: 0 to leaves - 1. dims: numeric columns; order: a unique long column that breaks ties.
 
     rows should be short; each level of the tree stores them once, with their cell."""
-    rows = kept(rows.withColumn("_tie", F.pmod(F.xxhash64(order), F.lit(1 << _HASH_BITS))).withColumn("_cell", F.lit(0)), "cells")
-    spread = [f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+    rows = kept(rows.withColumn("_tie", F.pmod(F.xxhash64(order), F.lit(1 << _HASH_BITS))).withColumn("_order", F.col(order).cast("double")).withColumn("_cell", F.lit(0)), "cells")
+    spread = [f(_number(d)).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
     bounds = rows.agg(*spread).first()
     whole = {d: max(1e-12, (bounds[f"hi_{d}"] or 0.0) - (bounds[f"lo_{d}"] or 0.0)) for d in dims}
     cells = {0: leaves}  # first leaf of a cell -> its leaves
@@ -54,7 +55,7 @@ def kd_shards(rows: DataFrame, leaves: int, dims: list[str], weight: str, order:
         last, rows = rows, kept(rows.withColumn("_cell", moved), "cells")
         drop(last)
         cells = {k: m for cell, n in cells.items() for k, m in (((cell, n // 2), (cell + n // 2, n - n // 2)) if n > 1 and cell in cuts else ((cell, 1),))}
-    return rows.withColumn("shard", F.col("_cell").cast("int")).drop("_tie", "_cell")
+    return rows.withColumn("shard", F.col("_cell").cast("int")).drop("_tie", "_order", "_cell")
 
 
 def _narrow(level: DataFrame, cuts: dict, weight: str) -> None:
@@ -74,36 +75,42 @@ def _narrow(level: DataFrame, cuts: dict, weight: str) -> None:
             value = F.when(F.col("_cell") == i, _column(c)).otherwise(value)
         found = (
             level.filter(inside).select("_cell", bin_of.alias("bin"), value.alias("v"), F.col(weight).alias("w"))
-            .groupBy("_cell", "bin").agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+            .groupBy("_cell", "bin").agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
         )
         for i, c in open_.items():
             total = c["before"]
-            bins = sorted((r["bin"], r["w"], r["lo"], r["hi"]) for r in found if r["_cell"] == i)
-            for k, (_, w, lo, hi) in enumerate(bins):
+            bins = sorted((r["bin"], r["w"], r["lo"], r["hi"], r["n"]) for r in found if r["_cell"] == i)
+            for k, (_, w, lo, hi, n) in enumerate(bins):
                 if total + w >= c["want"] or k == len(bins) - 1:  # the cut falls here
-                    c["before"], c["lo"], c["hi"], c["w"] = total, lo, hi, w
+                    c["before"], c["lo"], c["hi"], c["w"], c["n"] = total, lo, hi, w, n
                     break
                 total += w
             if c["lo"] == c["hi"]:
                 _settle(c)
 
 
+def _number(dim: str) -> Column:
+    """A dimension as a finite number: null and NaN are 0."""
+    value = F.nanvl(F.col(dim).cast("double"), F.lit(0.0))
+    return F.greatest(F.lit(-1e300), F.least(F.lit(1e300), F.coalesce(value, F.lit(0.0))))
+
+
 def _column(c: dict) -> Column:
     if c["stage"] == "value":
-        return F.coalesce(F.col(c["dim"]).cast("double"), F.lit(0.0))
-    return F.col("_tie").cast("double")
+        return _number(c["dim"])
+    return F.col("_tie").cast("double") if c["stage"] == "tie" else F.coalesce(F.col("_order"), F.lit(0.0))
 
 
 def _settle(c: dict) -> None:
-    """One value is left: take it whole, leave it whole, or cut among its rows."""
+    """One value is left: on among its rows, by the next order, or done: it goes to the side that it brings nearer to its bytes."""
     column = _column(c)
     smaller = column < F.lit(c["lo"])
     for fixed, value in reversed(c.get("equal", [])):
         smaller = (fixed < F.lit(value)) | ((fixed == F.lit(value)) & smaller)
     whole = smaller | _all_equal(c, column)
-    if c["stage"] == "value":
+    if c["n"] > 1 and c["stage"] != "order":
         c.setdefault("equal", []).append((column, c["lo"]))
-        c |= {"stage": "tie", "lo": 0.0, "hi": float((1 << _HASH_BITS) - 1)}
+        c |= {"stage": "tie", "lo": 0.0, "hi": float((1 << _HASH_BITS) - 1)} if c["stage"] == "value" else {"stage": "order", "lo": -(2.0**63), "hi": 2.0**63}
     else:
         near = c["want"] - c["before"] > c["w"] / 2
         c |= {"stage": "done", "left": whole if near else smaller}

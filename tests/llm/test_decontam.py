@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ridgeline.llm import decontam
@@ -94,3 +95,43 @@ def test_texts_without_blanks(glue):
     near = [decontam.normal(joined(300) + glue + edited(t, 0.04, rng) + glue + joined(300)) for t in items[10:]]
     found = {(d, i) for d, i, *_ in bench.find(near)}
     assert sum((i, i + 10) in found for i in range(10)) >= 9
+
+
+@pytest.mark.parametrize("size", [5, 9, 10, 12, 15, 20, 23, 24, 30, 31, 32, 40, 80, 400, 800, 3000])
+def test_nothing_within_the_edits_is_lost_at_any_size(size):
+    """Random and evenly placed edits, as many as may be; items of 5 to 3,000 bytes."""
+    rng = random.Random(size)
+    letters = "abcdefghijklmnop qrstuvwxyz"
+    items = [(i, "".join(rng.choice(letters) for _ in range(size))) for i in range(12)]
+    bench = decontam.Benchmark(items)
+    k = int(size * decontam.EDITS)
+    texts, exact = [], []
+    for i, t in items:
+        even = list(t)
+        for j in range(k):
+            even[(2 * j + 1) * size // (2 * k)] = rng.choice("0123")
+        for copy in (t, edited(t, decontam.EDITS, rng), "".join(even)):
+            texts.append(decontam.normal("#" * rng.randrange(40) + copy + "#" * rng.randrange(40)))
+            exact.append(i)
+    found = {(d, i): dist for d, i, dist, *_ in bench.find(texts)}
+    for d, (text, i) in enumerate(zip(texts, exact, strict=True)):
+        least = decontam.edit_search(decontam.normal(items[i][1]), text)[0]
+        assert (bench.ids.index(i) in [x for y, x in found if y == d]) == (least <= k), (d, least)
+
+
+def test_tables_name_most_near_copies():
+    """The recall of the tables alone, before the windows that they missed are verified."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnop qrstuvwxyz"
+    for size in (80, 250, 800, 3000):
+        items = [(i, "".join(rng.choice(letters) for _ in range(size))) for i in range(40)]
+        bench = decontam.Benchmark(items)
+        named = 0
+        for i, (_, t) in enumerate(items):
+            x = np.frombuffer(decontam.normal(edited(t, 0.09, rng)) + b"\0" * (2 * size), np.uint8)
+            pairs = np.array([[i, p] for p in range(-0, int(bench.most[i]) + 1)], np.int64)
+            agreed = np.zeros(len(pairs), bool)
+            for step in bench.steps:
+                step.agree(x, pairs, agreed)
+            named += agreed.any()
+        assert named >= 0.9 * len(items), (size, named)

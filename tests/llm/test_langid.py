@@ -66,3 +66,15 @@ def test_sample_has_a_bound(spark, docs):
     sample = langid.training_sample(docs.selectExpr("doc_id id", "lang", "text"), 5000)
     assert set(sample) == {"en", "de", "fr", "es"}
     assert all(sum(map(len, v)) <= 5000 + 5000 for v in sample.values())
+
+
+def test_letters_are_letters_only():
+    model = langid.ContextTrees({"en": ["the cat and the dog"], "de": ["der hund und die katze"]})
+    assert model.predict(["½ ² ①", "Ⅷ 12", "_", "x", "中"])[0][:3] == ["und"] * 3
+    assert "und" not in model.predict(["x", "中", "ª1"])[0]
+
+
+def test_every_language_is_in_the_sample(spark):
+    rows = [(i, "en", "the cat " * 3000) for i in range(300)] + [(1000 + i, "xx", "zq zq zq") for i in range(2)]
+    sample = langid.training_sample(spark.createDataFrame(rows, "id long, lang string, text string"), 5000)
+    assert set(sample) == {"en", "xx"} and len(sample["en"][0].encode()) <= 5000

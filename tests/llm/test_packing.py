@@ -66,3 +66,53 @@ def test_query_packs_exact_token_counts(spark, docs):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
         filled[r.bin_id, r.capacity] = filled.get((r.bin_id, r.capacity), 0) + r.length
     assert got == want and all(n <= capacity for (_, capacity), n in filled.items())
+
+
+def plain_best_fit(lengths, sizes, cost):
+    """The rule, bin by bin: of the open bins with least room the last changed; else the size that costs least a token."""
+    bins, where = [], [None] * len(lengths)  # bin: [room, last change, used]
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for turn, i in enumerate(order):
+        n, waiting = lengths[i], sorted((lengths[j] for j in order[turn + 1 :]), reverse=True)
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            chosen = min(fits, key=lambda b: (b[0], -b[1]))
+        else:
+            def tokens(room):
+                got = 0
+                for w in waiting:
+                    if w <= room:
+                        room, got = room - w, got + w
+                return got
+            size = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / (n + tokens(c - n)), c))
+            chosen = [size, 0, 0]
+            bins.append(chosen)
+        where[i] = (bins.index(chosen) if not fits else next(k for k, b in enumerate(bins) if b is chosen), chosen[2])
+        chosen[:] = [chosen[0] - n, turn + 1, chosen[2] + n]
+    return [w[0] for w in where], [w[1] for w in where], [min(c for c in sizes if c >= b[2]) for b in bins]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=40))
+def test_equals_plain_best_fit(lengths):
+    sizes = (8, 16, 64)
+    bins, offsets, opened = packing.pack(lengths, sizes)
+    assert (list(bins), list(offsets), list(opened)) == plain_best_fit(lengths, sizes, packing.place_cost)
+
+
+def test_query_equals_plain_best_fit(spark):
+    """The query's rows, group by group, against the plain rule over its own pieces."""
+    rows = packing.op5_packing(spark, DATA).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.bin_id >> 32, []).append(r)
+    for group in groups.values():
+        group.sort(key=lambda r: (r.doc_id, r.piece))
+        bins, offsets, sizes = plain_best_fit([r.length for r in group], packing.CAPACITIES, packing.place_cost)
+        assert [(r.bin_id & 0xFFFFFFFF, r.bin_offset, r.capacity) for r in group] == [(b, o, sizes[b]) for b, o in zip(bins, offsets, strict=True)]
+
+
+def test_groups_are_bounded_by_pieces(spark):
+    rows = spark.createDataFrame([(i, 1_000_000) for i in range(10)], "id long, tokens long")
+    many = packing.packed(rows, group=128).groupBy((packing.F.col("bin_id") / (1 << 32)).cast("long")).count().collect()
+    assert len(many) > 6 and max(r["count"] for r in many) < 256

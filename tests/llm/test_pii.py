@@ -72,3 +72,17 @@ def test_query(spark):
 
     for r in pii.op4_pii(spark, DATA).collect():
         assert sum((r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_iban)) == len([x for x in r.spans.split(",") if x])
+
+
+def test_accounts_side_by_side():
+    text = "NO9386011117947 DE89370400440532013000, GB82 WEST 1234 5698 7654 32 and SA0380000000608010167519"
+    spans = [text[a:b] for k, a, b, _ in pii.find(text) if k == "iban"]
+    assert spans == ["NO9386011117947", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "SA0380000000608010167519"]
+    assert not [s for s in pii.find("DE89370400440532013001 DE8937040044053201300") if s[0] == "iban"]
+
+
+def test_context_on_both_sides_decides_weak_spans():
+    assert pii.redact("see version 10.20.30.40 of it") == "see version 10.20.30.40 of it"
+    assert pii.redact("10.20.30.40 is the release") == "10.20.30.40 is the release"
+    assert pii.redact("the server at 10.20.30.40 is up") == "the server at [ip] is up"
+    assert pii.redact("see version 10.20.30.40 of it", 0.0) == "see version [ip] of it"
