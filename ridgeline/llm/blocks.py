@@ -121,7 +121,7 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
 
 def parts_for(size: int, part_bytes: int) -> int:
     """Partitions of about so many bytes each, at any size of the corpus."""
-    return max(8, math.ceil(size / part_bytes))
+    return max(2, math.ceil(size / part_bytes))
 
 
 def crc_mod(col: str, mod: int):

@@ -381,7 +381,7 @@ def verified(sets: DataFrame, groups: DataFrame, percent: int, frequent: int) ->
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, part_bytes: int = PART_BYTES) -> DataFrame:
-    """docs: id (unique), text -> id, n_shingles, component_id, n_links (documents linked with it, copies included)."""
+    """docs: id (unique), text -> id, n_shingles, component_id, n_links (documents linked with it, copies included), stored."""
     size = text_bytes(docs)[1]
     parts = parts_for(size, part_bytes)
     bits = exchange.levels(parts)
@@ -407,10 +407,14 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fre
     links = kept(found.groupBy("rep").agg(F.sum("links").alias("links")), "link-counts")
     drop(found)
     members = profiles.select("id", "n", "h1", "h2").join(copies, ["h1", "h2"], "left").join(final, "rep", "left").join(links, "rep", "left")
-    return members.select(
+    out = members.select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
     )
+    out = kept(out, "near-groups")
+    for table in (profiles, copies, final, links):
+        drop(table)
+    return out
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ the log probabilities of its own distinct grams (a byte after DEPTH bytes), see
 holds whole subtrees below contexts of two bytes; only the 257 contexts above them are shared by all.
 
 Edge cases: null is empty; an empty text has one token, its end; a corpus without training
-rows scores every byte by the untrained estimate (one half a bit) and every word by count 0.
+rows scores every byte by the untrained estimate (one half a bit) and every word by count 0. A very long
+text lies whole in one block; repeated rows each count and are scored alike; an empty table gives an empty
+result. Only the columns id, train and text are read, so others never clash.
 """
 
 from __future__ import annotations
@@ -359,7 +361,7 @@ def asked(blocks: DataFrame, word_bits: int, gram_bits: int) -> DataFrame:
 def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs: id, train, text -> id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Both scores are made in one pass over the blocks of texts."""
+    Both scores are made in one pass over the blocks of texts, and stored."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0)).alias("ends")).first()
     parts, ends = parts_for(size["bytes"], part_bytes), size["ends"]
     blocks = _blocks(docs, parts)
@@ -405,7 +407,10 @@ def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
     both = counted.withColumn("kind", F.lit(0)).withColumn("keys", F.lit(None).cast("binary")).unionByName(costs.withColumn("kind", F.lit(1)))
     schema = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda k, d, r: score(k, d, r), schema)
+    out = kept(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda k, d, r: score(k, d, r), schema), "scores")
+    drop(counted)
+    drop(costs)
+    return out
 
 
 def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

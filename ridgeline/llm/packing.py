@@ -8,7 +8,8 @@ every bin shrinks to the shortest permitted length that holds its contents.
 
 Edge cases: every document ends with one separator token, so null and empty texts have length
 1 and are packed too; equal lengths go by id, then piece; repeated rows with one id keep
-their own rows; an empty table gives an empty result; a text of any length is cut into as many pieces as it needs.
+their own rows (alike ones fall into one group); an empty table gives an empty result; a text of any length is cut into
+as many pieces as it needs, and a document's pieces fall into different groups. Only id and tokens are read, so names never clash.
 """
 
 from __future__ import annotations

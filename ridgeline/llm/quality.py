@@ -5,7 +5,8 @@ mask of the rules that reject; verdicts and ablations are bitwise work on the le
 without a second look at any text.
 
 Edge cases: null and empty texts have zero words, so they fail ``few_words``; texts of
-one line or fewer than three words have no repeats; an empty table gives an empty ledger.
+one line or fewer than three words have no repeats; a very long text is measured whole; repeated rows each have
+their line; an empty table gives an empty ledger. Only the id and text columns are read, so others never clash.
 """
 
 from __future__ import annotations

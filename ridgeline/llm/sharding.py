@@ -144,7 +144,11 @@ def sharded(df: DataFrame, leaves: int, dims: list[str], id_col: str = "doc_id",
     axes = {f"d{i}": (F.pmod(F.xxhash64(d), F.lit(1 << 20)) if kinds[d] == "string" else F.col(d)).cast("double") for i, d in enumerate(dims)}
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = kept(df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in axes.items()]), "sizes")
-    return numbered(kd_shards(rows, leaves, [*axes, "size"], "size", "id"), rows.count()).drop(*axes)
+    cells = kd_shards(rows, leaves, [*axes, "size"], "size", "id")
+    out = kept(numbered(cells, rows.count()).drop(*axes), "shards")
+    drop(cells)
+    drop(rows)
+    return out
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str, leaves: int = 24) -> DataFrame:

@@ -8,7 +8,7 @@ character, and truncation and budget questions read the ledger without encoding
 
 Edge cases: null and empty texts have no characters and no tokens; special tokens' strings
 count as the tokenizer's default has them (one token each); repeated rows, an empty table
-and further columns are as usual. A run of blanks of any length is handled like a word.
+and further columns of any name are as usual; a text of any length is counted whole. A run of blanks of any length is handled like a word.
 """
 
 from __future__ import annotations

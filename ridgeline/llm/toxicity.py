@@ -10,7 +10,9 @@ stands for, give the score; the neighbours themselves are the evidence.
 
 Edge cases: a text without any feature (null and empty ones too) gets the rate of toxic
 rows among examples without features; equal cosines go to the earlier example; without
-labelled rows every score is 0; repeated rows get equal scores.
+labelled rows every score is 0; repeated rows get equal scores. A very long text is one vector of all its
+words; an empty table gives an empty result. Only doc_id, text and the labels are read (without_toxic hands all
+other columns through), so names never clash.
 """
 
 from __future__ import annotations
