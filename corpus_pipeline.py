@@ -1,4 +1,11 @@
-"""Documents to packed training sequences: five stages, each written as Parquet and reread by the next."""
+"""Documents to packed training sequences: five stages, each written as Parquet and reread by the next.
+
+Every stage keeps all columns (the last has its own), reads only doc_id and text, and works on whole texts
+of any length. Null and empty texts are clean, linked with nothing, and packed as one separator each. An
+empty table passes through. Rows without a doc_id are scored, cleaned and packed like others, and can't
+be told apart as copies, so all stay. Rows of one doc_id but different texts go or stay together; a row that
+comes several times whole stays once. A stage's table is removed when the next one is written.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontam, jaccard, packing, pii, tokens, toxicity
-from ridgeline.llm.blocks import kept
+from ridgeline.llm.blocks import drop, kept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +25,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group of near copies, the document with the least id; rows without an id can't be told apart and all stay."""
     groups = jaccard.near_groups(docs.select(F.col("doc_id").alias("id"), "text"))
     first = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id"))
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    rows = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    if not first.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "text"])
+    return rows.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
