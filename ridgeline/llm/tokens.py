@@ -5,6 +5,7 @@ the only vocabulary suffix whose pair with the shorter prefix's last token is st
 the merges. That gives the exact count at *every* prefix in one left-to-right pass. Words are
 independent of each other, so a text's ledger is its words' count changes, one signed byte a
 character, and truncation and budget questions read the ledger without encoding anything again.
+Where only totals are asked for (packing), words are counted by the tokenizer library itself.
 
 Edge cases: null and empty texts have no characters and no tokens; special tokens' strings
 count as the tokenizer's default has them (one token each); repeated rows, an empty table
@@ -26,6 +27,10 @@ from ridgeline.llm.blocks import claim, documents, map_rows
 
 #: Words whose count changes are kept by each worker (twice: the older half goes first), the characters of the longest, and pairs of tokens.
 CACHE_WORDS, LONGEST_CACHED, CACHE_PAIRS = 300_000, 64, 500_000
+#: The characters that vocabularies' patterns take for blanks (fixed values).
+_BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Blanks with what follows them up to the next blank: no word reaches over their ends.
+_RUN = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What can be told apart without looking at its neighbours: blanks with the word after them.
@@ -225,6 +230,61 @@ class _Pieces(dict):
         return got
 
 
+class _Recent(dict):
+    """key -> its count, made where it is missing. Past ``most`` keys, those that were not asked for since the last time go."""
+
+    def __init__(self, make: Callable[[str], int], most: int = CACHE_WORDS):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> int:
+        if (got := self.old.get(key)) is None:
+            got = self.make(key)
+        if len(key) <= LONGEST_CACHED:
+            self[key] = got
+        return got
+
+    def total(self, keys: list[str]) -> int:
+        out = sum(map(self.__getitem__, keys))
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return out
+
+
+class TotalCounter:
+    """Exact token counts of whole texts where no ledger is asked for: words are counted by the tokenizer library, and looked up after that."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            added = {x["content"] for x in json.load(f).get("added_tokens", ())}
+        self.special = sorted(added, key=len, reverse=True)
+        self.split = regex.compile("|".join(map(regex.escape, self.special))) if added else None
+        self.model = Tokenizer.from_file(path).model
+        self.letter = {b: c for c, b in _byte_letters().items()}
+        self.words, self.runs, self.after_space = _Recent(self.word), _Recent(self.run), _Recent(lambda run: self.run(" " + run))
+
+    def word(self, word: str) -> int:
+        return len(self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letter)))
+
+    def run(self, run: str) -> int:
+        return self.words.total(_WORD.findall(run))
+
+    def count(self, text: str) -> int:
+        if any(s in text for s in self.special):
+            parts = self.split.split(text)
+            return len(parts) - 1 + sum(map(self.plain, parts))
+        return self.plain(text)
+
+    def plain(self, text: str) -> int:
+        if any(c + " " in text for c in set(text) if c.isspace()):
+            return self.runs.total(_RUN.findall(text))
+        first, *rest = text.split(" ")  # a space after no blank begins a run
+        return (self.runs.total(_RUN.findall(first)) if first else 0) + self.after_space.total(rest)
+
+
 def total(changes: bytes) -> int:
     return int(np.frombuffer(changes, np.int8).sum(dtype=np.int64))
 
@@ -242,14 +302,14 @@ def longest_within(ledger: bytes | None, budget: int) -> int:
     return int(np.flatnonzero(prefix_counts(ledger) <= budget)[-1])
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
+_COUNTERS: dict[tuple, PrefixCounter | TotalCounter] = {}
 
 
-def counter(path: str) -> PrefixCounter:
-    """One counter for each worker process and file."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+def counter(path: str, kind: type = PrefixCounter) -> PrefixCounter | TotalCounter:
+    """One counter of each kind for each worker process and file."""
+    if (kind, path) not in _COUNTERS:
+        _COUNTERS[kind, path] = kind(path)
+    return _COUNTERS[kind, path]
 
 
 def tokenizer_path(name: str) -> str:
@@ -265,10 +325,12 @@ def token_counts(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", ledger: bo
         import zstandard
 
         claim("tokens", _COUNTERS.clear)
+        out = {"id": ids, "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
+        if not ledger:
+            return out | {"n_tokens": list(map(counter(path(tokenizer), TotalCounter).count, (t or "" for t in texts)))}
         count, pack = counter(path(tokenizer)), zstandard.ZstdCompressor(level=1)
         found = [count.changes(t or "") for t in texts]
-        out = {"id": ids, "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": [total(c) for c in found]}
-        return out | ({"ledger": [pack.compress(c) for c in found]} if ledger else {})
+        return out | {"n_tokens": [total(c) for c in found], "ledger": [pack.compress(c) for c in found]}
 
     return map_rows(df, run, "id long, n_bytes long, n_tokens long" + ", ledger binary" * ledger, id_col, text_col)
 

@@ -65,3 +65,11 @@ def test_edges(edge, none):
     assert len(rows) == edge.count() and rows[0].n_tokens == rows[0].n_bytes == rows[1].n_tokens == 0 and rows[4].n_tokens == rows[5].n_tokens
     assert tokens.prefix_counts(rows[0].ledger).tolist() == [0]
     assert tokens.token_counts(none).count() == 0
+
+
+def test_totals_without_a_ledger(library):
+    count, rng = tokens.TotalCounter(PATH), random.Random(5)
+    letters = [*"ab 'srevl\n\t.,1é中 　\xa0\x1c\x85_½ ", "<|endoftext|>", "don't"]
+    mixed = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    for text in NASTY + mixed + NASTY:
+        assert count.count(text) == len(library.encode(text, add_special_tokens=False)), text
