@@ -8,7 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_tokens": "tokens", "op2_toxicity": "toxicity", "op3_decontam": "decontam", "op4_pii": "pii", "op5_packing": "packing",
     "op6_quality": "quality", "op7_langid": "langid", "op8_jaccard": "jaccard", "op9_sharding": "sharding", "op10_lmscore": "lmscore",
-    "op12_interactions": "interactions",
+    "op11_fingerprints": "fingerprints", "op12_interactions": "interactions", "op13_dialogue": "dialogue",
 }
 
 
