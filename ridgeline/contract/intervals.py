@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.contract.base import DAY, SECONDS, Tables, day, query, rounded, seconds
 from ridgeline.operators import intervals as iv
 
+SECONDS_OF_DAY = f"({DAY} * 86400 + o_orderkey * 7919 % 86400)"
 SPANS = f"SELECT o_orderkey, o_custkey, {DAY} AS st, {DAY} + 30 AS en FROM orders"
 
 
@@ -25,7 +26,29 @@ def interval_join_overlap(t: Tables):
     a = spans(t).select("o_orderkey", (F.col("o_custkey") % 10).alias("k"), "st", "en")
     at = F.lit(8035) + F.col("event_id") % 2400
     b = t.events.select("event_id", (F.col("user_id") % 10).alias("k"), at.alias("bs"), (at + 1 + F.col("user_id") % 5).alias("be"))
-    return iv.overlap_join(a, b, ["k"], 30, ("st", "en"), ("bs", "be")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"))
+    return iv.overlap_join(a, b, ["k"], None, ("st", "en"), ("bs", "be")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"))
+
+
+LENGTHS = "CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 90 ELSE 1 + o_orderkey % 40 END"
+
+
+@query(f"""
+WITH a AS (SELECT o_orderkey, o_custkey % 3 AS k, {DAY} AS st, {DAY} + {LENGTHS} AS en FROM orders),
+b AS (SELECT c_custkey, c_custkey % 3 AS k, CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE 8035 + c_nationkey * 90 END AS bs,
+ CASE WHEN c_custkey % 50 = 0 THEN 20000 ELSE 8035 + c_nationkey * 90 + 1 + c_custkey % 13 END AS be FROM customer)
+SELECT c_custkey, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS first_order, CAST(sum(least(en, be) - greatest(st, bs)) AS BIGINT) AS shared
+FROM b JOIN a ON a.k = b.k AND a.st < b.be AND a.en > b.bs GROUP BY c_custkey
+""")
+def overlap_any_length(t: Tables):
+    """Intervals of one day up to the whole axis, in nested bins: no row is copied by its length."""
+    order, cust = F.col("o_orderkey") % 5, F.col("c_custkey")
+    length = F.when(order == 0, 1).when(order == 1, 7).when(order == 2, 90).otherwise(1 + F.col("o_orderkey") % 40)
+    a = t.orders.select("o_orderkey", (F.col("o_custkey") % 3).alias("k"), day().alias("st"), (day() + length).alias("en"))
+    at, whole = F.lit(8035).cast("long") + F.col("c_nationkey") * 90, cust % 50 == 0
+    b = t.customer.select("c_custkey", (cust % 3).alias("k"), F.when(whole, 0).otherwise(at).alias("bs"), F.when(whole, 20000).otherwise(at + 1 + cust % 13).alias("be"))
+    pairs = iv.overlap_join(a, b, ["k"], None, ("st", "en"), ("bs", "be"))
+    shared = F.sum(F.least("en", "be") - F.greatest("st", "bs"))
+    return pairs.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"), shared.alias("shared"))
 
 
 def _islands(touching: bool) -> str:
@@ -55,6 +78,18 @@ def atomic_segments(t: Tables):
     return iv.atomic_segments(spans(t), ["o_custkey"], "st", "en").withColumnsRenamed({"start": "seg_start", "end": "seg_end"})
 
 
+@query(f"""
+WITH s AS (SELECT o_custkey % 2 AS k, {SECONDS_OF_DAY} AS st FROM orders), b AS (SELECT k, st AS p FROM s UNION SELECT k, st + 1 + st % 5000 FROM s),
+l AS (SELECT k, p AS seg_start, lead(p) OVER (PARTITION BY k ORDER BY p) AS seg_end FROM b)
+SELECT * FROM l WHERE seg_end IS NOT NULL
+""")
+def atomic_segments_of_axes(t: Tables):
+    """Two long axes: the next border is looked for in bins and carried over."""
+    at = day() * 86400 + F.col("o_orderkey") * 7919 % 86400
+    s = t.orders.select((F.col("o_custkey") % 2).alias("k"), at.alias("st"), (at + 1 + at % 5000).alias("en"))
+    return iv.atomic_segments(s, ["k"], "st", "en", width=1 << 16).withColumnsRenamed({"start": "seg_start", "end": "seg_end"})
+
+
 @query("""
 SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, round(abs(a.p_retailprice - b.p_retailprice), 6) AS gap
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type <> b.p_type AND a.p_partkey < b.p_partkey
@@ -218,6 +253,21 @@ def nearest_feature(t: Tables):
     return iv.nearest_before(left, right, ["user_id"], "s", "p").select("event_id", "nearest")
 
 
+@query(f"""
+WITH e AS (SELECT event_id, user_id % 3 AS k, CASE WHEN user_id % 2 = 0 THEN '+' ELSE '-' END AS strand, event_type, {SECONDS} AS s FROM events),
+a AS (SELECT * FROM e WHERE event_type IN ('click', 'view')), b AS (SELECT DISTINCT k, s AS p FROM e WHERE event_type = 'purchase'),
+w AS (SELECT a.event_id, a.strand, a.s, x.p AS before, y.p AS after FROM a ASOF LEFT JOIN b x ON a.k = x.k AND a.s >= x.p ASOF LEFT JOIN b y ON a.k = y.k AND a.s <= y.p),
+n AS (SELECT *, CASE WHEN after IS NULL OR s - before <= after - s THEN before ELSE after END AS nearest FROM w)
+SELECT event_id, before, after, nearest, nearest - s AS distance, CASE WHEN strand = '+' THEN before ELSE after END AS upstream, CASE WHEN strand = '+' THEN after ELSE before END AS downstream FROM n
+""")
+def nearest_both_sides(t: Tables):
+    """Three long axes: the closest purchase on either side, ties included, found without a window over an axis."""
+    e = t.events.select("event_id", (F.col("user_id") % 3).alias("k"), F.when(F.col("user_id") % 2 == 0, "+").otherwise("-").alias("strand"), "event_type", seconds().alias("s"))
+    left = e.filter(F.col("event_type").isin("click", "view")).select("event_id", "k", "strand", "s")
+    right = e.filter("event_type = 'purchase'").select("k", F.col("s").alias("p"))
+    return iv.nearest(left, right, ["k"], "s", "p", "strand").drop("k", "strand", "s")
+
+
 @query(f"""
 WITH s AS ({SPANS}), a AS (SELECT o_orderkey, o_custkey, st, en, lag(en) OVER (PARTITION BY o_custkey ORDER BY st, en, o_orderkey) AS pe, lag(st) OVER (PARTITION BY o_custkey ORDER BY st, en, o_orderkey) AS ps FROM s)
 SELECT o_orderkey, CASE WHEN pe = st THEN ps END AS joined_start, CASE WHEN pe = st THEN en END AS joined_end FROM a

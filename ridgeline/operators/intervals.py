@@ -44,17 +44,60 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(first, F.greatest(first, F.floor((end - 1) / F.lit(width)).cast("long")))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int | None, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
     """Pairs with equal ``on`` whose intervals overlap strictly. a, b: (start, end) columns, named apart.
 
-    width: about a median interval; short bins copy long intervals, wide ones compare more pairs."""
+    width: about a median interval; short bins copy long intervals, wide ones compare more pairs. None: nested
+    bins, for lengths that differ by orders of magnitude."""
+    hit = overlaps(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))
+    if width is None:
+        one, two = _nested(left, right, a, b)
+        cell = lambda x: F.expr(f"shiftright(cast({x} AS bigint), _level)")
+        pairs = one.join(two, [*on, "_level", "_side", "_bin"])
+        return pairs.filter(hit & (F.col("_bin") == F.greatest(cell(f"`{a[0]}`"), cell(f"`{b[0]}`")))).drop("_level", "_side", "_bin")
     cut = lambda x: F.floor(F.col(x) / F.lit(width)).cast("long")
     one = left.withColumn("_bin", F.explode(_bins(F.col(a[0]), F.col(a[1]), width)))
     two = right.withColumn("_bin", F.explode(_bins(F.col(b[0]), F.col(b[1]), width)))
-    hit = overlaps(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))
     return one.join(two, [*on, "_bin"]).filter(hit & (F.col("_bin") == F.greatest(cut(a[0]), cut(b[0])))).drop("_bin")
 
 
+#: Each level's bins are 2 ** LEVEL_BITS times as wide as those of the one below.
+LEVEL_BITS = 2
+
+
+def _level(start: str, end: str) -> Column:
+    """Bits of the width of the narrowest bins that are no shorter than the interval."""
+    length = F.greatest(F.col(end) - F.col(start), F.lit(1))
+    return (F.ceil(F.log2(length) / LEVEL_BITS) * LEVEL_BITS).cast("int")
+
+
+def _nested(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides by ``_level``, ``_side`` and ``_bin``: a pair meets in the bins of its longer interval's level.
+
+    At its own level an interval touches two bins at most, and the shorter one touches two at most there, so a row becomes
+    at most two rows for each level that the other side has (there are at most 32, asked for in one pass over each side)."""
+    levels = lambda df, x: sorted(r[0] for r in df.select(_level(*x).alias("l")).filter("l IS NOT NULL").distinct().collect())
+    of_left, of_right = levels(left, a), levels(right, b)
+
+    def cells(bits: int | str, side: int) -> Column:
+        """The bins of that level (a number or a column's name) that the interval touches."""
+        first, last = (F.expr(f"shiftright({c}, {bits})") for c in ("_first", "_last"))
+        level = F.lit(bits) if isinstance(bits, int) else F.col(bits)
+        return F.transform(F.sequence(first, last), lambda n: F.struct(level.alias("level"), F.lit(side).alias("side"), n.alias("bin")))
+
+    def laid(df: DataFrame, x: tuple[str, str], others: list[int], mine: int, strict: bool) -> DataFrame:
+        """Side ``mine``: the pairs in which these rows are the longer ones. They lie at their own level, the other's rows probe there."""
+        df = df.withColumns({"_own": _level(*x), "_first": F.col(x[0]).cast("long"), "_last": F.greatest(F.col(x[0]), F.col(x[1]) - 1).cast("long")})
+        none = F.array().cast("array<struct<level:int,side:int,bin:bigint>>")
+        probes = [F.when(F.col("_own") < k if strict else F.col("_own") <= k, cells(k, 1 - mine)).otherwise(none) for k in others]
+        shortest = F.lit(min(others, default=99))
+        lying = F.when(shortest <= F.col("_own") if strict else shortest < F.col("_own"), cells("_own", mine)).otherwise(none)
+        every = F.explode(F.flatten(F.array(lying, *probes)))
+        return df.withColumn("_x", every).withColumns({f"_{c}": F.col(f"_x.{c}") for c in ("level", "side", "bin")}).drop("_x", "_own", "_first", "_last")
+
+    return laid(left, a, of_right, 0, False), laid(right, b, of_left, 1, True)
+
+
 def band_join(left: DataFrame, right: DataFrame, on: list[str], distance: int | float, a: str, b: str) -> DataFrame:
     """Pairs with equal ``on`` whose positions a and b are at most ``distance`` apart; positions may be fractions."""
     width = max(1, distance)
@@ -93,17 +136,72 @@ def merged(df: DataFrame, on: list[str], start: str, end: str, touching: bool =
     return rows
 
 
-def atomic_segments(df: DataFrame, on: list[str], start: str, end: str) -> DataFrame:
-    """on, start, end: consecutive borders of the intervals, gaps included."""
+#: Bins whose summaries are carried together, as a power of two, and how many times: the last window sees bins of bins of bins.
+FAN_BITS, CARRIES = 10, 3
+
+
+def _carried(bins: DataFrame, on: list[str], times: int = CARRIES) -> DataFrame:
+    """bins (on, _bin, _lo, _hi) with ``_prev``: the last _hi of the bins before, and ``_next``: the first _lo of those after.
+
+    A scan in levels: bins are scanned within groups of 2 ** FAN_BITS, and what comes from outside a group is found
+    by the same scan over the groups. So a window holds 2 ** FAN_BITS rows, on the last level one for
+    2 ** (FAN_BITS * CARRIES) bins."""
+    keys = [*on, "_group"] if times else on
+    rows = bins.withColumn("_group", F.shiftright("_bin", FAN_BITS)) if times else bins
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    rows = rows.withColumn("_prev", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_next", F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    if not times:
+        return rows
+    groups = rows.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).withColumnRenamed("_group", "_bin")
+    outside = _carried(groups, on, times - 1).select(*on, F.col("_bin").alias("_group"), F.col("_prev").alias("_far_prev"), F.col("_next").alias("_far_next"))
+    rows = rows.join(outside, keys).withColumn("_prev", F.coalesce("_prev", "_far_prev")).withColumn("_next", F.coalesce("_next", "_far_next"))
+    return rows.drop("_group", "_far_prev", "_far_next")
+
+
+def atomic_segments(df: DataFrame, on: list[str], start: str, end: str, width: int | None = None) -> DataFrame:
+    """on, start, end: consecutive borders of the intervals, gaps included.
+
+    width: look for the next border within bins, and carry it over from bin to bin; for few and long ``on`` (chromosomes)."""
     borders = df.select(*on, F.col(start).alias("start")).unionByName(df.select(*on, F.col(end).alias("start"))).distinct()
-    return borders.withColumn("end", F.lead("start").over(Window.partitionBy(*on).orderBy("start"))).filter(F.col("end").isNotNull())
+    if width is None:
+        return borders.withColumn("end", F.lead("start").over(Window.partitionBy(*on).orderBy("start"))).filter(F.col("end").isNotNull())
+    borders = borders.withColumn("_bin", F.floor(F.col("start") / F.lit(width)).cast("long"))
+    bins = _carried(borders.groupBy(*on, "_bin").agg(F.min("start").alias("_lo"), F.max("start").alias("_hi")), on)
+    rows = borders.withColumn("end", F.lead("start").over(Window.partitionBy(*on, "_bin").orderBy("start"))).join(bins, [*on, "_bin"])
+    return rows.select(*on, "start", F.coalesce("end", "_next").alias("end")).filter(F.col("end").isNotNull())
+
+
+def nearest(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, strand: str | None = None, width: int = 1 << 14) -> DataFrame:
+    """left with ``before`` and ``after``: the last right position at or before its own, and the first at or after it;
+    ``nearest``: the closer one (at equal distances, before), and ``distance``: nearest less its own position.
+    With ``strand`` (a column of left) also ``upstream`` and ``downstream``: on + before and after, otherwise the other way.
+
+    No rows are paired. Positions are distinct integers by then, so a bin has at most ``width`` of each side, and what lies
+    beyond a bin is carried from bin to bin (see ``_carried``). Rows without a position or key have nulls."""
+    names = {c: f"_on{i}" for i, c in enumerate(on)}
+    keys = list(names.values())
+    at = lambda df, c, mine: df.select(*[F.col(k).alias(v) for k, v in names.items()], F.col(c).alias("_at"), F.lit(mine).alias("_mine")).distinct()
+    both = at(left, a, 1).unionByName(at(right, b, 0)).dropna().withColumn("_bin", F.floor(F.col("_at") / F.lit(width)).cast("long"))
+    theirs = F.when(F.col("_mine") == 0, F.col("_at"))
+    bins = _carried(both.groupBy(*keys, "_bin").agg(F.min(theirs).alias("_lo"), F.max(theirs).alias("_hi")), keys)
+    inside = Window.partitionBy(*keys, "_bin").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_before", F.last(theirs, ignorenulls=True).over(inside.orderBy("_at", "_mine")))
+    found = found.withColumn("_after", F.last(theirs, ignorenulls=True).over(inside.orderBy(F.col("_at").desc(), "_mine"))).filter("_mine = 1")
+    found = found.join(bins, [*keys, "_bin"]).select(*keys, "_at", F.coalesce("_before", "_prev").alias("before"), F.coalesce("_after", "_next").alias("after"))
+    rows = left.join(found, [*[F.col(k) == F.col(v) for k, v in names.items()], F.col(a) == F.col("_at")], "left").drop(*keys, "_at")
+    back, ahead = F.col(a) - F.col("before"), F.col("after") - F.col(a)
+    rows = rows.withColumn("nearest", F.when(F.col("after").isNull() | (back <= ahead), F.col("before")).otherwise(F.col("after")))
+    rows = rows.withColumn("distance", F.col("nearest") - F.col(a))
+    if strand:
+        plus = F.col(strand) == "+"
+        rows = rows.withColumns({"upstream": F.when(plus, F.col("before")).otherwise(F.col("after")), "downstream": F.when(plus, F.col("after")).otherwise(F.col("before"))})
+    return rows
 
 
 def nearest_before(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str) -> DataFrame:
-    """left with ``nearest``: the last right position at or before its own, found without pairing rows."""
-    rows = left.withColumn("_at", F.col(a)).withColumn("_left", F.lit(1)).unionByName(right.select(*on, F.col(b).alias("_at"), F.lit(0).alias("_left")), allowMissingColumns=True)
-    last = F.last(F.when(F.col("_left") == 0, F.col("_at")), ignorenulls=True).over(Window.partitionBy(*on).orderBy("_at", "_left").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("nearest", last).filter(F.col("_left") == 1).drop("_at", "_left")
+    """left with ``nearest``: the last right position at or before its own."""
+    return nearest(left, right, on, a, b).drop("nearest", "distance", "after").withColumnRenamed("before", "nearest")
 
 
 def tss_windows(exons: DataFrame, gene: list[str], transcript: str, start: str, end: str, strand: str, span: int) -> DataFrame:

@@ -89,3 +89,62 @@ def test_nearest_before(spark):
     left = spark.createDataFrame([("x", 5), ("x", 1), ("y", 9)], "k string, a long")
     right = spark.createDataFrame([("x", 2), ("x", 5), ("x", 7)], "k string, b long")
     assert sorted((r.k, r.a, r.nearest) for r in iv.nearest_before(left, right, ["k"], "a", "b").collect()) == [("x", 1, None), ("x", 5, 5), ("y", 9, None)]
+
+
+def test_nested_bins_equal_plain_join(spark):
+    """Lengths from zero to the whole axis, also below zero; nothing twice."""
+    rng = random.Random(9)
+
+    def make(n, most):
+        rows = []
+        for i in range(n):
+            s = rng.randrange(-2000, 100_000)
+            rows.append((i, rng.choice("ab"), s, s + rng.choice([0, 1, 2, 3, 17, 300, 5000, most])))
+        return rows
+
+    for most in (4, 200_000):
+        left, right = frame(spark, make(150, most), "i long, k string, as long, ae long"), frame(spark, make(150, 64), "j long, k string, bs long, be long")
+        plain = left.join(right, "k").filter((F.col("as") < F.col("be")) & (F.col("ae") > F.col("bs")))
+        got = iv.overlap_join(left, right, ["k"], None, ("as", "ae"), ("bs", "be"))
+        assert sorted(map(tuple, got.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    none = iv.overlap_join(left, right.limit(0), ["k"], None, ("as", "ae"), ("bs", "be"))
+    assert none.count() == 0
+
+
+def test_nested_bins_copy_rows_by_levels_only(spark):
+    long = frame(spark, [("x", 0, 1 << 30), ("x", 5, 6)] * 20, "k string, as long, ae long")
+    short = frame(spark, [("x", i, i + 1 + i % 3) for i in range(0, 3000, 7)], "k string, bs long, be long")
+    one, two = iv._nested(long, short, ("as", "ae"), ("bs", "be"))
+    assert one.count() <= 40 * 2 * 3 and two.count() <= short.count() * 2 * 4
+
+
+def test_nearest_equals_search(spark):
+    """Both sides over many bins, with ties, equal positions, keys without any, and rows without a key or position."""
+    rng = random.Random(2)
+    spots = [rng.randrange(-500, 500) if rng.random() < 0.5 else rng.randrange(3_000_000) for _ in range(80)]
+    left = [(i, rng.choice("abc"), rng.choice(spots) + rng.randrange(-2, 3), rng.choice("+-")) for i in range(200)] + [(900, None, 5, "+"), (901, "a", None, "-"), (902, "a", spots[0], None)]
+    right = [(rng.choice("ab"), x) for x in spots] + [("a", spots[0])] * 3 + [(None, 5), ("a", None)]
+    for width in (16, 1 << 14):
+        got = iv.nearest(frame(spark, left, "i long, k string, a long, strand string"), frame(spark, right, "k string, b long"), ["k"], "a", "b", "strand", width).collect()
+        assert len(got) == len(left)
+        for r in got:
+            known = [b for k, b in right if k == r.k and k is not None and b is not None and r.a is not None]
+            before, after = max((b for b in known if b <= r.a), default=None), min((b for b in known if b >= r.a), default=None)
+            near = before if after is None or (before is not None and r.a - before <= after - r.a) else after
+            assert (r.before, r.after, r.nearest, r.distance) == (before, after, near, None if near is None else near - r.a)
+            assert (r.upstream, r.downstream) == ((before, after) if r.strand == "+" else (after, before))
+
+
+def test_nearest_has_no_window_over_a_key(spark):
+    left, right = frame(spark, [("x", 5)], "k string, a long"), frame(spark, [("x", 2)], "k string, b long")
+    plan = iv.nearest(left, right, ["k"], "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert len(windows) >= 5 and sum("_bin" not in line.split("], [")[1] and "_group" not in line.split("], [")[1] for line in windows) <= 2  # the last level's: one row for 2 ** 30 bins
+
+
+def test_atomic_segments_in_bins_are_the_same(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), s := rng.randrange(-90_000, 90_000), s + rng.randrange(1, 400)) for _ in range(150)]
+    want = sorted(map(tuple, iv.atomic_segments(frame(spark, rows), ["k"], "s", "e").collect()))
+    for width in (8, 1000):
+        assert sorted(map(tuple, iv.atomic_segments(frame(spark, rows), ["k"], "s", "e", width).collect())) == want
