@@ -10,6 +10,8 @@ from pyarrow import fs as pafs
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path within it."""
+    if uri.startswith("file:"):  # Hadoop writes it with one slash, too
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if "://" in uri:
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), uri
