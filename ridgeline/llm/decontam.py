@@ -7,6 +7,8 @@ in edit distance (over lower-case UTF-8 bytes). The steps, all in one pass over
    L + 1 - q - k q of its q-grams, at offsets that differ by k at most. Only places where
    some item has that many grams on about one diagonal are looked at further, and of these
    only where that many lie on k + 1 neighbouring diagonals: the stretch starts within k of them.
+   Grams that an item repeats over REPEATS times aren't counted on diagonals (the rest of its grams must then keep
+   all k q); an item with too few others is looked for where enough positions have any of its grams.
    Items so short that the rule grants no gram (some under 32 bytes) are cut into k + 1 parts instead,
    of which an edited stretch keeps one whole: wherever a part occurs, the item is verified.
 2. Embedding: there, a window of the item's size starts at every byte, whatever the script. The
@@ -14,9 +16,9 @@ in edit distance (over lower-case UTF-8 bytes). The steps, all in one pass over
    Items over LONGEST_WALK bytes are walked in several parts, since a walk over very many edits loses its way.
 3. LSH: each of TABLES tables samples BITS places of one of WALKS walks; a window and an
    item that agree on one table's sample, in one part, are candidates.
-4. Verification: exact bit-parallel edit distance of the item against the stretch around the
-   window. Windows that no table named and no verified stretch holds are verified last, so
-   that LSH decides the order, not what is found.
+4. Verification: exact bit-parallel edit distance of the item against each stretch of overlapping windows, in
+   one go. Stretches without a window that some table named are verified last, so that LSH decides the
+   order, not what is found.
 
 Edge cases: null and empty texts hit nothing; null and empty items are skipped; an item under 10 bytes must
 occur as it is, however common it be; a very long text is worked on whole, as one string of bytes;
@@ -29,6 +31,7 @@ its size is checked against ITEM_BYTES, and larger ones are done in rounds of th
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +51,12 @@ ITEM_BYTES = 16 << 20
 ROOM = 32
 _GRAM_SPACE = 22
 _CHUNK = 1 << 16
+#: Places of one gram in an item up to which they are kept apart; a gram of more isn't counted on diagonals.
+REPEATS = 16
+#: Windows of one run that are embedded, at most.
+WALKED = 1024
+#: Places of grams that are looked at together.
+PLACES = 1 << 21
 _SEED = 20240229
 
 
@@ -106,9 +115,22 @@ class Benchmark:
         self.most = np.floor(self.size * edits).astype(np.int64)
         self.need = self.size + 1 - q - self.most * q
         self.width = max(64, int(self.most.max(initial=0)) + 1)  # of a band of diagonals
-        owner = [np.full(len(r) - q + 1, i) for i, r in enumerate(self.raw)]
-        offset = [np.arange(len(r) - q + 1) for r in self.raw]
         code = [self.gram(np.frombuffer(r, np.uint8)) for r in self.raw]
+        owner, offset = [], []
+        #: items whose grams repeat so much that too few are left for the gate: (item, its distinct grams in order)
+        self.dense: list[tuple[int, np.ndarray]] = []
+        for i, grams_of in enumerate(code):
+            distinct, which, times = np.unique(grams_of, return_inverse=True, return_counts=True)
+            rare = np.flatnonzero(times[which] <= REPEATS)
+            left = len(rare) - int(self.most[i]) * q  # of the rare ones alone, so many must be left by all edits
+            if left < 1:
+                self.dense.append((i, distinct))
+                rare = rare[:0]
+            self.need[i] -= len(grams_of) - len(rare) if left >= 1 else 0
+            code[i] = grams_of[rare]
+            owner.append(np.full(len(rare), i))
+            offset.append(rare)
+        self.repeated = np.unique(np.concatenate([np.zeros(0, np.int64), *[d for _, d in self.dense]]))
         #: gram -> its stretch of owners and offsets; grams of one hash share theirs, which only adds hits
         keys, at = np.unique(np.concatenate(code or [np.zeros(0, np.int64)]), return_inverse=True)
         order = np.argsort(at, kind="stable")
@@ -131,7 +153,10 @@ class Benchmark:
         return ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _GRAM_SPACE)).astype(np.int64)
 
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(items, first positions of the windows to embed): every byte where a stretch that passes the gate may start."""
+        """(items, first positions of the windows to embed): every byte where a stretch that passes the gate may start.
+
+        The text is looked at in stretches with about PLACES places of grams, each with what the longest window may
+        reach into behind it, so that memory doesn't grow with how often grams repeat in the text and the items."""
         at, rows = [], []
         for lo in range(0, len(x), _CHUNK):
             row = self.row[self.gram(x[lo : lo + _CHUNK + self.q - 1])]
@@ -139,12 +164,35 @@ class Benchmark:
             at.append(hit + lo)
             rows.append(row[hit])
         at, rows = np.concatenate(at), np.concatenate(rows)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        upto = np.cumsum(self.begin[rows + 1] - self.begin[rows])
+        reach, found, low, begin = int((self.size + 2 * self.most).max()) + self.q, [], -(1 << 60), 0
+        while begin < len(at):
+            end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PLACES, "right"))
+            end = max(end, int(np.searchsorted(at, at[begin] + reach)), begin + 1)
+            high = int(at[end]) - reach if end < len(at) and at[end] - reach > max(low, at[begin]) else None
+            if end < len(at) and high is None:  # stretches advance by a reach at least
+                end = int(np.searchsorted(at, at[begin] + 2 * reach))
+                high = int(at[begin]) + reach if end < len(at) else None
+            item, window = self._gate(at[begin:end], rows[begin:end], len(x))
+            inside = window >= low if high is None else (window >= low) & (window < high)
+            found.append((item[inside], window[inside]))
+            if high is None:
+                break
+            low, begin = high, int(np.searchsorted(at, high - int(self.most.max())))
+        item, window = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.lexsort((window, item))
+        return item[order], window[order]
+
+    def _gate(self, at: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that these grams (positions and rows) let through."""
         first, many = self.begin[rows], self.begin[rows + 1] - self.begin[rows]
         each = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
         item = self.owner[each]
         most = int(self.size.max())
         diagonal = np.repeat(at, many) - self.offset[each] + most
-        bands = len(x) // self.width + most // self.width + 3
+        bands = length // self.width + most // self.width + 3
         all_keys = item * bands + diagonal // self.width
         key = np.sort(all_keys)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
@@ -155,7 +203,7 @@ class Benchmark:
         keep = both >= self.need[key // bands]
         # of these bands, the diagonals that begin k + 1 neighbouring ones with enough grams
         passed = np.isin(all_keys, np.concatenate([key[keep], key[keep] + 1]))
-        wide = len(x) + 4 * most
+        wide = length + 4 * most
         found = np.sort(item[passed] * wide + diagonal[passed])
         enough = np.searchsorted(found, found + self.most[found // wide], "right") - np.arange(len(found)) >= self.need[found // wide]
         found = np.unique(found[enough])
@@ -167,6 +215,25 @@ class Benchmark:
         many = hi - lo
         return np.repeat(item, many), np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
 
+    def _dense_ranges(self, x: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end): where x may hold a repetitive item. Of its gram positions, too many survive k edits for a window
+        that has fewer positions with any of its grams; these are counted without regard to diagonals."""
+        hits = [lo + np.flatnonzero(np.isin(self.gram(x[lo : lo + _CHUNK + self.q - 1]), self.repeated)) for lo in range(0, len(x), _CHUNK)]
+        at = np.concatenate([np.zeros(0, np.int64), *hits])
+        out = []
+        for i, grams in self.dense if len(at) else ():
+            reach, need = int(self.size[i] + self.most[i]), int(self.need[i])
+            begins = np.flatnonzero(np.searchsorted(at, at + reach) - np.arange(len(at)) >= need)
+            if not len(begins):
+                continue
+            words = np.ndarray((len(x) - self.q + 1,), "<u8", np.ascontiguousarray(x), strides=(1,))[at]
+            mine = at[np.isin(((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _GRAM_SPACE)).astype(np.int64), grams)]
+            begins = mine[np.searchsorted(mine, mine + reach) - np.arange(len(mine)) >= need]
+            if len(begins):
+                new = np.flatnonzero(np.concatenate([[True], begins[1:] - begins[:-1] > 2 * reach]))
+                out += [(i, int(a) - reach, int(b) + reach) for a, b in zip(begins[new], begins[np.append(new[1:], len(begins)) - 1], strict=True)]
+        return out
+
     def find(self, raws: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the best stretch of each contaminated pair; places in bytes."""
         out = self._find_short(raws) if self.short else {}
@@ -198,36 +265,49 @@ class Benchmark:
         size = np.array([len(r) for r in raws], np.int64)
         start = np.cumsum(size + len(gap)) - (size + len(gap))
         items, windows = self.places(x)
-        if not len(items):
-            return {}
         doc = np.maximum(np.searchsorted(start, windows, "right") - 1, 0)
         within = (windows >= start[doc]) & (windows < start[doc] + size[doc])
-        pairs = np.stack([items[within], windows[within]], 1)
+        ranges = self._ranges(x, np.stack([items[within], windows[within]], 1), doc[within]) if within.any() else []
+        for i, a, b in self._dense_ranges(x) if self.dense else ():
+            ranges += [(True, d, i, a, b) for d in range(max(0, int(np.searchsorted(start, a, "right")) - 1), int(np.searchsorted(start, b)))]
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        looked: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        agreed = np.zeros(len(pairs), bool)
-        for step in self.steps:
-            step.agree(x, pairs, agreed)
-        # the tables' candidates first; then the windows that they missed and no verified stretch holds
-        for item, p in [*pairs[agreed].tolist(), *pairs[~agreed].tolist()]:
-            doc = int(np.searchsorted(start, p, "right") - 1)
-            size_i, k = int(self.size[item]), int(self.most[item])
-            known = out.get((doc, item))
-            full = min(int(start[doc] + size[doc]), p + size_i + k)
-            if (known and known[0] == 0) or any(lo <= p and full <= hi for lo, hi in looked[doc, item]):
+        for _, d, i, a, b in sorted(ranges):
+            known = out.get((d, i))
+            if known and known[0] == 0:
                 continue
-            lo, hi = max(int(start[doc]), p - k - ROOM), min(int(start[doc] + size[doc]), p + size_i + k + ROOM)
-            looked[doc, item].append((lo, hi))
-            text = x[lo:hi].tobytes()
-            exact = text.find(self.raw[item])
-            d, end = (0, exact + size_i) if exact >= 0 else edit_search(self.raw[item], text)
-            if d <= k:
-                begin = end - (edit_search(self.raw[item][::-1], text[:end][::-1])[1] if d else size_i)
-                found = (d, lo - int(start[doc]) + begin, lo - int(start[doc]) + end)
-                if known is None or found < known:
-                    out[doc, item] = found
+            lo, hi = max(int(start[d]), a), min(int(start[d] + size[d]), b)
+            found = self._verified(i, x[lo:hi].tobytes())
+            if found and (known is None or (found[0], lo - int(start[d]) + found[1]) < known[:2]):
+                out[d, i] = (found[0], lo - int(start[d]) + found[1], lo - int(start[d]) + found[2])
         return out
 
+    def _ranges(self, x: np.ndarray, pairs: np.ndarray, doc: np.ndarray) -> list[tuple[bool, int, int, int, int]]:
+        """(missed by the tables, doc, item, start, end): windows of an item that overlap, with some room, as one stretch to verify."""
+        item = pairs[:, 0]
+        lo, hi = pairs[:, 1] - self.most[item] - ROOM, pairs[:, 1] + self.size[item] + self.most[item] + ROOM
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])]))
+        last = np.append(new[1:], len(pairs)) - 1
+        # of a long run of windows (repetitive text) the tables see some, evenly spread: they only order what is verified
+        many = last - new + 1
+        seen = np.flatnonzero((np.arange(len(pairs)) - np.repeat(new, many)) % np.repeat(-(-many // WALKED), many) == 0)
+        some, agreed = np.zeros(len(seen), bool), np.zeros(len(pairs), bool)
+        for step in self.steps:
+            step.agree(x, pairs[seen], some)
+        agreed[seen] = some
+        missed = ~np.logical_or.reduceat(agreed, new)
+        return list(zip(missed.tolist(), doc[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[last].tolist(), strict=True))
+
+    def _verified(self, item: int, text: bytes) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the best stretch of text, if it is near enough."""
+        raw, k = self.raw[item], int(self.most[item])
+        if (exact := text.find(raw)) >= 0:
+            return 0, exact, exact + len(raw)
+        d, end = edit_search(raw, text)
+        if d > k:
+            return None
+        back = text[max(0, end - len(raw) - k) : end][::-1]
+        return d, end - edit_search(raw[::-1], back)[1], end
+
 
 class Step:
     """Parts of items of about one size: their walks and their LSH tables."""
@@ -279,17 +359,18 @@ class Step:
                 agreed[which[keys == known[of]]] = True
 
 
-def in_rounds(items: DataFrame, most: int = ITEM_BYTES) -> list[list[tuple[int, str]]]:
-    """The items (item_id, text), in lists of at most ``most`` bytes."""
-    rounds, held = [], 0
+def in_rounds(items: DataFrame, most: int = ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, text), in lists of at most ``most`` bytes; one list is held at a time."""
+    chosen, held = [], 0
     for row in items.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
         size = len(row["text"].encode("utf-8", "surrogatepass"))
-        if not rounds or held + size > most:
-            rounds.append([])
-            held = 0
-        rounds[-1].append((row["item_id"], row["text"]))
+        if chosen and held + size > most:
+            yield chosen
+            chosen, held = [], 0
+        chosen.append((row["item_id"], row["text"]))
         held += size
-    return rounds
+    if chosen:
+        yield chosen
 
 
 def without_leaks(df: DataFrame, items: DataFrame, edits: float = EDITS, text_col: str = "text", most: int = ITEM_BYTES) -> DataFrame:

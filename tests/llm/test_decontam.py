@@ -135,3 +135,46 @@ def test_tables_name_most_near_copies():
                 step.agree(x, pairs, agreed)
             named += agreed.any()
         assert named >= 0.9 * len(items), (size, named)
+
+
+REPETITIVE = ["a" * 300, "=" * 120, "ab" * 90, "the same phrase again and " * 12, "| --- " * 40, "x" * 60 + " an ending that is not repetitive at all, of some length " + "y" * 60]
+
+
+@pytest.mark.parametrize("places", [1 << 21, 300])
+def test_repetitive_items_equal_brute_force(monkeypatch, places):
+    """Against the plain distance to every text: what is near is found, and nothing else; also in many short stretches."""
+    monkeypatch.setattr(decontam, "PLACES", places)
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (90, 200)]
+    items = REPETITIVE + plain
+    bench = decontam.Benchmark(list(enumerate(items)))
+    texts = []
+    for t in items:
+        texts += [t * 2, t[: len(t) // 2], "before " + edited(t, 0.05, rng) + " behind", edited(t, 0.09, rng), edited(t, 0.13, rng), "z" * 200 + t + "z" * 500 + edited(t, 0.08, rng)]
+    texts += ["a" * 2000, "=" * 50 + " title " + "=" * 200, "aaaaaaaab" * 200, "=" * 105, "=" * 108, "-" * 500]
+    raws = [decontam.normal(t) for t in texts]
+    found = {(d, i): dist for d, i, dist, *_ in bench.find(raws)}
+    want = {}
+    for d, text in enumerate(raws):
+        for i, t in enumerate(items):
+            least = decontam.edit_search(decontam.normal(t), text)[0]
+            if least <= int(len(t) * decontam.EDITS):
+                want[d, i] = least
+    assert {k[0]: k for k in want} and found == want
+    for d, i, dist, lo, hi in bench.find(raws):
+        assert distance(decontam.normal(items[i]), raws[d][lo:hi]) == dist
+
+
+def test_memory_is_bounded_on_repetitive_texts():
+    """Rule lines, one letter, repeated phrases: in proportion to the text, some 100 bytes a byte."""
+    import tracemalloc
+
+    bench = decontam.Benchmark(list(enumerate(REPETITIVE)))
+    for unit in ("a", "=", "the same phrase again and ", "| --- ", "aaaaaaaaaaaaaaaaaaaaaaaaaab"):
+        peaks = []
+        for size in (1 << 16, 1 << 18):
+            tracemalloc.start()
+            bench.find([(unit * (size // len(unit))).encode()])
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < 100 << 20 and peaks[1] < 5 * peaks[0] + (32 << 20)
