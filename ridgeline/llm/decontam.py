@@ -56,7 +56,7 @@ REPEATS = 16
 #: Windows of one run that are embedded, at most.
 WALKED = 1024
 #: Places of grams that are looked at together.
-PLACES = 1 << 21
+PLACES = 1 << 19
 _SEED = 20240229
 
 
