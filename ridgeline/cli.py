@@ -86,13 +86,13 @@ def centres(peaks):
 
 def run_train(spark, a) -> None:
     from ridgeline.plans import classify, peaks
-    from ridgeline.sources.bigwig import feature_vectors
+    from ridgeline.sources.bigwig import window_vectors
 
     sizes = spark.read.csv(a.genome, sep="\t", schema="chrom string, size long")
     positive = centres(text.peaks(spark, a.cage, sizes.select("chrom")))
     negative = peaks.random_sites(spark, sizes, a.sample_size * 4)
     rows = peaks.balanced(peaks.labelled(positive, negative), a.sample_size)
-    vectors = feature_vectors(spark.read.format("bigwig").load(a.atac), rows).withColumnRenamed("features", "embedding")
+    vectors = window_vectors(rows, a.atac).withColumnRenamed("features", "embedding")
     model, accuracy = classify.train_test(vectors, a.classifier, a.test_size)
     model.write().overwrite().save(a.output)
     print(f"accuracy on held-out rows: {accuracy:.4f}")
@@ -103,14 +103,14 @@ def run_filter(spark, a) -> None:
 
     from ridgeline.plans.classify import features
     from ridgeline.plans.similarity import similarities, start_histograms
-    from ridgeline.sources.bigwig import feature_vectors
+    from ridgeline.sources.bigwig import window_vectors
 
     if not (a.classifier and a.bigwig) and not a.bams:
         raise SystemExit("give a classifier and its signal, or alignments")
     sites = text.sites(spark, a.infile)
     if a.classifier:
         model = DefaultParamsReader.loadParamsInstance(a.classifier, spark.sparkContext)
-        vectors = feature_vectors(spark.read.format("bigwig").load(a.bigwig), sites.select("chrom", F.col("end").alias("at")).distinct()).withColumnRenamed("features", "embedding")
+        vectors = window_vectors(sites.select("chrom", F.col("end").alias("at")).distinct(), a.bigwig).withColumnRenamed("features", "embedding")
         said = model.transform(features(vectors.withColumn("label", F.lit(0)))).select("chrom", F.col("at").alias("end"), F.when(F.col("prediction") == 1, "true").otherwise("false").alias("predict"))
         sites = sites.join(said, ["chrom", "end"], "left")
     else:

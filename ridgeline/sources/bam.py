@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ridgeline.sources import bai, bgzf, files
+from ridgeline.sources.regions import Wanted, batches, hits
 
 SCHEMA = "file string, name string, flag int, chrom string, start long, end long, mapq int, cigar string, mate_chrom string, mate_start long, tlen long, nh int, cb string, ub string"
 _SEQ = "MIDNSHP=X"
@@ -30,8 +30,6 @@ _BASES = "=ACMGRSVTWYHKDBN"
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _CODES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 SPLIT_BYTES = 64 << 20
-BATCH = 8192
-EVERYWHERE = 1 << 40
 
 
 def header(uri: str) -> tuple[list[tuple[str, int]], int, int]:
@@ -249,61 +247,6 @@ def index_of(uri: str) -> bai.Index | None:
     return None
 
 
-class Wanted:
-    """Which stretches of each reference are asked for; None: of all of them, everything."""
-
-    def __init__(self, regions: str | None = None):
-        self.by: dict[str, list[tuple[int, int]]] | None = None
-        for one in (regions or "").split(","):
-            if one:
-                chrom, _, place = one.strip().rpartition(":") if ":" in one else (one.strip(), "", "")
-                lo, hi = (int(x.replace("_", "")) for x in place.split("-")) if place else (0, EVERYWHERE)
-                self.by = self.by or {}
-                self.by.setdefault(chrom, []).append((lo, hi))
-        self.lo, self.hi = 0, EVERYWHERE
-
-    def only(self, chroms) -> None:
-        known = {c: [(0, EVERYWHERE)] for c in chroms}
-        self.by = known if self.by is None else {c: self.by[c] for c in known if c in self.by}
-
-    def within(self, refs: list[tuple[str, int]]) -> dict[int, list[tuple[int, int]]] | None:
-        """reference -> disjoint stretches in order, half-open."""
-        if self.by is None and (self.lo, self.hi) == (0, EVERYWHERE):
-            return None
-        out = {}
-        for i, (name, _) in enumerate(refs):
-            cut = sorted((max(a, self.lo), min(b, self.hi)) for a, b in ([(0, EVERYWHERE)] if self.by is None else self.by.get(name, ())))
-            merged: list[tuple[int, int]] = []
-            for a, b in cut:
-                if a < b and merged and a <= merged[-1][1]:
-                    merged[-1] = merged[-1][0], max(b, merged[-1][1])
-                elif a < b:
-                    merged.append((a, b))
-            if merged:
-                out[i] = merged
-        return out
-
-    def push(self, f) -> None:
-        """Takes in a filter on chrom, start or end; Spark goes on checking it."""
-        kind, on = type(f).__name__, f.attribute if hasattr(f, "attribute") else None
-        if on == ("chrom",) and kind in ("EqualTo", "EqualNullSafe") and f.value is not None:
-            self.only({f.value})
-        elif on == ("chrom",) and kind == "In":
-            self.only({v for v in f.value if v is not None})
-        elif on in (("start",), ("end",)) and kind in ("GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "EqualTo") and f.value is not None:
-            v = int(f.value)
-            if kind in ("GreaterThan", "GreaterThanOrEqual", "EqualTo"):  # a record ends at or behind its start
-                self.lo = max(self.lo, v - 1 if kind != "GreaterThan" else v)
-            if kind in ("LessThan", "LessThanOrEqual", "EqualTo"):
-                self.hi = min(self.hi, v + (kind != "LessThan") + (on == ("end",)))
-
-
-def _hits(stretches: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Does [start, end), or the point start, touch one of the disjoint stretches in order?"""
-    i = bisect_left(stretches, (start + 1,)) - 1
-    return any(0 <= j < len(stretches) and start < stretches[j][1] and max(end, start + 1) > stretches[j][0] for j in (i, i + 1))
-
-
 @dataclass
 class Part(InputPartition):
     """Blocks from ``start`` up to ``end``, or with ``chunks`` those stretches of virtual offsets."""
@@ -314,17 +257,6 @@ class Part(InputPartition):
     chunks: list[tuple[int, int]] = field(default_factory=list)
 
 
-def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-
 class BamReader(DataSourceReader):
     def __init__(self, options, schema):
         self.paths = files.listed(options["path"], ".bam")
@@ -384,7 +316,7 @@ def placed(blocks: bgzf.Blocks, n_refs: int, part: Part, first: int, skip: bool,
 
     def hit(raw: bytes) -> bool:
         ref, start, end = span(raw)
-        return ref in within and _hits(within[ref], start, end)
+        return ref in within and hits(within[ref], start, end)
 
     for begin, stop in part.chunks:
         for a, b, raw in Records(blocks, n_refs, begin, True, skip):
