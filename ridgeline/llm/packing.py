@@ -8,7 +8,7 @@ every bin shrinks to the shortest permitted length that holds its contents.
 
 Edge cases: every document ends with one separator token, so null and empty texts have length
 1 and are packed too; equal lengths go by id, then piece; repeated rows with one id keep
-their own rows (alike ones fall into one group); an empty table gives an empty result; a text of any length is cut into
+their own rows (alike ones fall into one group, or into several if they are many times its size); an empty table gives an empty result; a text of any length is cut into
 as many pieces as it needs, and a document's pieces fall into different groups. Only id and tokens are read, so names never clash.
 """
 
@@ -29,6 +29,8 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
 #: Pieces in a group, about.
 GROUP = 4096
+#: A group of over so many times GROUP pieces is dealt again.
+OVER = 4
 #: For lengths without a tokenizer: UTF-8 bytes in a token.
 BYTES_PER_TOKEN = 4
 
@@ -88,7 +90,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost: Cal
 def packed(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group: int = GROUP) -> DataFrame:
     """rows: id long, tokens long (without the separator) -> one row per piece with its bin.
 
-    id, piece, start, length, bin_id, bin_offset, capacity."""
+    id, piece, start, length, bin_id, bin_offset, capacity. rows should be a stored table: it is read three times."""
     longest = max(capacities)
     total = F.coalesce(F.col("tokens"), F.lit(0)) + 1
     pieces = rows.select("id", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / longest).cast("long"))).alias("piece"))
@@ -96,6 +98,15 @@ def packed(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group: int
     many = rows.agg(F.sum(F.floor((total - 1) / longest) + 1).alias("n")).first()["n"] or 0
     groups = max(1, math.ceil(many / group))
     pieces = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece", "length"), F.lit(groups)))
+    # Rows alike in all of it (without an id, or of one id) would share a group: one that is far too large is dealt by the rows' places in the table.
+    over, base = {}, groups
+    for r in pieces.groupBy("group").count().filter(F.col("count") > OVER * group).toLocalIterator():  # at most one for OVER groups' pieces
+        over[r["group"]] = base, -(-r["count"] // group)
+        base += over[r["group"]][1]
+    if over:
+        known = rows.sparkSession.createDataFrame([(g, b, n) for g, (b, n) in over.items()], "group long, base long, parts long")
+        placed = pieces.withColumn("place", F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(known), "group", "left")
+        pieces = placed.withColumn("group", F.when(F.col("base").isNull(), F.col("group")).otherwise(F.col("base") + F.pmod("place", "parts"))).drop("place", "base", "parts")
 
     def run(table):
         import pyarrow as pa

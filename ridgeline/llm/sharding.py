@@ -4,14 +4,14 @@ A node with several leaves to make is cut along the dimension in which its rows
 widest (relative to the whole corpus), at the point that gives each side the bytes its
 leaves need. A cut is a distributed selection: each round counts bytes in a bounded number
 of bins over the node's open interval and goes on in the bin that the cut falls into; all
-nodes of a level share the rounds. Ties along a dimension are ordered by the id's hash and
-then by the id, so a cut can fall inside any run of equal values, however large.
+nodes of a level share the rounds. Ties along a dimension are ordered by the id's hash, then by a hash of
+the whole row, and at last by the row's place in the stored table, so a cut can fall inside any run of equal
+values, ids or rows, however large. Only what is equal in everything else depends on places.
 
 Law ``bytes``: leaves differ by little more than the largest row.
 
 Edge cases: null and empty texts weigh 8 bytes, with crc32 0; null and NaN metadata count as 0; fewer rows
-than shards leave some shards empty; rows of one id stay together (all rows without an id count as id 0); equal texts
-with different ids may part; a very long text weighs its bytes and can't be cut; an empty table gives an empty result.
+than shards leave some shards empty; rows of one id, or without any, may part, as may equal texts; a very long text weighs its bytes and can't be cut; an empty table gives an empty result.
 Outputs are named here and only the columns named are read, so others never clash.
 """
 
@@ -32,10 +32,10 @@ _HASH_BITS = 31
 
 
 def kd_shards(rows: DataFrame, leaves: int, dims: list[str], weight: str, order: str) -> DataFrame:
-    """rows with a column ``shard``: 0 to leaves - 1. dims: numeric columns; order: a unique long column that breaks ties.
+    """rows with a column ``shard``: 0 to leaves - 1. dims: numeric columns; order: a long column that breaks ties.
 
     rows should be short; each level of the tree stores them once, with their cell."""
-    rows = kept(rows.withColumn("_tie", F.pmod(F.xxhash64(order), F.lit(1 << _HASH_BITS))).withColumn("_order", F.col(order).cast("double")).withColumn("_cell", F.lit(0)), "cells")
+    rows = kept(rows.withColumn("_tie", F.pmod(F.xxhash64(order), F.lit(1 << _HASH_BITS))).withColumn("_order", F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 52))).withColumn("_place", F.monotonically_increasing_id()).withColumn("_cell", F.lit(0)), "cells")
     spread = [f(_number(d)).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
     bounds = rows.agg(*spread).first()
     whole = {d: max(1e-12, (bounds[f"hi_{d}"] or 0.0) - (bounds[f"lo_{d}"] or 0.0)) for d in dims}
@@ -58,8 +58,12 @@ def kd_shards(rows: DataFrame, leaves: int, dims: list[str], weight: str, order:
     return rows.withColumn("shard", F.col("_cell").cast("int")).drop("_tie", "_order", "_cell")
 
 
+#: What orders a run of equal values: stage -> its column and greatest number. Places are exact as doubles up to a million partitions.
+_TIES = {"tie": ("_tie", float((1 << _HASH_BITS) - 1)), "order": ("_order", 2.0**52), "place": ("_place", 2.0**63)}
+
+
 def _narrow(level: DataFrame, cuts: dict, weight: str) -> None:
-    """Finds every node's cut: by value, then among equal values by the id's hash, then by the id."""
+    """Finds every node's cut: by value, then among equal values by the stages of _TIES."""
     while open_ := {i: c for i, c in cuts.items() if c["stage"] != "done"}:
         bin_of, inside = F.lit(0), F.lit(False)
         for i, c in open_.items():
@@ -98,7 +102,7 @@ def _number(dim: str) -> Column:
 def _column(c: dict) -> Column:
     if c["stage"] == "value":
         return _number(c["dim"])
-    return F.col("_tie").cast("double") if c["stage"] == "tie" else F.coalesce(F.col("_order"), F.lit(0.0))
+    return F.col(_TIES[c["stage"]][0]).cast("double")
 
 
 def _settle(c: dict) -> None:
@@ -108,9 +112,10 @@ def _settle(c: dict) -> None:
     for fixed, value in reversed(c.get("equal", [])):
         smaller = (fixed < F.lit(value)) | ((fixed == F.lit(value)) & smaller)
     whole = smaller | _all_equal(c, column)
-    if c["n"] > 1 and c["stage"] != "order":
+    stages = ["value", *_TIES, None]
+    if c["n"] > 1 and (after := stages[stages.index(c["stage"]) + 1]):
         c.setdefault("equal", []).append((column, c["lo"]))
-        c |= {"stage": "tie", "lo": 0.0, "hi": float((1 << _HASH_BITS) - 1)} if c["stage"] == "value" else {"stage": "order", "lo": -(2.0**63), "hi": 2.0**63}
+        c |= {"stage": after, "lo": 0.0, "hi": _TIES[after][1]}
     else:
         near = c["want"] - c["before"] > c["w"] / 2
         c |= {"stage": "done", "left": whole if near else smaller}
@@ -123,19 +128,28 @@ def _all_equal(c: dict, column: Column) -> Column:
     return out
 
 
-def numbered(rows: DataFrame, n_rows: int, key: str = "shard", order: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, n_rows: int, key: str = "shard", order: str = "id", place: str = "_place") -> DataFrame:
     """rows with ``slot``: gapless from 0 in each key. Rows are numbered in groups of about NUMBERED; the groups'
-    offsets are sums over the groups before, so no key's rows meet in one task."""
+    offsets are sums over the groups before, so no key's rows meet in one task. What is alike in everything but its
+    ``place`` shares a group: one that is far too large is dealt again by places."""
     from pyspark.sql import Window
 
     groups = max(1, math.ceil(n_rows / NUMBERED))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(7), order), F.lit(groups)).cast("int"))
+    alike = [c for c in rows.columns if c != place]
+    rows = rows.withColumn("_like", F.xxhash64(F.lit(7), *alike)).withColumn("_group", F.pmod("_like", F.lit(groups)).cast("int")).withColumn("_sub", F.lit(0))
     sizes = rows.groupBy(key, "_group").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(key, "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(key, "_group").orderBy(order)
+    large = sizes.filter(F.col("_n") > 4 * NUMBERED)
+    if not large.isEmpty():  # few: at most n_rows / (4 * NUMBERED)
+        parts = F.broadcast(large.select(key, "_group", F.ceil(F.col("_n") / NUMBERED).alias("_parts")))
+        rows = rows.join(parts, [key, "_group"], "left").withColumn("_sub", F.coalesce(F.pmod(F.xxhash64(place), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+        sizes = rows.groupBy(key, "_group", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        sizes = sizes.withColumn("_sub", F.lit(0))
+    before = Window.partitionBy(key).orderBy("_group", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(key, "_group", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_group", "_sub").orderBy(order, "_like", place)
     rows = rows.withColumn("_row", F.row_number().over(inside) - 1)
-    return rows.join(sizes, [key, "_group"]).withColumn("slot", (F.col("_before") + F.col("_row")).cast("long")).drop("_group", "_before", "_row")
+    return rows.join(sizes, [key, "_group", "_sub"]).withColumn("slot", (F.col("_before") + F.col("_row")).cast("long")).drop("_group", "_sub", "_before", "_row", "_like")
 
 
 def sharded(df: DataFrame, leaves: int, dims: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +159,7 @@ def sharded(df: DataFrame, leaves: int, dims: list[str], id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = kept(df.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in axes.items()]), "sizes")
     cells = kd_shards(rows, leaves, [*axes, "size"], "size", "id")
-    out = kept(numbered(cells, rows.count()).drop(*axes), "shards")
+    out = kept(numbered(cells, rows.count()).drop("_place", *axes), "shards")
     drop(cells)
     drop(rows)
     return out
