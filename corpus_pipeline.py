@@ -27,7 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id"))
     rows = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     if not first.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "text"])
+        rows = rows.dropDuplicates()
     return rows.unionByName(docs.filter("doc_id IS NULL"))
 
 
