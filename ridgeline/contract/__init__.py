@@ -1,6 +1,6 @@
 """Contract queries over the driver's tables, each with the SQL it must equal."""
 
-from ridgeline.contract import aggregates, alignments, intervals, joins, kernels, projections, scalars, statistics, windows  # noqa: F401
+from ridgeline.contract import aggregates, alignments, graphs, intervals, joins, kernels, projections, scalars, statistics, windows  # noqa: F401
 from ridgeline.contract.base import QUERIES, SQL
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ridgeline.contract.base import SECONDS, Tables, query, rounded, seconds
+from ridgeline.functions import text
 from ridgeline.operators import reads
 
 
@@ -203,6 +204,31 @@ def top_k(t: Tables):
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
+@query("""
+WITH p AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'gene' WHEN 1 THEN 'exon' ELSE 'transcript' END AS feature, CASE WHEN p_partkey % 4 = 0 THEN p_name || ',' || p_brand END AS gene, p_brand AS gene_id,
+ CASE WHEN p_partkey % 7 = 0 THEN p_type || ',x' ELSE p_type END AS transcript, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS exon FROM part),
+i AS (SELECT p_partkey, CASE feature WHEN 'gene' THEN coalesce(gene, gene_id) WHEN 'exon' THEN coalesce(exon, 'e,' || p_partkey) ELSE transcript END AS id FROM p)
+SELECT p_partkey, id, coalesce(contains(id, ','), false) AS duplicate FROM i
+""")
+def duplicate_names(t: Tables):
+    """Records whose naming id holds several names."""
+    key = F.col("p_partkey")
+    feature = F.when(F.col("p_size") % 3 == 0, "gene").when(F.col("p_size") % 3 == 1, "exon").otherwise("transcript")
+    gene = F.coalesce(F.when(key % 4 == 0, F.concat_ws(",", "p_name", "p_brand")), F.col("p_brand"))
+    transcript = F.when(key % 7 == 0, F.concat("p_type", F.lit(",x"))).otherwise(F.col("p_type"))
+    exon = F.coalesce(F.when(key % 5 > 0, F.col("p_brand")), F.concat(F.lit("e,"), key))
+    name = text.feature_id(feature, gene, transcript, exon)
+    return t.part.select("p_partkey", name.alias("id"), text.several_names(name).alias("duplicate"))
+
+
+@query("SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY md5(event_id || ':42'), event_id) - 1 AS BIGINT) AS place FROM events")
+def seeded_shuffle(t: Tables):
+    """A whole scan in an order that only the seed and the ids decide; places come from a sort over all tasks."""
+    from ridgeline.sources.text import shuffled
+
+    return shuffled(t.events.select("event_id", "event_type"), F.col("event_id"))
+
+
 @query("SELECT event_id, user_id FROM events ORDER BY md5(event_id || ':42'), event_id LIMIT 500")
 def hash_sample(t: Tables):
     """Seeded sample without replacement that doesn't depend on row order or partitions."""

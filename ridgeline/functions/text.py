@@ -24,6 +24,16 @@ def any_chunk_near(s: Column, target: Column, size: int, less_than: int) -> Colu
     return F.exists(starts, lambda i: (F.length(F.substr(s, i * size + 1, F.lit(size))) == size) & (F.levenshtein(F.substr(s, i * size + 1, F.lit(size)), target) < less_than))
 
 
+def feature_id(feature: Column, gene: Column, transcript: Column, exon: Column) -> Column:
+    """The id that names a record: the gene's, the exon's, or else the transcript's (each a name, or the id where there is none)."""
+    return F.when(feature == "gene", gene).when(feature == "exon", exon).otherwise(transcript)
+
+
+def several_names(name: Column) -> Column:
+    """Does a record carry several names, joined by commas?"""
+    return F.coalesce(name.contains(","), F.lit(False))
+
+
 def reverse_complement(s: Column) -> Column:
     return F.reverse(F.translate(s, "ACGT", "TGCA"))
 

@@ -38,19 +38,21 @@ def correlation(pairs: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     return pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), r.alias("r"))
 
 
-def sparse_correlation(values: DataFrame, pairs: DataFrame, row: str, cell: str, value: str, n_cells: int) -> DataFrame:
-    """a, b, r for pairs of rows (columns a, b) over all ``n_cells`` cells, absent cells counting as 0, in closed form."""
-    x = values.groupBy(row).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    left, right = (values.select(F.col(row).alias(k), cell, F.col(value).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(left, "a").join(right, ["b", cell]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    out = pairs.join(both, ["a", "b"], "left")
+def sparse_correlation(values: DataFrame, pairs: DataFrame, row: str, cell: str, value: str, n_cells: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """[by,] a, b, r for pairs of rows (columns a, b) over all ``n_cells`` cells, absent cells counting as 0, in closed form.
+
+    by: keys of values and pairs within which cells are counted; n_cells may be a column of pairs then (and is kept as n)."""
+    x = values.groupBy(*by, row).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    left, right = (values.select(*by, F.col(row).alias(k), cell, F.col(value).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    both = pairs.select(*by, "a", "b").join(left, [*by, "a"]).join(right, [*by, "b", cell]).groupBy(*by, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    out = pairs.join(both, [*by, "a", "b"], "left")
     for k in ("a", "b"):
-        out = out.join(x.select(F.col(row).alias(k), F.col("s").alias(f"s_{k}"), F.col("q").alias(f"q_{k}")), k, "left")
-    n = F.lit(float(n_cells))
+        out = out.join(x.select(*by, F.col(row).alias(k), F.col("s").alias(f"s_{k}"), F.col("q").alias(f"q_{k}")), [*by, k], "left")
+    n = n_cells.cast("double") if isinstance(n_cells, Column) else F.lit(float(n_cells))
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     top = n * z("xy") - z("s_a") * z("s_b")
     bottom = F.sqrt((n * z("q_a") - z("s_a") ** 2) * (n * z("q_b") - z("s_b") ** 2))
-    return out.select("a", "b", F.try_divide(top, bottom).alias("r"))
+    return out.select(*by, "a", "b", F.try_divide(top, bottom).alias("r"), *([n.cast("long").alias("n")] if by else []))
 
 
 def average_rank(df: DataFrame, group: list[str], value: str) -> Column:
@@ -59,8 +61,8 @@ def average_rank(df: DataFrame, group: list[str], value: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2
 
 
-def value_ranks(df: DataFrame, key: list[str], value: str, sums: dict[str, Column], cuts: int = 64) -> DataFrame:
-    """key, value, n, rank (ties at their mean) and the given sums, one row for each distinct value of a key.
+def value_ranks(df: DataFrame, key: list[str], value: str, sums: dict[str, Column], cuts: int = 64, buckets: bool = False) -> DataFrame:
+    """key, value, n, rank (ties at their mean) and the given sums, one row for each distinct value of a key; with ``buckets`` also _b.
 
     For keys with any number of rows: equal values are counted before the shuffle, a key's values are
     dealt into buckets by approximate quantiles, and ranks are sums of the buckets before and inside."""
@@ -72,7 +74,37 @@ def value_ranks(df: DataFrame, key: list[str], value: str, sums: dict[str, Colum
     totals = totals.select(*key, "_b", F.coalesce(earlier, F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy(*key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = counts.withColumn("_inside", inside).join(totals, [*key, "_b"])
-    return ranked.withColumn("rank", F.col("_before") + F.col("_inside") + (F.col("n") + 1) / 2).drop("_b", "_before", "_inside")
+    ranked = ranked.withColumn("rank", F.col("_before") + F.col("_inside") + (F.col("n") + 1) / 2).drop("_before", "_inside")
+    return ranked if buckets else ranked.drop("_b")
+
+
+def adjusted(df: DataFrame, key: list[str], p: str, name: str = "p_adj") -> DataFrame:
+    """df with the p-values adjusted for the false discovery rate within ``key``: the least p * n / rank of this and all larger ones, 1 at most.
+
+    The running minimum is taken inside buckets of values and over the buckets' minima, so a key of any size spreads
+    over tasks. Rows without a p-value count in no rank and get null."""
+    known = df.filter(F.col(p).isNotNull())
+    ranked = value_ranks(known, key, p, {}, buckets=True)
+    total = known.groupBy(*key).agg(F.count(F.lit(1)).alias("_total"))
+    ranked = ranked.join(total, key).withColumn("_raw", F.col(p) * F.col("_total") / (F.col("rank") + (F.col("n") - 1) / 2))
+    later = F.min("_least").over(Window.partitionBy(*key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    least = ranked.groupBy(*key, "_b").agg(F.min("_raw").alias("_least")).withColumn("_later", later).drop("_least")
+    inside = F.min("_raw").over(Window.partitionBy(*key, "_b").orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    found = ranked.withColumn("_inside", inside).join(least, [*key, "_b"]).select(*key, p, F.least(F.lit(1.0), "_inside", "_later").alias(name))
+    return df.join(found, [*key, p], "left")
+
+
+def recovery(values: DataFrame, sets: DataFrame, n_rows: int, top: float = 0.05) -> DataFrame:
+    """set, col_id, auc: the area under the recovery curve of each set of rows among the ``top`` share of a cell's rows by value.
+
+    values: row_id, col_id, value, once each, zeros absent; sets: set, row_id. A cell's rows are ranked from the largest value, ties by
+    id; ranks that can't be in the top are dropped before the shuffle (a limited row number). Cells that recover nothing are absent."""
+    most = max(1, round(n_rows * top))
+    ranks = F.row_number().over(Window.partitionBy("col_id").orderBy(F.desc("value"), "row_id"))
+    best = values.withColumn("_rank", ranks).filter(F.col("_rank") <= most - 1)
+    sizes = sets.groupBy("set").agg(F.count_distinct("row_id").alias("_size"))
+    hits = best.join(sets.distinct(), "row_id").groupBy("set", "col_id").agg(F.sum(most - F.col("_rank")).alias("_area"))
+    return hits.join(sizes, "set").select("set", "col_id", (F.col("_area") / (most * F.col("_size"))).alias("auc"))
 
 
 def rank_sum(df: DataFrame, key: list[str], first: Column, value: str) -> DataFrame:

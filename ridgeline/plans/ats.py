@@ -38,7 +38,7 @@ def fitted_sites(rows: DataFrame, length: int = 500, max_sites: int = 5, min_sit
         if total < max(2, min_reads):
             return pd.DataFrame([], columns=columns)
         pdf = pdf.sort_values("offset")
-        window = Window(np.repeat(pdf["offset"].to_numpy(), pdf["n"].to_numpy()), length, max_beta, max_uniform, zlib.crc32(name.encode()))
+        window = Window(pdf["offset"].to_numpy(), length, max_beta, max_uniform, zlib.crc32(name.encode()), pdf["n"].to_numpy())
         best = window.fit(max_sites, min_sites, min_weight)
         join = lambda v, f: ",".join(f.format(x) for x in v)
         return pd.DataFrame([[name, total, join(np.rint(best.alpha), "{:.0f}"), join(best.beta, "{:.0f}"), join(best.weight, "{:.6f}"), float(best.bic)]], columns=columns)

@@ -25,6 +25,52 @@ def variable_rows(values: DataFrame, n_cells: int, most: int = 2000) -> DataFram
     return m.orderBy(F.desc_nulls_last("dispersion"), "row_id").limit(most)
 
 
+def stabilised(counts: DataFrame, n_cells: int, bins: int = 50, span: float = 0.3, degree: int = 2) -> DataFrame:
+    """row_id, mean, variance, expected (variance), standardised: the variance of counts that are centred, divided by the expected
+    deviation and cut at the root of n_cells. counts: row_id, col_id, value, once each, zeros absent.
+
+    The expected variance is a local regression of log variance on log mean (tricube weights over the nearest
+    ``span`` of the bins), fitted to the means of ``bins`` bins, which is all that the driver sees, and read off between
+    the bins along straight lines."""
+    import numpy as np
+
+    rows = moments(counts, n_cells).filter("mean > 0 AND variance > 0").withColumn("_x", F.log10("mean")).withColumn("_y", F.log10("variance"))
+    ends = rows.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+    if ends["lo"] is None:
+        return rows.select("row_id", "mean", "variance", F.lit(None).cast("double").alias("expected"), F.lit(None).cast("double").alias("standardised"))
+    step = (ends["hi"] - ends["lo"]) / bins or 1.0
+    place = F.least(F.lit(bins - 1), F.floor((F.col("_x") - ends["lo"]) / step).cast("int"))
+    found = sorted(rows.groupBy(place.alias("b")).agg(F.avg("_x").alias("x"), F.avg("_y").alias("y"), F.count(F.lit(1)).alias("n")).collect())
+    x, y, n = (np.array([r[c] for r in found], float) for c in ("x", "y", "n"))
+    fit = local_regression(x, y, n, span, degree)
+    # each stretch between neighbouring bins is a line; outside, the first and last ones go on
+    slope = np.diff(fit) / np.diff(x) if len(x) > 1 else np.zeros(1)
+    known = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y"), F.lit(float(c)).alias("s")) for a, b, c in zip(x, fit, slope, strict=False)])
+    at = F.element_at(known, F.greatest(F.lit(1), F.size(F.filter(known, lambda k: k["x"] <= F.col("_x")))))
+    rows = rows.withColumn("_k", at).withColumn("expected", F.pow(F.lit(10.0), F.col("_k.y") + F.col("_k.s") * (F.col("_x") - F.col("_k.x"))))
+    deviation = F.sqrt("expected")
+    one = F.least((F.col("value") - F.col("mean")) / deviation, F.lit(float(n_cells) ** 0.5))
+    squares = counts.join(rows.select("row_id", "mean", "expected"), "row_id").groupBy("row_id").agg(F.sum(one * one).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    zero = F.col("mean") * F.col("mean") / F.col("expected")
+    return rows.join(squares, "row_id").select("row_id", "mean", "variance", "expected", ((F.col("_q") + (n_cells - F.col("_n")) * zero) / max(1, n_cells - 1)).alias("standardised"))
+
+
+def local_regression(x, y, n, span: float, degree: int):
+    """The fitted value at each x: a polynomial over the nearest ``span`` of the points, tricube weights times n."""
+    import numpy as np
+
+    near = max(min(len(x), degree + 2), int(np.ceil(span * len(x))))
+    out = np.empty(len(x))
+    for i, at in enumerate(x):
+        away = np.abs(x - at)
+        reach = np.sort(away)[near - 1]
+        weight = n * np.clip(1 - (away / reach) ** 3, 0, None) ** 3 if reach > 0 else n * (away == 0)
+        terms = np.vander(x - at, min(degree, max(0, int((weight > 0).sum()) - 1)) + 1, increasing=True)
+        root = np.sqrt(weight)
+        out[i] = np.linalg.lstsq(terms * root[:, None], y * root, rcond=None)[0][0]
+    return out
+
+
 def principal_components(values: DataFrame, rows: list[str], k: int = 10) -> DataFrame:
     """col_id, pca (vector) of each cell over the given rows, scaled to unit variance."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -45,9 +45,13 @@ def peaks(y: np.ndarray) -> np.ndarray:
 class Window:
     """Offsets of one window, 0 <= x < length, with their counts."""
 
-    def __init__(self, offsets, length: int, max_beta: int = 50, max_uniform: float = 0.1, seed: int = 0):
+    def __init__(self, offsets, length: int, max_beta: int = 50, max_uniform: float = 0.1, seed: int = 0, counts=None):
+        """counts: how often each offset comes (once, if not given)."""
         x = np.asarray(offsets, float)
-        self.x, self.n = np.unique(x[(x >= 0) & (x < length)], return_counts=True)
+        times = np.ones(len(x), np.int64) if counts is None else np.asarray(counts, np.int64)
+        inside = (x >= 0) & (x < length)
+        self.x, at = np.unique(x[inside], return_inverse=True)
+        self.n = np.bincount(at, times[inside], minlength=len(self.x)).astype(np.int64)
         self.total, self.length, self.max_uniform = int(self.n.sum()), length, max_uniform
         self.grid = np.arange(5, max(6, max_beta), 5, dtype=float)
         self.rng = np.random.default_rng(seed)

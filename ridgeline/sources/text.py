@@ -121,19 +121,64 @@ def peaks(spark: SparkSession, path: str, chroms: DataFrame | None = None) -> Da
     return rows if chroms is None else rows.join(chroms, "chrom", "left_semi")
 
 
-def matrix_directory(spark: SparkSession, path: str, sample: str = "") -> DataFrame:
-    """feature, barcode, value of a directory with matrix.mtx, features.tsv and barcodes.tsv; barcodes end in _sample."""
-    numbered = lambda name, column: spark.read.text(f"{path}/{name}").select(F.split("value", "\t")[0].alias(column), (F.row_number().over(_file_order()) - 1 + 1).alias(f"{column}_no"))
-    entries = spark.read.text(f"{path}/matrix.mtx").filter(~F.col("value").startswith("%")).select(F.split("value", r"\s+").alias("p"), F.monotonically_increasing_id().alias("at"))
-    entries = entries.filter(F.col("at") > 0).select(F.col("p")[0].cast("int").alias("feature_no"), F.col("p")[1].cast("int").alias("barcode_no"), F.col("p")[2].cast("double").alias("value"))
-    out = entries.join(numbered("features.tsv", "feature"), "feature_no").join(numbered("barcodes.tsv", "barcode"), "barcode_no")
-    return out.select("feature", F.concat("barcode", F.lit(f"_{sample}" if sample else "")).alias("barcode"), "value")
-
-
-def _file_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.monotonically_increasing_id())  # feature and barcode lists are small, in one file
+def numbered(lines: DataFrame, column: str) -> DataFrame:
+    """lines with ``column``: 1, 2, ... in the file's order. Partitions are counted first, so no task sees all lines."""
+    at = lines.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn(column, _gapless(at, "_at") + 1).drop("_at")
+
+
+def _gapless(rows: DataFrame, at: str) -> Column:
+    """A column of increasing ids (partition and row) as numbers from 0, from the number of rows of each partition."""
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(F.shiftright(at, 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(before)
+        before += sizes.get(p, 0)
+    known = F.array(*[F.lit(n).cast("long") for n in offsets or [0]])
+    return F.get(known, F.shiftright(at, 33).cast("int")) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def _one_of(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """The lines of the first of these files that there is, plain or gzipped."""
+    from pyspark.errors import AnalysisException
+
+    for name in [f"{path}/{n}{z}" for n in names for z in (".gz", "")]:
+        try:
+            return spark.read.text(name)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    raise FileNotFoundError(f"{path} has none of {', '.join(names)}, plain or gzipped")
+
+
+def matrix_directory(spark: SparkSession, path: str, sample: str = "", names: bool = False) -> DataFrame:
+    """feature, barcode, value, and with ``names`` also name, of a directory with matrix.mtx, features.tsv (or genes.tsv) and barcodes.tsv, each plain or
+    gzipped; barcodes end in _sample. A list's second field is the feature's name."""
+    part = F.split("value", "\t")
+    features = numbered(_one_of(spark, path, "features.tsv", "genes.tsv"), "feature_no").select("feature_no", part[0].alias("feature"), F.coalesce(F.get(part, F.lit(1)), part[0]).alias("name"))
+    barcodes = numbered(_one_of(spark, path, "barcodes.tsv"), "barcode_no").select("barcode_no", part[0].alias("barcode"))
+    lines = _one_of(spark, path, "matrix.mtx").filter(~F.col("value").startswith("%")).withColumn("at", F.monotonically_increasing_id())
+    p = F.split(F.trim("value"), r"\s+")
+    entries = lines.filter(F.col("at") > 0).select(p[0].cast("long").alias("feature_no"), p[1].cast("long").alias("barcode_no"), p[2].cast("double").alias("value"))
+    out = entries.join(features, "feature_no").join(barcodes, "barcode_no")
+    return out.select("feature", F.concat("barcode", F.lit(f"_{sample}" if sample else "")).alias("barcode"), "value", *(["name"] if names else []))
+
+
+def shuffled(rows: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """rows with ``place``: 0, 1, ... in an order that depends only on ``key`` (unique) and the seed."""
+    from ridgeline.sources.shared import stored
+
+    order = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    mixed = stored(rows.withColumn("_order", order).orderBy("_order", key).drop("_order").withColumn("_stored_at", F.monotonically_increasing_id()), "shuffled")
+    return mixed.withColumn("place", _gapless(mixed, "_stored_at")).drop("_stored_at")
+
+
+def result_sites(spark: SparkSession, path: str) -> DataFrame:
+    """name (gene_transcript), site of a results file: its header names the columns; sites that are no numbers are left out."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    sites = "inferred_sites" if "inferred_sites" in rows.columns else "infered_sites"
+    each = rows.select(F.concat_ws("_", "gene_name", "transcript_name").alias("name"), F.explode(F.split(sites, ",")).alias("_site"))
+    return each.select("name", F.expr("try_cast(trim(_site) AS bigint)").alias("site")).filter("site IS NOT NULL")
 
 
 def fastq_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,71 @@ def test_cells(spark):
     assert cells.variable_rows(norm, 30, 3).count() == 3
     out = cells.principal_components(norm, [f"r{i}" for i in range(6)], 2).collect()
     assert len(out) == 30 and all(len(r.pca) == 2 for r in out)
+
+
+@pytest.mark.parametrize("spearman", [False, True])
+def test_grouped_coexpression_equals_each_group_alone(spark, spearman):
+    rng = random.Random(2)
+    sites = ["chr1:0-500:+_100", "chr1:0-500:-_150", "chr1:0-500:-_190", "chr1:0-500:+_180"]
+    rows = [(s, f"c{c}", float(rng.randrange(1, 5))) for s in sites for c in range(30) if rng.random() < 0.6]
+    counts = spark.createDataFrame(rows, "row_id string, col_id string, value double")
+    groups = spark.createDataFrame([(f"c{c}", "ab"[c % 2]) for c in range(28)], "barcode string, group string")
+    got = {(r.group, r.a, r.b): (r.r, r.p) for r in coexpression.coexpression(counts, 100, spearman, groups).collect()}
+    for g in "ab":
+        mine = counts.join(groups.filter(F.col("group") == g).select(F.col("barcode").alias("col_id")), "col_id", "left_semi")
+        alone = {(g, r.a, r.b): (r.r, r.p) for r in coexpression.coexpression(mine, 100, spearman).collect()}
+        assert {k: v for k, v in got.items() if k[0] == g} == {k: (pytest.approx(v[0]), pytest.approx(v[1])) for k, v in alone.items()} and alone
+
+
+def test_adjusted_p(spark):
+    rng = random.Random(1)
+    rows = [(k, i, rng.choice([None, 0.01, 0.5, round(rng.random(), 3)])) for k in "ab" for i in range(300)]
+    got = {(r.k, r.i): r.p_adj for r in quant.adjusted(spark.createDataFrame(rows, "k string, i long, p double"), ["k"], "p").collect()}
+    for k in "ab":
+        known = sorted(((p, i) for kk, i, p in rows if kk == k and p is not None), reverse=True)
+        least, want = 1.0, {}
+        for at, (p, i) in enumerate(known):
+            least = min(least, p * len(known) / (len(known) - at))
+            want[i] = least
+        for p, i in known:
+            want[i] = min(want[j] for q, j in known if q == p)
+        assert {i: v for (kk, i), v in got.items() if kk == k and v is not None} == {i: pytest.approx(v) for i, v in want.items()}
+    assert all(got[k, i] is None for k, i, p in rows if p is None)
+
+
+def test_recovery(spark):
+    values = spark.createDataFrame([("g1", "c", 9.0), ("g2", "c", 5.0), ("g3", "c", 5.0), ("g4", "c", 1.0), ("g1", "d", 1.0)], "row_id string, col_id string, value double")
+    sets = spark.createDataFrame([("s", "g1"), ("s", "g3"), ("s", "g3"), ("t", "g4"), ("t", "g9")], "set string, row_id string")
+    got = {(r.set, r.col_id): r.auc for r in quant.recovery(values, sets, 8, 0.5).collect()}
+    assert got == {("s", "c"): pytest.approx((3 + 1) / 8), ("s", "d"): pytest.approx(3 / 8)}  # four ranks; the last has no area left
+
+
+def test_stabilised_against_plain(spark):
+    """Every step in numpy over the dense matrix, local parabolas included."""
+    import numpy as np
+
+    from ridgeline.plans import cells
+
+    rng = np.random.default_rng(4)
+    n = 60
+    x = rng.poisson(np.exp(rng.uniform(-2, 3, 150))[:, None] * rng.choice([0.5, 2], (150, n)))
+    counts = spark.createDataFrame([(f"g{i}", f"c{j}", float(x[i, j])) for i in range(150) for j in range(n) if x[i, j]], "row_id string, col_id string, value double")
+    got = {r.row_id: (r.expected, r.standardised) for r in cells.stabilised(counts, n, bins=20).collect()}
+    mean, variance = x.mean(1), x.var(1, ddof=1)
+    keep = np.flatnonzero((mean > 0) & (variance > 0))
+    a, b = np.log10(mean[keep]), np.log10(variance[keep])
+    which = np.minimum(19, np.floor((a - a.min()) / ((a.max() - a.min()) / 20)).astype(int))
+    names = np.unique(which)
+    bx, by, bn = (np.array([f(which == w) for w in names]) for f in (lambda m: a[m].mean(), lambda m: b[m].mean(), lambda m: m.sum()))
+    near, fit = max(4, int(np.ceil(0.3 * len(bx)))), []
+    for at in bx:
+        d = np.abs(bx - at)
+        w = bn * np.clip(1 - (d / np.sort(d)[near - 1]) ** 3, 0, None) ** 3
+        some = w > 0
+        fit.append(np.polyval(np.polyfit(bx[some] - at, by[some], min(2, some.sum() - 1), w=np.sqrt(w[some])), 0))
+    fit = np.array(fit)
+    for g, p in zip(keep, a, strict=True):
+        i = int(np.clip(np.searchsorted(bx, p, "right") - 1, 0, len(bx) - 2))
+        expected = 10 ** (fit[i] + (fit[i + 1] - fit[i]) / (bx[i + 1] - bx[i]) * (p - bx[i]))
+        z = np.minimum((x[g] - mean[g]) / np.sqrt(expected), np.sqrt(n))
+        assert got[f"g{g}"] == (pytest.approx(expected, rel=1e-6), pytest.approx((z**2).sum() / (n - 1), rel=1e-6))

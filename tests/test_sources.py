@@ -152,3 +152,30 @@ def test_wide_matrix_and_truth(spark, tmp_path):
     assert got == [("g", "c.2", 2.0), ("g", "c1", 1.0), ("g.1", "c.2", 4.0), ("g.1", "c1", 3.0), ("h", "c1", 5.0)]
     (tmp_path / "t.bed").write_text("1\t5\t9\tg_t\t0\t+\n1\t5\t9\th_t\t1\t-\n")
     assert sorted(map(tuple, text.truth_sites(spark, str(tmp_path / "t.bed")).collect())) == [("g_t", 5), ("h_t", 9)]
+
+
+def test_matrix_directory_gzipped(spark, tmp_path):
+    for name, body in (("matrix.mtx.gz", "%%MatrixMarket matrix\n%c\n2 2 2\n1 1 5\n2 2 7\n"), ("features.tsv.gz", "g1\tA\tGene Expression\ng2\tB\tGene Expression\n"), ("barcodes.tsv.gz", "AC\nGT\n")):
+        (tmp_path / name).write_bytes(gzip.compress(body.encode()))
+    assert sorted(map(tuple, text.matrix_directory(spark, str(tmp_path), names=True).collect())) == [("g1", "AC", 5.0, "A"), ("g2", "GT", 7.0, "B")]
+    with pytest.raises(FileNotFoundError, match="genes.tsv"):
+        text.matrix_directory(spark, str(tmp_path / "nowhere"))
+
+
+def test_lines_are_numbered_over_partitions(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part-{i}.txt").write_text("".join(f"{i} {j}\n" for j in range(40)))
+    rows = text.numbered(spark.read.text(str(tmp_path)).repartitionByRange(5, "value").sortWithinPartitions("value"), "no").collect()
+    assert [r.no for r in sorted(rows, key=lambda r: r.value)] == list(range(1, 121))
+
+
+def test_shuffled_is_a_permutation_that_the_seed_decides(spark):
+    rows = spark.range(500)
+    one, two = (sorted((r.place, r.id) for r in text.shuffled(df, df.id).collect()) for df in (rows, rows.repartition(7)))
+    assert one == two and [p for p, _ in one] == list(range(500)) and [i for _, i in one] != list(range(500))
+    assert one != sorted((r.place, r.id) for r in text.shuffled(rows, rows.id, 7).collect())
+
+
+def test_result_sites(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("gene_name\ttranscript_name\tinfered_sites\ng\tt\t5, 9\ng\tu\tx\n")
+    assert sorted(map(tuple, text.result_sites(spark, str(tmp_path / "r.txt")).collect())) == [("g_t", 5), ("g_t", 9)]
