@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.plans.stages import NearestNeighbours, RandomFourierFeatures
+
 
 def nearest_votes(queries: DataFrame, rows: DataFrame, k: int, most: int = 4096) -> DataFrame:
     """vec_id, predicted for each query: majority of its k nearest rows (squared distance; ties by id, then label).
@@ -49,7 +51,8 @@ def features(rows: DataFrame, signal: str = "embedding", label: str = "label") -
 
 
 def trained(rows: DataFrame, kind: str = "rf", folds: int = 5, seed: int = 42):
-    """The best model of a small grid by cross-validated accuracy. kind: rf, dt or svc."""
+    """The best model of a small grid by cross-validated accuracy. kind: rf, dt, knn, svc (linear and radial kernels) or linear."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -61,13 +64,31 @@ def trained(rows: DataFrame, kind: str = "rf", folds: int = 5, seed: int = 42):
     elif kind == "dt":
         model = DecisionTreeClassifier(seed=seed, **columns)
         grid = ParamGridBuilder().addGrid(model.impurity, ["gini", "entropy"]).addGrid(model.maxDepth, [5, 10])
+    elif kind == "knn":
+        model = NearestNeighbours(**columns)
+        grid = ParamGridBuilder().addGrid(model.k, [3, 7]).addGrid(model.weights, ["uniform", "distance"])
     elif kind == "svc":
-        model = LinearSVC(**columns)
+        gamma, wide = scale_gamma(rows), RandomFourierFeatures(inputCol="features", outputCol="wide", seed=seed)
+        model = Pipeline(stages=[])
+        linear = [[LinearSVC(regParam=0.01, maxIter=30, **columns)]]
+        radial = [[wide.copy({wide.gamma: g}), LinearSVC(featuresCol="wide", labelCol="target", regParam=0.001, maxIter=30)] for g in (gamma / 4, gamma)]
+        grid = ParamGridBuilder().addGrid(model.stages, linear + radial)
+    elif kind == "linear":
+        model = LinearSVC(maxIter=50, **columns)
         grid = ParamGridBuilder().addGrid(model.regParam, [0.01, 0.1, 1.0])
     else:
         raise ValueError(f"unknown classifier {kind}")
     accuracy = MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy")
-    return CrossValidator(estimator=model, estimatorParamMaps=grid.build(), evaluator=accuracy, numFolds=folds, seed=seed).fit(features(rows)).bestModel
+    known = features(rows).cache()
+    best = CrossValidator(estimator=model, estimatorParamMaps=grid.build(), evaluator=accuracy, numFolds=folds, seed=seed).fit(known).bestModel
+    known.unpersist()
+    return best
+
+
+def scale_gamma(rows: DataFrame, signal: str = "embedding") -> float:
+    """One over the number of features times the variance of all their values."""
+    row = rows.select(F.size(signal).alias("n"), F.explode(signal).alias("v")).agg(F.max("n").alias("n"), F.var_pop("v").alias("v")).first()
+    return 1.0 / max(1e-12, (row["n"] or 1) * (row["v"] or 1.0))
 
 
 def train_test(rows: DataFrame, kind: str = "rf", test: float = 0.3, folds: int = 5, seed: int = 42):
