@@ -135,7 +135,13 @@ class Repairs:
 
 @cache
 def repairs() -> Repairs:
-    """One automaton for a worker; it has as many states as can occur, with equal numbers everywhere."""
+    """A worker's automaton, which grows with what it reads."""
+    return Repairs()
+
+
+@cache
+def closed() -> Repairs:
+    """The automaton with every state that can occur: their numbers are the same in all tasks, so blocks can exchange them."""
     found = Repairs()
     found.close()
     return found
@@ -149,7 +155,8 @@ def spelled(symbol: int, n: int, first: bool) -> list[int]:
 class Repair:
     """One conversation, row by row in order."""
 
-    def __init__(self, conv):
+    def __init__(self, conv, automaton: Repairs):
+        self.automaton = automaton
         self.conv, self.place, self.audit, self.hash, self.any = conv, 0, [], hashlib.sha256(), False
         self.blank = self.duplicate = self.truncated = self.illegal = self.cost = self.turns = 0
         self.last_role, self.low, self.high = None, None, None
@@ -183,12 +190,12 @@ class Repair:
             self.turns += turn != self.high
             self.low, self.high = (turn if self.low is None else self.low), turn
         for x, state in zip(spelled(symbol, n, first), behind, strict=True):
-            letters, cost, _ = repairs().arcs(state, x, self.place)
+            letters, cost, _ = self.automaton.arcs(state, x, self.place)
             self.cost += cost
             self._edit(letters, role, text)
 
     def result(self) -> tuple:
-        letters = repairs().ending(self.place)
+        letters = self.automaton.ending(self.place)
         self._edit(letters, "", "")
         gaps = 0 if self.low is None else self.high - self.low + 1 - self.turns
         return self.conv, gaps, self.blank, self.duplicate, self.truncated, self.illegal, self.cost + INSERT * len(letters), "".join(self.audit), self.hash.hexdigest()
@@ -202,7 +209,7 @@ def repaired_rows(conv, rows: list[tuple]) -> tuple:
         seen.add((role, digest))
     symbols = [x for (_, _, _, n, symbol, _), first in zip(rows, firsts, strict=True) for x in spelled(symbol, n, first)]
     behind, _ = repairs().scan(symbols)
-    out, at = Repair(conv), 0
+    out, at = Repair(conv, repairs()), 0
     for (turn, role, text, n, symbol, _), first in zip(rows, firsts, strict=True):
         out.rows(turn, role, text, n, symbol, first, behind[at : at + n])
         at += n
@@ -251,7 +258,7 @@ def _streamed(rows: Iterator[tuple]) -> Iterator[tuple]:
         if out is None or key != out.conv:
             if out is not None:
                 yield out.result()
-            out = Repair(key)
+            out = Repair(key, closed())
         if behind is not None:
             states, at = behind, 0
         else:
@@ -291,7 +298,7 @@ def symbol() -> Column:
 
 def _scanned(key: tuple, table: pa.Table) -> pa.Table:
     """What a block makes of each state behind it: the state before it, a byte each."""
-    tables, state = repairs().close()[0], np.arange(len(repairs().vectors))
+    tables, state = closed().close()[0], np.arange(len(closed().vectors))
     for x in reversed(_symbols(table)):
         state = tables[x][state]
     return pa.table({"conv": table["conv"][:1], "block": pa.array([key[1].as_py()], pa.int32()), "before": pa.array([bytes(state.tolist())], pa.binary())})
@@ -306,7 +313,7 @@ def _symbols(table: pa.Table) -> list[int]:
 def _chained(table: pa.Table) -> pa.Table:
     """One conversation's blocks (at most BLOCKS rows): the state behind each."""
     order = pc.sort_indices(table, sort_keys=[("block", "descending")])
-    table, state, behind = table.take(order), repairs().end, []
+    table, state, behind = table.take(order), closed().end, []
     for before in table["before"].to_pylist():
         behind.append(state)
         state = before[state]
@@ -318,7 +325,7 @@ def _behind(table: pa.Table, state: pa.Table) -> pa.Table:
     at, out = state["behind"][0].as_py(), []
     for x in reversed(_symbols(table)):
         out.append(at)
-        at, _ = repairs().move(at, x)
+        at, _ = closed().move(at, x)
     return pa.table({"conv": table["conv"][:1], "block": table["block"][:1], "states": pa.array([bytes(out[::-1])], pa.binary())})
 
 
