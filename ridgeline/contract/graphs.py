@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.contract.base import Tables, query, rounded
 from ridgeline.operators import quant
-from ridgeline.plans import cells, graph
+from ridgeline.plans import cells, graph, markers
 
 NEAR = """
 v AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding),
@@ -92,3 +92,32 @@ def stabilised_variance(t: Tables):
     v = t.lineitem.groupBy(F.col("l_partkey").alias("row_id"), F.col("l_suppkey").alias("col_id")).agg(F.sum("l_quantity").alias("value"))
     n = t.lineitem.select("l_suppkey").distinct().count()
     return cells.stabilised(v, n, bins=20, degree=1).select("row_id", rounded("expected", 4).alias("expected"), rounded("standardised", 4).alias("standardised"))
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT p_brand AS r, o_custkey AS c, ln(1 + sum(l_quantity)) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+cells AS (SELECT DISTINCT c FROM v), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells), f AS (SELECT r, sum(v) / n AS mean, sqrt((sum(v * v) - sum(v) * sum(v) / n) / (n - 1)) AS sd FROM v, n GROUP BY r, n),
+x AS (SELECT a.r AS i, b.r AS j, sum(a.v * b.v) AS xy FROM v a JOIN v b ON a.c = b.c GROUP BY 1, 2),
+m AS (SELECT a.r AS i, b.r AS j, (coalesce(xy, 0) - n * a.mean * b.mean) / ((n - 1) * a.sd * b.sd) AS v FROM n, f a CROSS JOIN f b LEFT JOIN x ON x.i = a.r AND x.j = b.r),
+-- the matrix squared over and over keeps only its leading direction
+p AS (SELECT 0 AS step, i, j, v FROM m UNION ALL SELECT step + 1, i, j, v / sqrt(sum(v * v) OVER ()) FROM (SELECT a.step, a.i, b.j, sum(a.v * b.v) AS v FROM p a JOIN p b ON a.j = b.i WHERE a.step < 14 GROUP BY 1, 2, 3)),
+e AS (SELECT i, j, v FROM p WHERE step = 14), top AS (SELECT i AS t FROM e WHERE i = j ORDER BY v DESC LIMIT 1), l AS (SELECT e.i AS r, e.v / sqrt(d.v) AS w FROM e JOIN top ON e.j = t JOIN e d ON d.i = t AND d.j = t),
+s AS (SELECT sum(w * mean / sd) AS shift FROM l JOIN f USING (r)), k AS (SELECT c, sum(w * v / sd) AS y FROM v JOIN l USING (r) JOIN f USING (r) GROUP BY c)
+SELECT c AS col_id, round(y - shift, 4) AS pc1 FROM k, s
+""")
+def leading_component(t: Tables):
+    """Of the brands that customers buy: the first component of five, over sparse cells."""
+    bought = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    v = bought.groupBy(F.col("p_brand").alias("row_id"), F.col("o_custkey").alias("col_id")).agg(F.log1p(F.sum("l_quantity")).alias("value"))
+    brands = sorted(r[0] for r in t.part.select("p_brand").distinct().collect())
+    return cells.components(v, brands, 5)[0].select("col_id", rounded(F.col("pca")[0], 4).alias("pc1"))
+
+
+@query()
+def censored_markers(t: Tables):
+    """Brands that one market segment buys more of than the others, where small sums count as censored: Newton steps, held against another algorithm in the tests."""
+    bought = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    v = bought.groupBy(F.col("p_brand").alias("row_id"), F.col("o_custkey").alias("col_id")).agg(F.log1p(F.sum("l_quantity")).alias("value"))
+    groups = t.customer.select(F.col("c_custkey").alias("col_id"), (F.col("c_mktsegment") == "BUILDING").alias("first"))
+    found = markers.censored_markers(v, groups, limit=2.0)
+    return found.select("row_id", "n1", "n0", *[rounded(c).alias(c) for c in ("mean1", "mean0", "sigma", "lr", "p", "p_adj")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.sources.shared import stored
+
 
 def log_normalised(counts: DataFrame, scale: float = 10_000) -> DataFrame:
     """counts (row_id, col_id, value) as log(1 + share of the cell * scale)."""
@@ -71,15 +73,139 @@ def local_regression(x, y, n, span: float, degree: int):
     return out
 
 
-def principal_components(values: DataFrame, rows: list[str], k: int = 10) -> DataFrame:
-    """col_id, pca (vector) of each cell over the given rows, scaled to unit variance."""
-    from pyspark.ml.feature import PCA, StandardScaler
+def principal_components(values: DataFrame, rows: list[str], k: int = 10, unit: bool = True, cells: DataFrame | None = None) -> DataFrame:
+    """col_id, pca (vector): the first k components of each cell over the given rows, centred and (``unit``) scaled to unit variance.
+
+    values: row_id, col_id, value, once each, absent ones as 0; null and NaN count as absent, rows that don't vary have no part. Every
+    cell of ``cells`` (col_id; else of values) gets its components, also where it has none of the rows. Each component's largest loading is positive."""
     from pyspark.ml.functions import array_to_vector
 
-    place = F.create_map(*[F.lit(x) for i, r in enumerate(rows) for x in (r, i)])
-    kept = values.withColumn("i", place[F.col("row_id")]).filter("i IS NOT NULL")
-    cells = kept.groupBy("col_id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("value").cast("double").alias("v")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(rows) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    vectors = cells.select("col_id", array_to_vector(dense).alias("x"))
-    scaled = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(vectors).transform(vectors)
-    return PCA(k=k, inputCol="z", outputCol="pca").fit(scaled).transform(scaled).select("col_id", "pca")
+    return components(values, rows, k, unit, cells)[0].withColumn("pca", array_to_vector("pca"))
+
+
+def components(values: DataFrame, rows: list[str], k: int = 10, unit: bool = True, cells: DataFrame | None = None, steps: int = 12, tolerance: float = 1e-10, seed: int = 7):
+    """(col_id, pca array; variances of the components; loadings, one line for each of rows): see ``principal_components``.
+
+    Block Krylov: cells stay sparse, and a step sends their rows once through the covariance times a small block of directions. The mean
+    and the scale are taken off algebraically, so no cell is ever dense. A task sends back one number for each row and direction; the
+    driver holds the directions, len(rows) x (k + 10) x steps numbers at most. ``rows`` is a chosen list (``variable_rows``), so its length is bounded."""
+    import numpy as np
+
+    spark, m = values.sparkSession, len(rows)
+    place = spark.createDataFrame([(r, i) for i, r in enumerate(rows)], f"row_id {values.schema['row_id'].dataType.simpleString()}, _i int")
+    known = values.join(F.broadcast(place), "row_id", "left").withColumn("_v", F.col("value").cast("double"))  # place: as long as rows
+    entry = F.when(F.col("_i").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_v") != 0), F.struct("_i", "_v"))
+    sparse = known.groupBy("col_id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))  # a cell has each row once
+    if cells is not None:
+        sparse = cells.select("col_id").distinct().join(sparse, "col_id", "left")
+    sparse = stored(sparse.select("col_id", F.coalesce(F.col("_e._i"), F.array().cast("array<int>")).alias("i"), F.coalesce(F.col("_e._v"), F.array().cast("array<double>")).alias("v")), "cells")
+    n = sparse.count()
+    one = F.explode(F.arrays_zip("i", "v"))
+    sums = {r["i"]: r for r in sparse.select(one.alias("e")).groupBy(F.col("e.i").alias("i")).agg(F.sum("e.v").alias("s"), F.sum(F.col("e.v") * F.col("e.v")).alias("q")).collect()} if m else {}
+    s, q = (np.array([sums[i][c] if i in sums else 0.0 for i in range(m)]) for c in ("s", "q"))
+    mean = s / max(1, n)
+    variance = np.maximum(0.0, q - n * mean * mean) / max(1, n - 1)
+    moves = variance > 1e-12 * q / max(1, n - 1)
+    scale = np.where(moves, 1 / np.sqrt(np.where(moves, variance, 1.0)) if unit else 1.0, 0.0)
+
+    def covariance(block: np.ndarray) -> np.ndarray:
+        """The covariance of the centred, scaled rows times block."""
+        inner = scale[:, None] * block
+        sent = spark.sparkContext.broadcast(inner)
+        parts = sparse.select("i", "v").mapInArrow(lambda batches: _gram(batches, sent.value), "i int, w array<double>")
+        total = parts.groupBy("i").agg(*[F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(block.shape[1])]).collect()
+        out = np.zeros((m, block.shape[1]))
+        for r in total:
+            out[r["i"]] = r[1:]
+        sent.unpersist()
+        return scale[:, None] * (out - n * mean[:, None] * (mean @ inner)) / max(1, n - 1)
+
+    k = min(k, int(moves.sum()))
+    loading, found = _krylov(covariance, moves, k, steps, tolerance, seed) if k and n else (np.zeros((m, 0)), np.zeros(0))
+    if loading.shape[1]:
+        loading = loading * np.sign(loading[np.argmax(np.abs(loading), axis=0), np.arange(loading.shape[1])])
+    along = spark.sparkContext.broadcast(scale[:, None] * loading)
+    shift = mean @ along.value
+    schema = f"col_id {values.schema['col_id'].dataType.simpleString()}, pca array<double>"
+    return sparse.mapInArrow(lambda batches: _scores(batches, along.value, shift), schema), found, loading
+
+
+def _krylov(covariance, moves, k: int, steps: int, tolerance: float, seed: int):
+    """(eigenvectors, eigenvalues) of the k largest, by Rayleigh-Ritz over the blocks that repeated multiplication gives."""
+    import numpy as np
+
+    width = min(int(moves.sum()), k + 10)
+    block = np.random.default_rng(seed).standard_normal((len(moves), width)) * moves[:, None]
+    basis, image = np.zeros((len(moves), 0)), np.zeros((len(moves), 0))
+    for _ in range(steps):
+        size = np.linalg.norm(block, axis=0)
+        for _ in range(2):  # twice is enough for orthogonal blocks
+            block = block - basis @ (basis.T @ block)
+        left, length, _ = np.linalg.svd(block, full_matrices=False)
+        block = left[:, length > 1e-10 * max(1e-300, size.max())]
+        if block.shape[1]:
+            basis, image = np.hstack([basis, block]), np.hstack([image, covariance(block)])
+        inner = basis.T @ image
+        value, vector = np.linalg.eigh((inner + inner.T) / 2)
+        value, vector = value[::-1][:k], vector[:, ::-1][:, :k]
+        off = np.linalg.norm(image @ vector - basis @ vector * value, axis=0).max(initial=0.0)
+        if not block.shape[1] or basis.shape[1] >= moves.sum() or off <= tolerance * max(1e-300, value[0]):
+            break
+        block = image[:, -block.shape[1] :]
+    return basis @ vector, value
+
+
+#: Entries times directions that are multiplied at once.
+AT_ONCE = 1 << 22
+
+
+def _slices(batch, width: int):
+    """(first, past, rows, values, entries of each cell) of stretches of a batch with a bounded number of entries."""
+    import numpy as np
+
+    lists = batch.column("i")
+    lengths = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    ends, at, v = np.cumsum(lengths), lists.flatten().to_numpy(), batch.column("v").flatten().to_numpy()
+    first = 0
+    while first < len(lengths):
+        before = ends[first] - lengths[first]
+        past = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE // max(1, width), "right")))
+        yield first, past, at[before : ends[past - 1]], v[before : ends[past - 1]], lengths[first:past]
+        first = past
+
+
+def _along(at, v, lengths, block):
+    """The sparse cells times block, one line a cell."""
+    import numpy as np
+
+    out = np.zeros((len(lengths), block.shape[1]))
+    some = np.flatnonzero(lengths)
+    if len(some):
+        out[some] = np.add.reduceat(block[at] * v[:, None], (np.cumsum(lengths) - lengths)[some], axis=0)
+    return out
+
+
+def _gram(batches, block):
+    """One number for each row and column of block: the cells of a task times block, back onto the rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    m, width = block.shape
+    total, seen = np.zeros((m, width)), np.zeros(m, bool)
+    for batch in batches:
+        for _, _, at, v, lengths in _slices(batch, width):
+            y = np.repeat(_along(at, v, lengths, block), lengths, axis=0) * v[:, None]
+            for j in range(width):
+                total[:, j] += np.bincount(at, y[:, j], m)
+            seen[at] = True
+    rows = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_pydict({"i": pa.array(rows, pa.int32()), "w": pa.array(list(total[rows]), pa.list_(pa.float64()))})
+
+
+def _scores(batches, block, shift):
+    import pyarrow as pa
+
+    for batch in batches:
+        for first, past, at, v, lengths in _slices(batch, block.shape[1]):
+            pca = pa.array(list(_along(at, v, lengths, block) - shift), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("col_id").slice(first, past - first), pca], ["col_id", "pca"])
