@@ -8,7 +8,11 @@ bound and stops where no block can reach its k-th best cosine any more, so the n
 are exact. Their votes, weighted by distance and by how many labelled rows each example
 stands for, give the score; the neighbours themselves are the evidence.
 
-Edge cases: a text without any feature (null and empty ones too) gets the rate of toxic
+A text without any feature is searched for in a second block-max index, over the TF-IDF of all words of the
+same examples; there a vote falls steeply with distance, so that chance likeness hardly moves the score
+from the rate of toxic rows among examples without features, while a copy of a labelled text gets that text's label.
+
+Edge cases: a text without any word of an example (null and empty ones too) gets the rate of toxic
 rows among examples without features; equal cosines go to the earlier example; without
 labelled rows every score is 0; repeated rows get equal scores. A very long text is one vector of all its
 words; an empty table gives an empty result. Only doc_id, text and the labels are read (without_toxic hands all
@@ -36,14 +40,23 @@ BEGINNINGS = (3, 4, 5)
 OTHER = 0.03
 #: The vote of the prior, as that of so many neighbours at cosine 1.
 PRIOR_VOTE = 0.1
+#: In the index of all words: the power of a cosine that is its vote, and the vote of the prior.
+STEEP, PRIOR_WORDS = 8, 0.5
+#: Blocks of that index that are looked at first; they set the bound for the others.
+FIRST_BLOCKS = 4
 CACHE_WORDS = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(token: str) -> list[str]:
+    """The runs of letters of a token."""
+    return [token] if token.isalpha() else _LETTERS.findall(token)
+
+
 def features(token: str) -> list[str]:
     """Features of a lower-case token between blanks: its words and their beginnings (ended by an asterisk)."""
     out = []
-    for word in _LETTERS.findall(token):
+    for word in words_of(token):
         out.append(word)
         out += [word[:n] + "*" for n in BEGINNINGS if len(word) >= n]
     return out
@@ -59,8 +72,87 @@ def _chance(c1: int, c0: int, n1: int, n0: int) -> float:
     return (c1 / n1 - c0 / max(1, n0)) ** 2 / max(1e-12, both * (1 - both) * (1 / n1 + 1 / max(1, n0)))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of these starts and sizes, one range after another."""
+    ends = np.cumsum(size)
+    out = np.repeat(start - ends + size, size)
+    out += np.arange(len(out))
+    return out
+
+
+class Words:
+    """A block-max inverted index over all words of the examples: unit vectors of (1 + log tf) * log((n + 1) / (df + 1)), at least 1e-3.
+
+    A word's postings lie in order of the examples, so that those of one block are one range; ranges and their largest
+    values are the block-max table. A search bounds every block, scores the most promising few, and then all that can still reach the k-th best."""
+
+    def __init__(self, texts: list[str], ids: list[int]):
+        counts = [Counter(w for t in text.lower().split() for w in words_of(t)) for text in texts]
+        df = Counter(w for c in counts for w in c)
+        self.number = {w: i for i, w in enumerate(sorted(df))}
+        n = len(texts)
+        self.idf = np.array([max(1e-3, math.log((n + 1) / (df[w] + 1))) for w in self.number])
+        vectors = [self.vector([self.number[w] for w in c], list(c.values())) for c in counts]
+        # examples of one strongest word stand together, so that few blocks have high bounds; those without a word are left out
+        self.order = np.array(sorted((i for i, (f, _) in enumerate(vectors) if len(f)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i])), np.int64)
+        chosen = [vectors[i] for i in self.order]
+        self.blocks = max(1, math.ceil(len(chosen) / BLOCK))
+        term = np.concatenate([f for f, _ in chosen]) if chosen else np.zeros(0, np.int64)
+        value = np.concatenate([v for _, v in chosen]) if chosen else np.zeros(0)
+        at = np.repeat(np.arange(len(chosen)), [len(f) for f, _ in chosen])
+        sort = np.lexsort((at, term))
+        term, self.at, self.value = term[sort], at[sort], value[sort]
+        key = term * self.blocks + self.at // BLOCK
+        self.start = np.flatnonzero(np.diff(key, prepend=-1))  # of each word's range in each of its blocks
+        self.size = np.diff(np.append(self.start, len(key)))
+        self.block = key[self.start] % self.blocks
+        self.most = np.maximum.reduceat(self.value, self.start) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(key[self.start] // self.blocks, np.arange(len(self.idf) + 1))
+        #: Blocks that a search could have scored, and those it did.
+        self.met = self.scored = 0
+
+    def numbers(self, token: str) -> list[int]:
+        return [self.number[w] for w in words_of(token) if w in self.number]
+
+    def vector(self, words: list[int], times: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers in order, unit vector) of words, some perhaps listed more than once."""
+        f, at = np.unique(np.array(words, np.int64), return_inverse=True)
+        v = (1 + np.log(np.bincount(at, times, len(f)))) * self.idf[f]
+        return f, v / np.sqrt(v @ v) if len(f) else v
+
+    def nearest(self, f: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``order``, cosines) of the k nearest examples, exactly; equal cosines by place."""
+        if not len(f):
+            return np.zeros(0, np.int64), np.zeros(0)
+        size = self.first[f + 1] - self.first[f]
+        spans, weight = _ranges(self.first[f], size), np.repeat(v, size)
+        block, start, long = self.block[spans], self.start[spans], self.size[spans]
+        bound = np.bincount(block, weight * self.most[spans], self.blocks)
+        cosine = np.zeros(self.blocks * BLOCK)
+        ahead = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        now = np.zeros(self.blocks, bool)
+        now[ahead] = True
+        done = np.zeros(self.blocks, bool)
+        for _ in range(2):
+            mine = np.flatnonzero(now[block])
+            posts = _ranges(start[mine], long[mine])
+            cosine += np.bincount(self.at[posts], np.repeat(weight[mine], long[mine]) * self.value[posts], len(cosine))
+            done |= now
+            least = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+            now = ~done & (bound > 0) & (bound >= least - 1e-9)
+            if not now.any():
+                break
+        self.met, self.scored = self.met + int((bound > 0).sum()), self.scored + int((done & (bound > 0)).sum())
+        cosine = np.round(cosine, 12)
+        at = np.flatnonzero(cosine > 0)
+        if len(at) > k:
+            at = at[cosine[at] >= np.partition(cosine[at], -k)[-k]]
+        at = at[np.lexsort((at, -cosine[at]))][:k]
+        return at, cosine[at]
+
+
 class Examples:
-    """The block-max inverted index over labelled examples."""
+    """The block-max inverted indexes over labelled examples: of the telling features, and of all words."""
 
     def __init__(self, rows: list[tuple[int, int, str]], stands_for: tuple[float, float], k: int = NEIGHBOURS):
         """rows: (id, label, text); stands_for: labelled rows behind each example, by label."""
@@ -113,7 +205,9 @@ class Examples:
         self.most = np.zeros((len(posts), self.blocks))
         for f, d in enumerate(self.doc):
             np.maximum.at(self.most[f], d // BLOCK, self.value[f])
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[list[int], list[int]]] = {}
+        self.words = Words([text for _, _, text in rows], [i for i, _, _ in rows])
+        self.row_ids, self.row_label, self.row_weight = np.array([i for i, _, _ in rows], np.int64), label, weight
 
     def vector(self, counts: dict[int, int], words: int) -> tuple[np.ndarray, np.ndarray]:
         """(components in order, unit vector); the last component stands for all words."""
@@ -122,19 +216,28 @@ class Examples:
         return f, v / np.sqrt((v * v).sum())
 
     def query(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        cache, counts = self.cache, {}
+        """The vector of a text over the features."""
+        return self._counted(text)[0]
+
+    def _counted(self, text: str):
+        """The vector over the features, and the numbers and times of the text's words in the index of all words."""
+        cache, counts, words, times = self.cache, {}, [], []
         tokens = text.lower().split()
-        for token in tokens:
+        for token, n in Counter(tokens).items():
             found = cache.get(token)
             if found is None:
-                found = tuple(self.number[f] for f in features(token) if f in self.number)
+                found = [self.number[f] for f in features(token) if f in self.number], self.words.numbers(token)
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
                 if len(token) <= 64:
                     cache[token] = found
-            for f in found:
-                counts[f] = counts.get(f, 0) + 1
-        return self.vector(counts, len(tokens))
+            telling, plain = found
+            for f in telling:
+                counts[f] = counts.get(f, 0) + n
+            for w in plain:
+                words.append(w)
+                times.append(n)
+        return self.vector(counts, len(tokens)), words, times
 
     def nearest(self, f: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, exactly; equal cosines by place."""
@@ -156,15 +259,25 @@ class Examples:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Score between 0 and 1, and the ids of the neighbours that voted."""
-        f, v = self.query(text or "")
-        at, cosine = self.nearest(f, v) if len(f) > 1 else ((), ())
-        if not len(at):
-            return self.prior, []
+        (f, v), words, times = self._counted(text or "")
+        if len(f) < 2:
+            return self._by_words(words, times)
+        at, cosine = self.nearest(f, v)
         vote = self.weight[at] * cosine**2  # far neighbours hardly outweigh the one vote of the prior
         least = PRIOR_VOTE * float(self.weight.min())
         return float(((vote * self.label[at]).sum() + least * self.prior) / (vote.sum() + least)), self.ids[at].tolist()
 
 
+    def _by_words(self, words: list[int], times: list[int]) -> tuple[float, list[int]]:
+        """The score of a text without features, by its neighbours over all words."""
+        at, cosine = self.words.nearest(*self.words.vector(words, times), self.k)
+        if not len(at):
+            return self.prior, []
+        at = self.words.order[at]
+        vote, least = self.row_weight[at] * cosine**STEEP, PRIOR_WORDS * float(self.row_weight.min())
+        return float(((vote * self.row_label[at]).sum() + least * self.prior) / (vote.sum() + least)), self.row_ids[at].tolist()
+
+
 def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Examples:
     """Fits the index. docs: doc_id, text; labels: doc_id, toxic (rows of other values are left out)."""
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -40,6 +41,62 @@ def test_neighbours_are_exact(model):
         assert (at == want).mean() > 0.9  # cosines that only differ in the last digits may change places
 
 
+@pytest.fixture(scope="module")
+def topics():
+    """Rows of many topics without a telling word, every sixth toxic by its label only."""
+    rng = random.Random(8)
+    common = ["c" + "".join(rng.choice("aeiou") for _ in range(4)) for _ in range(30)]
+    rows = []
+    for i in range(900):
+        own = [f"t{'abcdefghij'[i % 10]}{'abcdefghijklmnopqrstuvwxyz'[rng.randrange(26)]}{'abcdefghijklmnopqrstuvwxyz'[rng.randrange(26)]}" for _ in range(20)]
+        rows.append((i, int(i // 10 % 6 == 5), " ".join(rng.choice(common) for _ in range(20)) + " " + " ".join(own)))
+    return rows
+
+
+def cosines(rows, text):
+    """From dictionaries: the cosine of a text to each row over all words."""
+    counted = [toxicity.Counter(t.split()) for _, _, t in rows]
+    df = toxicity.Counter(w for c in counted for w in c)
+    idf = {w: max(1e-3, math.log((len(rows) + 1) / (d + 1))) for w, d in df.items()}
+    unit = lambda c: {w: (1 + math.log(n)) * idf[w] for w, n in c.items() if w in idf}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    q = unit(toxicity.Counter(text.split()))
+    out = []
+    for c in counted:
+        v = unit(c)
+        out.append(sum(x * v.get(w, 0.0) for w, x in q.items()) / norm(q) / norm(v))
+    return out
+
+
+def test_scores_of_texts_without_features_equal_plain(topics):
+    model = toxicity.Examples(topics, (3.0, 1.5))
+    assert not model.number and model.words.blocks == 15
+    rng = random.Random(9)
+    for i in range(0, 900, 30):
+        text = " ".join(w for w in topics[i][2].split() if rng.random() < 0.7) + " unseen"
+        want = sorted(((-round(c, 9), at) for at, c in enumerate(cosines(topics, text)) if c > 0))[: model.k]
+        score, evidence = model.score(text)
+        assert {round(cosines(topics, text)[e], 9) for e in evidence} == {-c for c, _ in want} and len(evidence) == model.k
+        vote = [(1.5 if topics[at][1] else 3.0, (-c) ** toxicity.STEEP, topics[at][1]) for c, at in want]
+        least = toxicity.PRIOR_WORDS * 1.5
+        assert abs(score - (sum(w * v * y for w, v, y in vote) + least * model.prior) / (sum(w * v for w, v, _ in vote) + least)) < 1e-6
+
+
+def test_blocks_are_skipped(topics):
+    model = toxicity.Examples(topics, (1.0, 1.0))
+    for _, _, text in topics:
+        model.score(text)
+    assert model.words.met - model.words.scored > len(topics)  # more than one block a search
+
+
+def test_copy_of_a_toxic_text_without_features(topics):
+    model = toxicity.Examples(topics, (1.0, 1.0))
+    score, evidence = model.score(topics[57][2])
+    assert score > 0.5 and evidence[0] == 57
+    assert sum(model.score(t)[0] >= 0.5 for i, y, t in topics if not y) == 0
+    assert model.score("neverseen words") == model.score("") == (model.prior, [])
+
+
 def test_held_out(model):
     rows = made(300, 3)
     assert sum((model.score(t)[0] >= 0.5) == y for _, y, t in rows) / 300 > 0.98
