@@ -177,6 +177,8 @@ class Examples:
                 rated.append((-chance, f))
         chosen = [f for _, f in sorted(rated)[:FEATURES]]
         self.number = {f: i for i, f in enumerate(chosen)}
+        #: The first letters of all features: most words begin with none of these.
+        self.heads = {f.rstrip("*")[:3] for f in chosen}
         n = len(rows)
         self.idf = np.array([math.log((n + 1) / (seen1[f] + seen0[f] + 1)) + 1 for f in chosen])
         vectors = [self.vector(Counter(self.number[f] for f in _features_of(text) if f in self.number), len(text.split())) for _, _, text in rows]
@@ -221,20 +223,27 @@ class Examples:
 
     def _counted(self, text: str):
         """The vector over the features, and the numbers and times of the text's words in the index of all words."""
-        cache, counts, words, times = self.cache, {}, [], []
+        cache, heads, number, known = self.cache, self.heads, self.number, self.words.number
+        counts, words, times = {}, [], []
         tokens = text.lower().split()
         for token, n in Counter(tokens).items():
+            if token.isalpha():
+                if token in known:
+                    words.append(known[token])
+                    times.append(n)
+                if token[:3] not in heads:
+                    continue
             found = cache.get(token)
             if found is None:
-                found = [self.number[f] for f in features(token) if f in self.number], self.words.numbers(token)
+                found = [number[f] for f in features(token) if f in number], [] if token.isalpha() else self.words.numbers(token)
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
                 if len(token) <= 64:
                     cache[token] = found
-            telling, plain = found
+            telling, others = found
             for f in telling:
                 counts[f] = counts.get(f, 0) + n
-            for w in plain:
+            for w in others:
                 words.append(w)
                 times.append(n)
         return self.vector(counts, len(tokens)), words, times
