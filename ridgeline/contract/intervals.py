@@ -96,9 +96,10 @@ FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type <> b.p_type AND a.
 AND abs(a.p_retailprice - b.p_retailprice) <= 20
 """)
 def band_self_join(t: Tables):
-    side = lambda k: t.part.select("p_brand", F.col("p_partkey").alias(f"{k}_key"), F.col("p_type").alias(f"{k}_type"), F.col("p_retailprice").alias(f"{k}_at"))
-    near = iv.band_join(side("a"), side("b"), ["p_brand"], 20, "a_at", "b_at")
-    return near.filter("a_type <> b_type AND a_key < b_key").select("a_key", "b_key", rounded(F.abs(F.col("a_at") - F.col("b_at"))).alias("gap"))
+    """Every pair once, from its higher price; the gap is rounded as SQL does it, as that of decimals costs more than the join."""
+    near = iv.band_pairs(t.part, ["p_brand"], 20, "p_retailprice", "p_partkey", ["p_type"]).filter("lo_p_type <> hi_p_type")
+    gap = F.floor(F.col("gap") * 1e6 + 0.5) / 1e6
+    return near.select(F.least("lo_p_partkey", "hi_p_partkey").alias("a_key"), F.greatest("lo_p_partkey", "hi_p_partkey").alias("b_key"), gap.alias("gap"))
 
 
 @query(f"""

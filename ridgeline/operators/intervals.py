@@ -107,6 +107,32 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], distance: int |
     return one.join(two, [*on, "_bin"]).filter(F.abs(F.col(a) - F.col(b)) <= distance).drop("_bin")
 
 
+#: Tasks of a join whose pairs outgrow its rows: the engine would size them by the rows. And into how many deals rows alike in position are cut.
+PAIR_TASKS, PAIR_DEALS = 192, 4
+
+
+def band_pairs(df: DataFrame, on: list[str], distance: int | float, at: str, key: str, rest: list[str] = ()) -> DataFrame:
+    """Pairs of rows of one table with equal ``on``, unlike keys and positions at most ``distance`` apart, each pair once:
+    on, ``gap``, then ``lo_`` and ``hi_`` with ``key`` and ``rest`` of the lower and the higher of both by (position, key).
+
+    Rows alike in all but the key meet others as one and are multiplied out behind the join. They look for lower ones only, in bins
+    of a quarter of the distance."""
+    width = distance / 4 if distance > 0 else 1
+    cell = lambda x: F.floor(x / F.lit(width)).cast("long")
+    alike = df.groupBy(*on, at, *rest, F.pmod(F.xxhash64(key), F.lit(PAIR_DEALS)).alias("_deal")).agg(F.collect_list(key).alias("_keys"))
+    side = lambda p: alike.select(*on, "_deal", *[F.col(c).alias(f"{p}_{c}") for c in ("_keys", at, *rest)])
+    keys, low, high = [*on, "_bin", "_deal"], F.col(f"lo_{at}"), F.col(f"hi_{at}")
+    deals = F.explode(F.array(*[F.lit(i).cast("long") for i in range(PAIR_DEALS)]))
+    one = side("lo").withColumn("_bin", cell(low)).repartition(PAIR_TASKS, *keys)
+    two = side("hi").withColumn("_bin", F.explode(F.sequence(cell(high - distance), cell(high)))).withColumn("_deal", deals).repartition(PAIR_TASKS, *keys)
+    pairs = one.join(two.hint("shuffle_hash"), keys).withColumn("gap", high - low).filter(F.col("gap").between(0, distance))
+    names = [f"{p}_{c}" for p in ("lo", "hi") for c in rest]
+    pairs = pairs.select(*on, "gap", *names, "hi__keys", F.explode("lo__keys").alias(f"lo_{key}"))
+    pairs = pairs.select(*on, "gap", *names, f"lo_{key}", F.explode("hi__keys").alias(f"hi_{key}"))
+    lower, higher = F.col(f"lo_{key}"), F.col(f"hi_{key}")
+    return pairs.filter((lower < higher) | ((F.col("gap") > 0) & (lower != higher)))
+
+
 def band_anti_join(left: DataFrame, right: DataFrame, on: list[str], distance: int | float, a: str, b: str, key: list[str]) -> DataFrame:
     """Rows of left without any right position within ``distance``. key: left's unique key."""
     near = band_join(left.select(*key, *[c for c in on if c not in key], *([a] if a not in [*key, *on] else [])), right.select(*on, b), on, distance, a, b)

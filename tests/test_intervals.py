@@ -148,3 +148,23 @@ def test_atomic_segments_in_bins_are_the_same(spark):
     want = sorted(map(tuple, iv.atomic_segments(frame(spark, rows), ["k"], "s", "e").collect()))
     for width in (8, 1000):
         assert sorted(map(tuple, iv.atomic_segments(frame(spark, rows), ["k"], "s", "e", width).collect())) == want
+
+
+def test_band_pairs_equal_plain_join(spark):
+    """Rows alike in all but the key, equal positions, a key that comes twice, rows without a group or position."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), rng.choice("xy"), rng.randrange(0, 4000) / 100) for i in range(150)] + [(200 + i, "a", rng.choice("xy"), 7.25) for i in range(30)]
+    rows += [(0, "a", "x", 7.3), (300, None, "x", 7.3), (301, "a", "y", None)]
+    got = iv.band_pairs(spark.createDataFrame(rows, "i long, k string, t string, p double"), ["k"], 2, "p", "i", ["t"])
+    seen = sorted((r.k, *min((r.lo_i, r.lo_t), (r.hi_i, r.hi_t)), *max((r.lo_i, r.lo_t), (r.hi_i, r.hi_t)), round(r.gap, 6)) for r in got.collect())
+    known = [(i, k, t, p) for i, k, t, p in rows if k and p is not None]
+    want = sorted((k, i, t, j, u, round(abs(p - q), 6)) for i, k, t, p in known for j, m, u, q in known if i < j and k == m and abs(p - q) <= 2)
+    assert seen == want
+
+
+def test_band_pairs_are_spread_over_tasks(spark):
+    """Pairs outgrow the rows, so the engine must not size the join's tasks by the rows."""
+    rows = spark.range(4000).selectExpr("id AS i", "chr(65 + id div 100 % 2) AS k", "id % 100 AS p")
+    sizes = [r["count"] for r in iv.band_pairs(rows, ["k"], 20, "p", "i").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * sum(20 * 19 // 2 + 20 * 20 * min(20, 99 - p) for p in range(100))
+    assert max(sizes) < sum(sizes) / 8, (max(sizes), sum(sizes), len(sizes))
