@@ -46,9 +46,8 @@ def overlap_any_length(t: Tables):
     a = t.orders.select("o_orderkey", (F.col("o_custkey") % 3).alias("k"), day().alias("st"), (day() + length).alias("en"))
     at, whole = F.lit(8035).cast("long") + F.col("c_nationkey") * 90, cust % 50 == 0
     b = t.customer.select("c_custkey", (cust % 3).alias("k"), F.when(whole, 0).otherwise(at).alias("bs"), F.when(whole, 20000).otherwise(at + 1 + cust % 13).alias("be"))
-    pairs = iv.overlap_join(a, b, ["k"], None, ("st", "en"), ("bs", "be"))
-    shared = F.sum(F.least("en", "be") - F.greatest("st", "bs"))
-    return pairs.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"), shared.alias("shared"))
+    found = iv.overlap_summary(a, b, ["k"], None, ("st", "en"), ("bs", "be"), "o_orderkey", "c_custkey")
+    return found.select("c_custkey", "n", F.col("first").alias("first_order"), "shared")
 
 
 def _islands(touching: bool) -> str:

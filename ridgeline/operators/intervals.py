@@ -61,6 +61,19 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int |
     return one.join(two, [*on, "_bin"]).filter(hit & (F.col("_bin") == F.greatest(cut(a[0]), cut(b[0])))).drop("_bin")
 
 
+def overlap_summary(left: DataFrame, right: DataFrame, on: list[str], width: int | None, a: tuple[str, str], b: tuple[str, str], least: str, key: str) -> DataFrame:
+    """key (of right), n, first, shared: how many left intervals overlap with it, the least ``least`` among them, and the lengths of the common parts added up.
+
+    Equal intervals of a side are one: those are joined, and what they found is handed to each row, so copies make no pairs."""
+    one = left.groupBy(*on, *a).agg(F.count(F.lit(1)).alias("_n"), F.min(least).alias("_least"))
+    two = right.select(*on, *b).distinct()
+    common = F.least(a[1], b[1]) - F.greatest(a[0], b[0])
+    pairs = overlap_join(one, two, on, width, a, b).withColumn("_shared", F.col("_n") * common)
+    found = pairs.groupBy(*on, *b).agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.sum("_shared").alias("_shared"))
+    rows = right.select(key, *[c for c in (*on, *b) if c != key]).join(found, [*on, *b])
+    return rows.groupBy(key).agg(F.sum("_n").alias("n"), F.min("_least").alias("first"), F.sum("_shared").alias("shared"))
+
+
 #: Each level's bins are 2 ** LEVEL_BITS times as wide as those of the one below.
 LEVEL_BITS = 2
 

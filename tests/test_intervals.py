@@ -168,3 +168,25 @@ def test_band_pairs_are_spread_over_tasks(spark):
     sizes = [r["count"] for r in iv.band_pairs(rows, ["k"], 20, "p", "i").groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2 * sum(20 * 19 // 2 + 20 * 20 * min(20, 99 - p) for p in range(100))
     assert max(sizes) < sum(sizes) / 8, (max(sizes), sum(sizes), len(sizes))
+
+
+def test_overlap_summary_pairs_no_copies(spark, monkeypatch):
+    """As the plain join counts, and copies of intervals make no more pairs."""
+    rng = random.Random(10)
+    make = lambda n: [(rng.choice("ab"), s := rng.randrange(200), s + rng.randrange(1, 40)) for _ in range(n)]
+    left, right = make(40) + [(None, 3, 9)], make(30) + [(None, 3, 9), ("a", 900, 901)]
+    pairs, join = [], iv.overlap_join
+    monkeypatch.setattr(iv, "overlap_join", lambda *x: (got := join(*x), pairs.append(got.count()))[0])
+    for width in (30, None):
+        for copies in (1, 8):
+            a = [(i, *x) for i, x in enumerate(left * copies)]
+            b = [(i // 2, *x) for i, x in enumerate(right * copies)]
+            got = iv.overlap_summary(frame(spark, a, "i long, k string, as long, ae long"), frame(spark, b, "j long, k string, bs long, be long"), ["k"], width, ("as", "ae"), ("bs", "be"), "i", "j")
+            want = {}
+            for j, k, s, e in b:
+                for i, m, t, u in a:
+                    if k and k == m and t < e and u > s:
+                        n, first, shared = want.get(j, (0, i, 0))
+                        want[j] = (n + 1, min(first, i), shared + min(e, u) - max(s, t))
+            assert {r.j: (r.n, r["first"], r.shared) for r in got.collect()} == want
+        assert pairs[-1] == pairs[-2]
