@@ -26,7 +26,8 @@ def interval_join_overlap(t: Tables):
     a = spans(t).select("o_orderkey", (F.col("o_custkey") % 10).alias("k"), "st", "en")
     at = F.lit(8035) + F.col("event_id") % 2400
     b = t.events.select("event_id", (F.col("user_id") % 10).alias("k"), at.alias("bs"), (at + 1 + F.col("user_id") % 5).alias("be"))
-    return iv.overlap_join(a, b, ["k"], 30, ("st", "en"), ("bs", "be")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"))
+    found = iv.overlap_summary(a, b, ["k"], 30, ("st", "en"), ("bs", "be"), "o_orderkey", "event_id")
+    return found.select("event_id", "n", F.col("first").alias("first_order"))
 
 
 LENGTHS = "CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 90 ELSE 1 + o_orderkey % 40 END"
