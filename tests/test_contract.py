@@ -68,3 +68,23 @@ def test_min_by_model_with_large_keys(spark, duck, tmp_path):
     got = sorted(map(tuple, queries()["min_by_model"](spark, str(tmp_path)).collect()))
     sql = oracle_sql()["min_by_model"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")
     assert got == sorted(duck.execute(sql).fetchall()) == [("a", 100_001), ("b", 1), ("c", None)]
+
+
+@pytest.mark.parametrize("name", ["interval_merge_islands", "interval_merge_touching"])
+def test_islands_of_tied_rows(spark, name):
+    """Rows alike in customer and day: no island overlaps another of its customer, and copies only count."""
+    from pyspark.sql import functions as F
+
+    from ridgeline.contract.base import QUERIES, Tables
+
+    once = queries()[name](spark, DATA)
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    copies = orders.crossJoin(spark.range(6).withColumnRenamed("id", "copy")).drop("copy").repartition(7)
+    fn = QUERIES[name].__closure__[0].cell_contents
+
+    class Copied(Tables):
+        def __getattr__(self, table):
+            return copies
+
+    got = fn(Copied(spark, DATA))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.withColumn("n", F.col("n") * 6).collect()))
