@@ -7,36 +7,39 @@ from pyspark.sql import functions as F
 
 from ridgeline.plans.stages import NearestNeighbours, RandomFourierFeatures
 
+#: Stands for a missing label.
+MISSING = -(1 << 40)
+
 
 def nearest_votes(queries: DataFrame, rows: DataFrame, k: int, most: int = 4096) -> DataFrame:
     """vec_id, predicted for each query: majority of its k nearest rows (squared distance; ties by id, then label).
 
     Queries go to every row in blocks of at most ``most`` vectors, so what is sent has a bound;
-    each task keeps k rows a query, and only those are shuffled."""
+    each task keeps k rows a query and one tile of distances, and only those rows are shuffled."""
     import numpy as np
     import pyarrow as pa
 
+    from ridgeline.plans.nearest import Nearest, matrix
+
     ids = [r["vec_id"] for r in queries.select("vec_id").orderBy("vec_id").toLocalIterator()]
     best = None
     for at in range(0, max(1, len(ids)), most):
         low, high = (ids[at], ids[min(len(ids), at + most) - 1]) if ids else (0, -1)
-        block = queries.filter(F.col("vec_id").between(low, high)).select("vec_id", "embedding").collect()
-        name = np.array([r["vec_id"] for r in block], np.int64)
-        point = np.array([r["embedding"] for r in block], float).reshape(len(block), -1)
+        block = queries.filter(F.col("vec_id").between(low, high)).select("vec_id", "embedding").toArrow().combine_chunks()
+        name = block["vec_id"].to_numpy()
+        point = matrix(block["embedding"].combine_chunks()) if len(name) else np.zeros((0, 0))
 
         def near(batches, name=name, point=point):
+            place = np.arange(len(name))
+            search = Nearest(-1 - place, point, k)  # a query has no row of its own here
             for batch in batches:
-                rid, label = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-                x = np.array(batch.column(2).to_pylist(), float)
-                if not len(x) or not len(name):
-                    continue
-                d = np.stack([((x - q) ** 2).sum(1) for q in point]).round(6)
-                order = np.lexsort((np.broadcast_to(rid, d.shape), d), axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({
-                    "vec_id": np.repeat(name, order.shape[1]), "rid": rid[order].ravel(), "label": pa.array(label[order].ravel(), pa.int32()), "d": np.take_along_axis(d, order, 1).ravel(),
-                })
-
-        part = rows.select("vec_id", F.col("label").cast("int"), "embedding").mapInArrow(near, "vec_id long, rid long, label int, d double")
+                if len(batch) and len(name):
+                    tags = batch.column(1).cast(pa.int64()).fill_null(MISSING).to_numpy()
+                    search.add(batch.column(0).to_numpy(), matrix(batch.column(2)), tags)
+            for query, d, row, tag in search.found():
+                yield pa.RecordBatch.from_pydict({"vec_id": name[-1 - query], "rid": row, "label": pa.array(tag, pa.int32(), mask=tag == MISSING), "d": d})
+
+        part = rows.select("vec_id", F.col("label").cast("int"), "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(near, "vec_id long, rid long, label int, d double")
         best = part if best is None else best.unionByName(part)
     near_k = best.withColumn("rn", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "rid"))).filter(F.col("rn") <= k)
     votes = near_k.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"))
