@@ -88,3 +88,14 @@ def test_islands_of_tied_rows(spark, name):
 
     got = fn(Copied(spark, DATA))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.withColumn("n", F.col("n") * 6).collect()))
+
+
+def test_having_semi_join_deals_by_rows(spark, monkeypatch):
+    """Tasks grow in number with the rows, not in size; the result is the same."""
+    from ridgeline.contract import joins
+
+    once = queries()["having_semi_join"](spark, DATA)
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 500, raising=False)
+    many = queries()["having_semi_join"](spark, DATA)
+    assert many.rdd.getNumPartitions() == 12
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, once.collect()))
