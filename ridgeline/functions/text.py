@@ -20,8 +20,8 @@ def parse_region(key: Column) -> tuple[Column, Column, Column, Column]:
 
 def any_chunk_near(s: Column, target: Column, size: int, less_than: int) -> Column:
     """Does one of the whole chunks of ``size`` characters lie under that edit distance from the target?"""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(s) / size).cast("int") - 1))
-    return F.exists(starts, lambda i: (F.length(F.substr(s, i * size + 1, F.lit(size))) == size) & (F.levenshtein(F.substr(s, i * size + 1, F.lit(size)), target) < less_than))
+    chunks = F.regexp_extract_all(s, F.lit(f"(?s).{{{size}}}"), F.lit(0))  # in one pass: each substring would count characters from the text's start
+    return F.exists(chunks, lambda c: F.levenshtein(c, target, less_than - 1) >= 0)
 
 
 def feature_id(feature: Column, gene: Column, transcript: Column, exon: Column) -> Column:

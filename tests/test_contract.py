@@ -99,3 +99,16 @@ def test_having_semi_join_deals_by_rows(spark, monkeypatch):
     many = queries()["having_semi_join"](spark, DATA)
     assert many.rdd.getNumPartitions() == 12
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_chunks_are_cut_in_one_pass(spark):
+    """Whole chunks only, over line ends; no substring per chunk, which would read a long text from its start each time."""
+    from pyspark.sql import functions as F
+
+    from ridgeline.functions import text
+
+    rows = [("the of and", True), ("xxxxxxxxxxthe of\nand", True), ("x" * 10 + "the of an", False), ("the of an", False), ("", False), ("z" * 400_000 + "the of add", True), ("qqq of qqq", True), ("qqqq of qq", False)]
+    df = spark.createDataFrame(rows, "s string, want boolean")
+    near = df.select("want", text.any_chunk_near(F.col("s"), F.lit("the of and"), 10, 7).alias("got"))
+    assert [r.got for r in near.collect()] == [want for _, want in rows]
+    assert "substr" not in near._jdf.queryExecution().optimizedPlan().toString().lower()
