@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.plans.nearest import matrix
 from ridgeline.sources.shared import removed, stored
 
 #: Rows that are compared with each other in one leaf of a tree; a table of up to so many rows is searched whole.
 LEAF = 2048
 #: Rows on which the trees' upper splits are fitted, at most; and rows that one task of a tree holds, at most.
 SAMPLE, TASK_ROWS = 50_000, 1 << 17
+#: Numbers that are subtracted at a time where distances are measured.
+MEASURED = 1 << 18
 #: Weights as whole numbers, so that sums don't depend on their order.
 UNIT = 1_000_000
 
@@ -29,7 +32,8 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     np.fill_diagonal(rough, np.inf)
     some = min(len(x) - 1, k + 8)
     near = np.argpartition(rough, some - 1, axis=1)[:, :some]
-    exact = np.stack([((x[i] - x[n]) ** 2).sum(1) for i, n in enumerate(near)]).round(6)
+    step = max(1, MEASURED // some // x.shape[1])
+    exact = np.concatenate([((x[i : i + step, None] - x[near[i : i + step]]) ** 2).sum(2) for i in range(0, len(x), step)]).round(6)
     order = np.lexsort((ids[near], exact), axis=1)[:, :k]
     return np.repeat(ids, k), ids[np.take_along_axis(near, order, 1)].ravel(), np.take_along_axis(exact, order, 1).ravel()
 
@@ -65,12 +69,15 @@ def distinct_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def neighbours(rows: DataFrame, k: int = 20, trees: int = 6, rounds: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
-    """id, near (array of struct d, id: the k nearest other vectors, nearest first, d squared). Of equal vectors the least id takes part.
+    """id, near (array of struct d, id: the k nearest other vectors, nearest first, d squared), stored. Of equal vectors the least id takes part.
 
     Up to LEAF vectors: exact. More: a forest of random-projection trees (upper splits fitted on a sample of
     at most SAMPLE rows, lower ones in the tasks), exact search in each leaf, and ``rounds`` in which the neighbours of
-    each vector are compared among themselves. No pair is compared outside a leaf or a neighbourhood."""
-    points = stored(distinct_vectors(rows, id_col, vector_col), "points")
+    each vector are compared among themselves. No pair is compared outside a leaf or a neighbourhood, and of a neighbourhood only
+    pairs that may be among the k nearest leave the task."""
+    kind = rows.schema[vector_col].dataType.elementType.typeName()  # single precision moves half the bytes
+    x = F.col("x").cast("array<float>") if kind == "float" else F.col("x")
+    points = stored(distinct_vectors(rows, id_col, vector_col).select("id", x.alias("x")), "points")
     n = points.count()
     depth = 0 if n <= LEAF else int(np.ceil(np.log2(n / LEAF)))
     upper = min(depth, int(np.log2(SAMPLE / 32)))
@@ -82,7 +89,9 @@ def neighbours(rows: DataFrame, k: int = 20, trees: int = 6, rounds: int = 1, id
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch["x"].to_pylist(), float).reshape(batch.num_rows, -1)
+            if not batch.num_rows:
+                continue
+            x = matrix(batch["x"]).astype(float)
             for tree, levels in enumerate(forest):
                 node = np.zeros(len(x), np.int64)
                 for direction, cuts in levels:
@@ -93,48 +102,55 @@ def neighbours(rows: DataFrame, k: int = 20, trees: int = 6, rounds: int = 1, id
 
     def searched(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table["id"].to_numpy())
-        ids, x = table["id"].to_numpy()[order], np.array(table["x"].to_pylist(), float)[order]
+        ids, x = table["id"].to_numpy()[order], matrix(table["x"].combine_chunks()).astype(float)[order]
         parts = [_nearest(ids[p], x[p], k) for rows in [np.arange(len(ids))] for p in _leaves(rows, x, leaf, np.random.default_rng([seed, key[0].as_py(), key[1].as_py()]))]
         return pa.table(dict(zip(("id", "to", "d"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
 
     pieces = max(1, -(-n // (1 << upper) // TASK_ROWS))  # of a node that is larger than a task's share; the rounds mend what this parts
-    dealt = points.select("id", "x").mapInArrow(placed, "tree int, node long, id long, x array<double>").withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces)))
+    dealt = points.select("id", "x").mapInArrow(placed, f"tree int, node long, id long, x {points.schema['x'].dataType.simpleString()}").withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces)))
     found = _best(dealt.groupBy("tree", "node", "piece").applyInArrow(searched, "id long, to long, d double"), k)
     for _ in range(rounds if depth else 0):
         before = stored(found, "neighbours")
         members = before.select(F.col("id").alias("hub"), F.explode(F.concat(F.array("id"), F.transform("near", lambda s: s["id"]))).alias("id"))
         pairs = before.select("id", F.explode("near").alias("s")).select("id", F.col("s.id").alias("to"), F.col("s.d").alias("d"))
-        around = members.join(points, "id").repartition("hub").sortWithinPartitions("hub", "id").select("hub", "id", "x").mapInArrow(lambda b: _around(b, k), "id long, to long, d double")
+        worst = F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
+        known = points.join(before.select("id", worst.alias("worst")), "id")
+        around = members.join(known, "id").repartition("hub").sortWithinPartitions("hub", "id").select("hub", "id", "x", "worst").mapInArrow(lambda b: _around(b, k), "id long, to long, d double")
         found = _best(pairs.unionByName(around), k)
-    return found
+    return stored(found, "neighbours")  # whoever makes edges of it reads it three times
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest of each id's distinct candidates: a few hundred at most, as many as there are trees and hubs that offer some."""
-    pairs = pairs.groupBy("id", "to").agg(F.min("d").alias("d"))
+    pairs = pairs.repartition("id").groupBy("id", "to").agg(F.min("d").alias("d"))  # both groupings lie in one shuffle
     near = F.slice(F.array_sort(F.collect_list(F.struct(F.col("d"), F.col("to").alias("id")))), 1, k)
     return pairs.groupBy("id").agg(near.alias("near"))
 
 
 def _around(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Neighbourhoods (rows of one hub follow one another): the nearest of each member among the others."""
-    held_hub, held_id, held_x = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    """Neighbourhoods (rows of one hub follow one another): the nearest of each member among the others, up to the distance ``worst`` of its k-th so far."""
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None)
 
-    def done(hub, ids, x):
+    def done(hub, ids, worst, x):
         cuts = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1], [True]])) if len(hub) else np.zeros(1, int)
-        parts = [_nearest(ids[a:b], x[a:b], k) for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            of, to, d = _nearest(ids[a:b], x[a:b], k)
+            near = d <= worst[a:b][np.searchsorted(ids[a:b], of)]
+            parts.append((of[near], to[near], d[near]))
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["id", "to", "d"])
 
     for batch in batches:
-        hub, ids = np.concatenate([held_hub, batch["hub"].to_numpy()]), np.concatenate([held_id, batch["id"].to_numpy()])
-        x = np.array(batch["x"].to_pylist(), float).reshape(batch.num_rows, -1)
-        x = x if held_x is None else np.concatenate([held_x, x])
-        last = int(np.searchsorted(hub, hub[-1])) if len(hub) else 0  # the last hub may go on
-        yield from done(hub[:last], ids[:last], x[:last])
-        held_hub, held_id, held_x = hub[last:], ids[last:], x[last:]
-    if held_x is not None:
-        yield from done(held_hub, held_id, held_x)
+        if not batch.num_rows:
+            continue
+        new = (batch["hub"].to_numpy(), batch["id"].to_numpy(), batch["worst"].to_numpy(), matrix(batch["x"]).astype(float))
+        hub, ids, worst, x = new if held[3] is None else (np.concatenate(c) for c in zip(held, new, strict=True))
+        last = int(np.searchsorted(hub, hub[-1]))  # the last hub may go on
+        yield from done(hub[:last], ids[:last], worst[:last], x[:last])
+        held = (hub[last:], ids[last:], worst[last:], x[last:])
+    if held[3] is not None:
+        yield from done(*held)
 
 
 def shared_neighbours(near: DataFrame, prune: float = 1 / 15) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ridgeline.plans import graph
@@ -45,6 +46,25 @@ def test_forest_recall(spark, monkeypatch):
     assert recall[1] >= 0.9 and recall[1] >= recall[0]
 
 
+def test_found_neighbours_are_stored(spark, monkeypatch):
+    """Edges read the neighbours three times; none of them searches again."""
+    monkeypatch.setattr(graph, "LEAF", 64)
+    near = graph.neighbours(table(spark, cloud(300)), 10)
+    plan = graph.shared_neighbours(near)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "InArrow" not in plan
+
+
+def test_only_pairs_among_the_nearest_leave_a_neighbourhood():
+    """Two hubs, cut over batches: a member's pairs up to the distance of its k-th so far, that one included."""
+    x = cloud(40)
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2).round(6)
+    hub, ids = np.repeat([3, 8], 20), np.arange(40)
+    worst = np.array([np.sort(np.delete(d[i, hub == hub[i]], i % 20))[4] for i in range(40)])
+    rows = pa.RecordBatch.from_pydict({"hub": hub, "id": ids, "x": pa.array(x.tolist(), pa.list_(pa.float32())), "worst": worst})
+    got = [p for b in graph._around(iter([rows.slice(0, 13), rows.slice(13, 0), rows.slice(13)]), 15) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert sorted(got) == [(i, j, d[i, j]) for i in range(40) for j in range(40) if i != j and hub[i] == hub[j] and d[i, j] <= worst[i]]
+
+
 def test_copies_and_gaps(spark):
     x = np.concatenate([cloud(40), np.repeat(cloud(1, seed=5), 500, axis=0)])
     df = table(spark, x).unionByName(spark.createDataFrame([(None, [1.0] * 16), (9000, None)], "vec_id long, embedding array<float>"))
