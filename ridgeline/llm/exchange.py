@@ -49,13 +49,19 @@ def unpack(blob: bytes, kind: type) -> np.ndarray:
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    """Rising numbers as their steps, in four bytes each if they fit."""
-    steps = np.diff(x, prepend=x.dtype.type(0))
-    return b"4" + pack(steps.astype(np.uint32)) if not len(steps) or int(steps.max()) < 1 << 32 else b"8" + pack(steps)
+    """Rising numbers as their steps, in as many bytes each as the largest needs. The bytes lie by place: all lowest ones first, so that few
+    of the high ones cost anything."""
+    steps = np.diff(x, prepend=x.dtype.type(0)).astype("<u8")
+    wide = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return b"%d" % wide + pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :wide].T))
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob[1:], np.uint32 if blob[:1] == b"4" else np.uint64).astype(np.uint64), dtype=np.uint64)
+    wide = int(blob[:1])
+    planes = unpack(blob[1:], np.uint8).reshape(wide, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :wide] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,12 +133,12 @@ def summed(table: pa.Table) -> pa.Table:
     _, sums, place = merged(keys, counts)
     one = [i == 0 for i in range(len(keys))]
     return pa.table({
-        **{c: table[c] for c in ("block", "path", "sub", "keys")}, "values": dealt(sums[place], keys),
+        **{c: table[c] for c in ("block", "path", "sub")}, "values": dealt(sums[place], keys),
         "distinct": pa.array([int((sums > 0).sum()) * x for x in one], pa.int64()), "total": pa.array([int(sums.sum()) * x for x in one], pa.int64()),
     })
 
 
-SUMMED = "block long, path long, sub int, keys binary, values binary, distinct long, total long"
+SUMMED = "block long, path long, sub int, values binary, distinct long, total long"
 
 
 def sums(tables: list[DataFrame], bits: list[int]) -> DataFrame:
@@ -140,27 +146,30 @@ def sums(tables: list[DataFrame], bits: list[int]) -> DataFrame:
     return kept(tables[-1].groupBy(*leaf(bits[-1])).applyInArrow(summed, SUMMED), "sums")
 
 
-ANSWERS = "block long, path long, sub int, keys binary, values binary"
+#: Answers in the order of a packet's keys; with the keys, for who can't make them anew.
+BARE, ANSWERS = "block long, path long, sub int, values binary", "block long, path long, sub int, keys binary, values binary"
 
 
-def _reply(kind: type):
+def _reply(kind: type, columns: tuple[str, ...]):
     def reply(table: pa.Table, answers: pa.Table) -> pa.Table:
         keys, counts = opened(table)
         _, _, place = merged(keys, counts)
         parts = sorted(zip(answers["sub"].to_pylist(), answers["values"].to_pylist(), strict=True))
         values = np.concatenate([np.zeros(0, kind), *[unpack(v, kind) for _, v in parts]])
-        return pa.table({**{c: table[c] for c in ("block", "path", "sub", "keys")}, "values": dealt(values[place], keys)})
+        return pa.table({**{c: table[c] for c in columns}, "values": dealt(values[place], keys)})
 
     return reply
 
 
-def lowered(tables: list[DataFrame], bits: list[int], answers: DataFrame, kind: type) -> DataFrame:
-    """block, sub, keys, values for every request, stored, from the last level's answers (as ANSWERS), which are dropped, like the levels between."""
+def lowered(tables: list[DataFrame], bits: list[int], answers: DataFrame, kind: type, keyed: bool = False) -> DataFrame:
+    """block, sub, values (keyed: and keys) for every request, stored, from the last level's answers (as BARE; as ANSWERS if keyed), which are
+    dropped, like the levels between. Keys are as large as the requests, and don't travel back where they aren't asked for."""
     for at in range(len(bits) - 2, -1, -1):
         last = answers
         asked = tables[at].groupBy(*_group(bits[at]))
-        replies = asked.cogroup(last.groupBy(F.col("block").alias("_block"), F.col("path").alias("_path")))
-        answers = kept(replies.applyInArrow(_reply(kind), ANSWERS), "answers")
+        replies = asked.cogroup(last.select("block", "path", "sub", "values").groupBy(F.col("block").alias("_block"), F.col("path").alias("_path")))
+        with_keys = keyed and at == 0
+        answers = kept(replies.applyInArrow(_reply(kind, ("block", "path", "sub", "keys")[: 3 + with_keys]), ANSWERS if with_keys else BARE), "answers")
         drop(last)
         drop(tables[at + 1])
-    return answers.select("block", "sub", "keys", "values")
+    return answers.select("block", "sub", *["keys"] * keyed, "values")

@@ -32,6 +32,7 @@ gives an empty result. Only the columns id and text are read, so others never cl
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -50,6 +51,8 @@ WORDS, PERCENT = 5, 75
 FREQUENT = 32
 #: Text bytes for each leaf of the exchange, and the blocks of documents that make so many; sets multiplied out at a time; members of a signature that are joined inside a partition, before the shuffle.
 PART_BYTES, BLOCKS, SQUARE, LOCAL = 16 << 20, 4, 1024, 64
+#: Texts are moved to their blocks in so many passes, each of which has its share of the blocks, so that only this share lies on the executors' disks at a time.
+PASSES = 2
 
 
 class _Hashes(dict):
@@ -380,6 +383,10 @@ def verified(sets: DataFrame, groups: DataFrame, percent: int, frequent: int) ->
     return out
 
 
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs: id (unique), text -> id, n_shingles, component_id, n_links (documents linked with it, copies included), stored."""
     size = text_bytes(docs)[1]
@@ -387,11 +394,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fre
     bits = exchange.levels(parts)
     key_bits = min(62, max(sum(bits) + 8, math.ceil(math.log2(max(2, size / 5))) + 8))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(BLOCKS * parts))
-    blocks = docs.select("id", "text", block.alias("block")).repartition(BLOCKS * parts, "block")  # blocks fall unevenly, a few into a task at most
-    levels = exchange.raised(kept(_asked(blocks, words, key_bits, bits[0]), "asked"), bits, key_bits)
+    passes = [F.pmod("block", F.lit(PASSES)) == at for at in range(PASSES)]
+    every = docs.select("id", "text", block.alias("block"))
+    blocks = [every.filter(at).repartition(-(-BLOCKS * parts // PASSES), "block") for at in passes]  # blocks fall unevenly, a few into a task at most
+    levels = exchange.raised(_united([kept(_asked(b, words, key_bits, bits[0]), "asked") for b in blocks]), bits, key_bits)
     answers = exchange.lowered(levels, bits, exchange.sums(levels, bits), np.int64)
     drop(levels[0])
-    profiles = kept(_profiled(blocks, answers, words, percent, key_bits, frequent), "profiles")
+    profiles = _united([kept(_profiled(b, answers.filter(at), words, percent, key_bits, frequent), "profiles") for b, at in zip(blocks, passes, strict=True)])
     drop(answers)
     # stored, so that the join with all members has two plain sides, whose hot keys Spark can split
     copies = kept(profiles.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")

@@ -373,7 +373,7 @@ def lm_scores(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     counted = exchange.lowered(words, word_bits, sums, np.int64)
     grams = exchange.raised(requests.filter("kind = 1").drop("kind"), gram_bits, GRAM_BITS)
     trained = kept(summed_grams(grams[-1], gram_bits), "grams")
-    costs = exchange.lowered(grams, gram_bits, kept(gram_costs(grams[-1], gram_bits, trained, top_of(trained)), "gram-costs"), np.float32)
+    costs = exchange.lowered(grams, gram_bits, kept(gram_costs(grams[-1], gram_bits, trained, top_of(trained)), "gram-costs"), np.float32, keyed=True)
     drop(requests)
     drop(trained)
     n, v = stats["total"] + ends, stats["distinct"] + (ends > 0)

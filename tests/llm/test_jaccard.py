@@ -76,6 +76,26 @@ def test_many_levels_of_the_exchange(spark, monkeypatch):
     assert ours(spark, rows, frequent=4, part_bytes=sum(len(t) for _, t in rows) // 20) == brute(rows)
 
 
+def test_disk_holds_a_share_of_the_texts_and_no_key_twice(spark, monkeypatch):
+    """Blocks are asked for and profiled in passes that share none; what comes back to them has no keys."""
+    rows, seen = near_copies(200, 7), collections.defaultdict(list)
+    plain = jaccard.kept
+
+    def watched(df, name="table"):
+        out = plain(df, name)
+        seen[name].append((out.columns, {r[0] for r in out.select("block").distinct().collect()} if "block" in out.columns else {r.id for r in out.select("id").collect()} if name == "profiles" else set()))
+        return out
+
+    monkeypatch.setattr(jaccard, "kept", watched)
+    monkeypatch.setattr(exchange, "kept", watched)
+    monkeypatch.setattr(exchange, "BITS", 2)
+    assert ours(spark, rows, part_bytes=sum(len(t) for _, t in rows) // 20) == brute(rows)
+    for name in ("asked", "profiles"):
+        one, two = (found for _, found in seen[name])
+        assert one and two and not one & two and len(one | two) > 60
+    assert seen["sums"] and seen["answers"] and all("keys" not in columns for name in ("sums", "answers") for columns, _ in seen[name])
+
+
 def test_shared_sentences_stay_near_linear(spark, monkeypatch):
     """Texts of sentences that eight texts share chain up into one candidate component without a link in it."""
     rng = random.Random(4)
