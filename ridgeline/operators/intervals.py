@@ -153,8 +153,8 @@ def band_anti_join(left: DataFrame, right: DataFrame, on: list[str], distance: i
 
 
 def islands(df: DataFrame, on: list[str], start: str, end: str, touching: bool = False) -> DataFrame:
-    """df with ``island``: a number for each chain of overlapping (or touching) intervals, within ``on``."""
-    order = Window.partitionBy(*on).orderBy(start, end)
+    """df with ``island``: a number for each chain of overlapping (or touching) intervals, within ``on``. Rows without a start come last, so they begin no island but where there is no other."""
+    order = Window.partitionBy(*on).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.col(start) > F.col("_reach") if touching else F.col(start) >= F.col("_reach")
     df = df.withColumn("_reach", reach)

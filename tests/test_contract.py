@@ -90,6 +90,17 @@ def test_islands_of_tied_rows(spark, name):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.withColumn("n", F.col("n") * 6).collect()))
 
 
+@pytest.mark.parametrize("name", ["interval_merge_islands", "interval_merge_touching"])
+def test_islands_of_rows_without_a_date(spark, duck, tmp_path, name):
+    """SQL puts nulls last: such a row falls into its customer's last island, and is one by itself only where no other row has a date."""
+    days = [(1, 7, "1995-01-01"), (2, 7, "1995-01-31"), (3, 7, None), (4, 7, "1996-03-01"), (5, 8, None), (6, 8, None), (7, None, "1995-01-01"), (8, None, None)]
+    spark.createDataFrame(days, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "CAST(d AS TIMESTAMP_NTZ) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    ours = queries()[name](spark, str(tmp_path))
+    sql = oracle_sql()[name].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")
+    theirs = duck.execute(sql)
+    assert rows(ours.columns, ours.collect()) == rows([d[0] for d in theirs.description], theirs.fetchall())
+
+
 def test_having_semi_join_deals_by_rows(spark, monkeypatch):
     """Tasks grow in number with the rows, not in size; the result is the same."""
     from ridgeline.contract import joins
