@@ -9,7 +9,7 @@ of the k! orders in which it is removed.
 
 Failing ``copy`` means that a smaller id has the same text. Texts are compared by SHA-256 and rows are counted
 by text, part and labels before they meet, so a text that makes up a third of all rows is a few rows by then.
-Ids with many texts are salted in the join with the labels.
+Ids with many texts are salted in the join with the labels, of which nothing is broadcast, as they grow with the corpus.
 
 Edge cases: null texts are empty (no words: they fail ``short`` only, and ``copy``); a null part is the empty
 string; rows without an id have no label and no smaller id, and nothing is a copy of them; rows of one id
@@ -63,6 +63,7 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.filter("id IS NOT NULL AND good + toxic > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.filter("id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    known = known.hint("merge")  # the engine sizes them by the labels' file, in which a row takes a few bytes, and would send all to the driver
     found = salted.join(known, ["id", "salt"], "left").select(*rows.columns, zero("good"), zero("toxic"))
     return found.unionByName(rows.filter("id IS NULL").select("*", F.lit(0).alias("good"), F.lit(0).alias("toxic")))
 

@@ -91,6 +91,13 @@ def test_one_text_is_a_third(spark):
     assert found["en", "EABCD", 1][1] == 2999 and found["en", "ABCDE", 1][:2] == (0, 6000)
 
 
+def test_labels_are_not_broadcast(spark):
+    """They grow with the corpus, and a broadcast table passes whole through the driver."""
+    found = interactions.op12_interactions(spark, DATA)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_transform_is_exact():
     for k in (1, 3, 5):
         h, cells = interactions.hadamard(k), np.arange(1 << k, dtype=np.int64) * (1 << 50) // 7
