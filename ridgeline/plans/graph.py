@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.plans.nearest import matrix
+from ridgeline.plans.nearest import exact_neighbours, matrix
 from ridgeline.sources.shared import removed, stored
 
-#: Rows that are compared with each other in one leaf of a tree; a table of up to so many rows is searched whole.
+#: Rows that are compared with each other in one leaf of a tree.
 LEAF = 2048
 #: Rows on which the trees' upper splits are fitted, at most; and rows that one task of a tree holds, at most.
 SAMPLE, TASK_ROWS = 50_000, 1 << 17
@@ -68,16 +68,22 @@ def distinct_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return known.groupBy("x").agg(F.min("id").alias("id")).select("id", "x")
 
 
-def neighbours(rows: DataFrame, k: int = 20, trees: int = 6, rounds: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
+def neighbours(rows: DataFrame, k: int = 20, trees: int = 0, rounds: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> DataFrame:
     """id, near (array of struct d, id: the k nearest other vectors, nearest first, d squared), stored. Of equal vectors the least id takes part.
 
-    Up to LEAF vectors: exact. More: a forest of random-projection trees (upper splits fitted on a sample of
-    at most SAMPLE rows, lower ones in the tasks), exact search in each leaf, and ``rounds`` in which the neighbours of
-    each vector are compared among themselves. No pair is compared outside a leaf or a neighbourhood, and of a neighbourhood only
-    pairs that may be among the k nearest leave the task."""
+    Exact, all pairs compared, at any size (see ``exact_neighbours``). Only a caller that asks for ``trees`` gets most of the nearest instead, for less work:
+    a forest of so many random-projection trees (upper splits fitted on a sample of at most SAMPLE rows, lower ones in the tasks), exact search in each
+    leaf, and ``rounds`` in which the neighbours of each vector are compared among themselves. No pair is compared outside a leaf or a neighbourhood, and of
+    a neighbourhood only pairs that may be among the k nearest leave the task."""
     kind = rows.schema[vector_col].dataType.elementType.typeName()  # single precision moves half the bytes
     x = F.col("x").cast("array<float>") if kind == "float" else F.col("x")
-    points = stored(distinct_vectors(rows, id_col, vector_col).select("id", x.alias("x")), "points")
+    points = distinct_vectors(rows, id_col, vector_col).select("id", x.alias("x"))
+    found = _forest(stored(points, "points"), k, trees, rounds, seed) if trees else exact_neighbours(points, k)
+    return stored(found, "neighbours")  # whoever makes edges of it reads it three times
+
+
+def _forest(points: DataFrame, k: int, trees: int, rounds: int, seed: int) -> DataFrame:
+    """What ``neighbours`` returns, by a forest."""
     n = points.count()
     depth = 0 if n <= LEAF else int(np.ceil(np.log2(n / LEAF)))
     upper = min(depth, int(np.log2(SAMPLE / 32)))
@@ -117,7 +123,7 @@ def neighbours(rows: DataFrame, k: int = 20, trees: int = 6, rounds: int = 1, id
         known = points.join(before.select("id", worst.alias("worst")), "id")
         around = members.join(known, "id").repartition("hub").sortWithinPartitions("hub", "id").select("hub", "id", "x", "worst").mapInArrow(lambda b: _around(b, k), "id long, to long, d double")
         found = _best(pairs.unionByName(around), k)
-    return stored(found, "neighbours")  # whoever makes edges of it reads it three times
+    return found
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:

@@ -46,6 +46,25 @@ def test_forest_recall(spark, monkeypatch):
     assert recall[1] >= 0.9 and recall[1] >= recall[0]
 
 
+def test_neighbours_are_exact_at_any_size(spark, monkeypatch):
+    """Far over what a leaf holds, and in several tasks; nothing depends on the table's size."""
+    monkeypatch.setattr(graph, "LEAF", 64)
+    x = cloud(2000)
+    got = {r.id: [s.id for s in r.near] for r in graph.neighbours(table(spark, x), 10).collect()}
+    assert got == {i: row for i, row in enumerate(exact(x, 10).tolist())}
+
+
+def test_a_forest_is_the_callers_choice(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAF", 64)
+    x = cloud(2000)
+    want = exact(x, 10).tolist()
+    recall = []
+    for rounds in (0, 1):
+        got = {r.id: {s.id for s in r.near} for r in graph.neighbours(table(spark, x), 10, trees=6, rounds=rounds).collect()}
+        recall.append(np.mean([len(got[i] & set(row)) / 10 for i, row in enumerate(want)]))
+    assert 1 > recall[1] >= 0.9 and recall[1] >= recall[0]
+
+
 def test_found_neighbours_are_stored(spark, monkeypatch):
     """Edges read the neighbours three times; none of them searches again."""
     monkeypatch.setattr(graph, "LEAF", 64)
