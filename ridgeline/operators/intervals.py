@@ -120,8 +120,8 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], distance: int |
     return one.join(two, [*on, "_bin"]).filter(F.abs(F.col(a) - F.col(b)) <= distance).drop("_bin")
 
 
-#: Tasks of a join whose pairs outgrow its rows: the engine would size them by the rows. And into how many deals rows alike in position are cut.
-PAIR_TASKS, PAIR_DEALS = 192, 4
+#: Tasks of a join whose pairs outgrow its rows: the engine would size them by the rows. And into how many deals each side's rows alike in position are cut.
+PAIR_TASKS, PAIR_DEALS = 192, 2
 
 
 def band_pairs(df: DataFrame, on: list[str], distance: int | float, at: str, key: str, rest: list[str] = ()) -> DataFrame:
@@ -129,21 +129,25 @@ def band_pairs(df: DataFrame, on: list[str], distance: int | float, at: str, key
     on, ``gap``, then ``lo_`` and ``hi_`` with ``key`` and ``rest`` of the lower and the higher of both by (position, key).
 
     Rows alike in all but the key meet others as one and are multiplied out behind the join. They look for lower ones only, in bins
-    of a quarter of the distance."""
-    width = distance / 4 if distance > 0 else 1
+    of half the distance; both sides' deals meet in a square, so a key is sent 4 * PAIR_DEALS times at most. Of two groups alike, the pairs in which a
+    key is the smaller one follow one another, by the other key, so what is written of them packs well."""
+    width = distance / 2 if distance > 0 else 1
     cell = lambda x: F.floor(x / F.lit(width)).cast("long")
-    alike = df.groupBy(*on, at, *rest, F.pmod(F.xxhash64(key), F.lit(PAIR_DEALS)).alias("_deal")).agg(F.collect_list(key).alias("_keys"))
-    side = lambda p: alike.select(*on, "_deal", *[F.col(c).alias(f"{p}_{c}") for c in ("_keys", at, *rest)])
-    keys, low, high = [*on, "_bin", "_deal"], F.col(f"lo_{at}"), F.col(f"hi_{at}")
-    deals = F.explode(F.array(*[F.lit(i).cast("long") for i in range(PAIR_DEALS)]))
-    one = side("lo").withColumn("_bin", cell(low)).repartition(PAIR_TASKS, *keys)
-    two = side("hi").withColumn("_bin", F.explode(F.sequence(cell(high - distance), cell(high)))).withColumn("_deal", deals).repartition(PAIR_TASKS, *keys)
+    deal = F.pmod(F.xxhash64(key), F.lit(PAIR_DEALS)).cast("int")
+    alike = df.groupBy(*on, at, *rest, deal.alias("_deal")).agg(F.sort_array(F.collect_list(key)).alias("_keys"))
+    side = lambda p, mine: alike.select(*on, F.col("_deal").alias(mine), *[F.col(c).alias(f"{p}_{c}") for c in ("_keys", at, *rest)])
+    keys, low, high = [*on, "_bin", "_row", "_column"], F.col(f"lo_{at}"), F.col(f"hi_{at}")
+    deals = F.explode(F.array(*[F.lit(i) for i in range(PAIR_DEALS)]))
+    one = side("lo", "_row").withColumn("_bin", cell(low)).withColumn("_column", deals).repartition(PAIR_TASKS, *keys)
+    two = side("hi", "_column").withColumn("_bin", F.explode(F.sequence(cell(high - distance), cell(high)))).withColumn("_row", deals).repartition(PAIR_TASKS, *keys)
     pairs = one.join(two.hint("shuffle_hash"), keys).withColumn("gap", high - low).filter(F.col("gap").between(0, distance))
     names = [f"{p}_{c}" for p in ("lo", "hi") for c in rest]
-    pairs = pairs.select(*on, "gap", *names, "hi__keys", F.explode("lo__keys").alias(f"lo_{key}"))
-    pairs = pairs.select(*on, "gap", *names, f"lo_{key}", F.explode("hi__keys").alias(f"hi_{key}"))
-    lower, higher = F.col(f"lo_{key}"), F.col(f"hi_{key}")
-    return pairs.filter((lower < higher) | ((F.col("gap") > 0) & (lower != higher)))
+    way = lambda a, b, up: F.struct(F.col(f"{a}__keys").alias("a"), F.col(f"{b}__keys").alias("b"), F.lit(up).alias("up"))
+    ways = F.when(F.col("gap") > 0, F.array(way("lo", "hi", True), way("hi", "lo", False))).otherwise(F.array(way("lo", "hi", True)))
+    pairs = pairs.select(*on, "gap", *names, F.explode(ways).alias("_way")).select(*on, "gap", *names, "_way.up", "_way.b", F.explode("_way.a").alias("_less"))
+    pairs = pairs.select(*on, "gap", *names, "up", "_less", F.explode("b").alias("_more")).filter("_less < _more")
+    lower, higher = (F.when(F.col("up"), F.col(a)).otherwise(F.col(b)) for a, b in (("_less", "_more"), ("_more", "_less")))
+    return pairs.select(*on, "gap", *names, lower.alias(f"lo_{key}"), higher.alias(f"hi_{key}"))
 
 
 def band_anti_join(left: DataFrame, right: DataFrame, on: list[str], distance: int | float, a: str, b: str, key: list[str]) -> DataFrame:

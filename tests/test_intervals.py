@@ -170,6 +170,28 @@ def test_band_pairs_are_spread_over_tasks(spark):
     assert max(sizes) < sum(sizes) / 8, (max(sizes), sum(sizes), len(sizes))
 
 
+def test_band_pairs_send_few_copies(spark):
+    """Rows that differ in everything: what is shuffled is a small multiple of them, whatever the deals."""
+    df = spark.range(1000).selectExpr("id AS i", "chr(65 + id % 2) AS k", "id * 0.37 AS p")
+    pairs = iv.band_pairs(df, ["k"], 20, "p", "i")
+    pairs.collect()
+    todo, sent = [pairs._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            sent += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    assert 1000 < sent <= 10_000
+
+
+def test_band_pairs_of_rows_alike_come_in_order(spark):
+    """The smaller key stays over a run of pairs, and the larger one rises in it."""
+    rows = spark.range(1200).selectExpr("id * 7919 % 1200 AS i", "'a' AS k", "id % 3 * 1.5 AS p")
+    got = [sorted((r.lo_i, r.hi_i)) for r in iv.band_pairs(rows, ["k"], 2, "p", "i").collect()]
+    assert len(got) == 2 * 400 * 400 + 3 * (400 * 399 // 2)
+    assert sum(a != c or b > d for (a, b), (c, d) in zip(got, got[1:], strict=False)) < len(got) / 20
+
+
 def test_overlap_summary_pairs_no_copies(spark, monkeypatch):
     """As the plain join counts, and copies of intervals make no more pairs."""
     rng = random.Random(10)
